@@ -78,19 +78,15 @@ def chi_square(df: DataFrame, target: str, cols: Sequence[str] | None = None) ->
     cells = crosstab(df, cols, target)
     # Marginals grow with distinct values and classes, never with rows.
     by_class = cells.groupBy("column", "class").agg(F.sum("n").alias("_c"))
-    by_value = cells.groupBy("column", "value").agg(
-        F.sum("n").alias("_r"),
-        F.collect_list(F.struct("class", "n")).alias("_cells"),  # one entry per class
-    )
+    by_value = cells.groupBy("column", "value").agg(F.sum("n").alias("_r"))
     parts = (
-        by_value.select("column", "value", "_r", F.explode("_cells").alias("_x"))
-        .select("column", "_r", F.col("_x.class").alias("class"), F.col("_x.n").alias("n"))
+        cells.join(by_value, ["column", "value"])
         .join(by_class, ["column", "class"])
         .groupBy("column")
         .agg(
             F.sum("n").alias("n"),
             F.sum(F.col("n") * F.col("n") / (F.col("_r").cast("double") * F.col("_c"))).alias("_s"),
-            F.min_by(F.struct("n", "_r", "_c"), F.struct("_r", "_c", "n")).alias("_one"),
+            F.min(F.struct("_r", "_c", "n")).alias("_one"),
         )
     )
     values = by_value.groupBy("column").agg(
@@ -160,9 +156,7 @@ def kruskal(df: DataFrame, target: str, cols: Sequence[str] | None = None, small
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target])
     source = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("class"), *[number(c).alias(c) for c in cols])
     cells = unpivot_numeric(source, cols, ["class"]).groupBy("column", "value", "class").agg(F.count(F.lit(1)).alias("_n"))
-    values = cells.groupBy("column", "value").agg(
-        F.sum("_n").alias("cnt"), F.collect_list(F.struct("class", "_n")).alias("_by")  # one entry per class
-    )
+    values = cells.groupBy("column", "value").agg(F.sum("_n").alias("cnt"))
     ranked = running_totals(values, "value", ["cnt"], ["column"], small=small)
     rank = F.col("cnt_before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)
     cnt = F.col("cnt").cast("double")
@@ -170,9 +164,9 @@ def kruskal(df: DataFrame, target: str, cols: Sequence[str] | None = None, small
         F.max("cnt_total").alias("n"), F.sum(cnt * cnt * cnt - cnt).alias("_ties")
     )
     sums = (
-        ranked.select("column", rank.alias("_rank"), F.explode("_by").alias("_x"))
-        .groupBy("column", F.col("_x.class").alias("class"))
-        .agg(F.sum(F.col("_x._n") * F.col("_rank")).alias("_r"), F.sum("_x._n").alias("_c"))
+        cells.join(ranked.select("column", "value", rank.alias("_rank")), ["column", "value"])
+        .groupBy("column", "class")
+        .agg(F.sum(F.col("_n") * F.col("_rank")).alias("_r"), F.sum("_n").alias("_c"))
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("_r") * F.col("_r") / F.col("_c")).alias("_s"))
     )
