@@ -18,14 +18,11 @@ def _class(target: str | None) -> Column:
 
 def ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float, int, float]]:
     """Minimum, maximum, count and sample deviation per column: a few numbers each."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = number(c)
-        aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.count(x).alias(f"n{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-    return {
-        c: (row[f"a{i}"], row[f"b{i}"], row[f"n{i}"], row[f"s{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]
-    }
+    x = F.col("value")
+    found = unpivot_numeric(df, cols).groupBy("column").agg(
+        F.min(x).alias("a"), F.max(x).alias("b"), F.count(x).alias("n"), F.stddev_samp(x).alias("s")
+    )
+    return {r["column"]: (r["a"], r["b"], r["n"], r["s"]) for r in found.collect()}
 
 
 def _edges(low: float, high: float) -> tuple[float, float]:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.functions.columns import col, number, numeric_columns, rows_of, significance, string_columns
+from tabaudit.functions.columns import col, number, numeric_columns, significance, string_columns
 from tabaudit.functions.special import chi2_pvalue, f_pvalue, shapiro_wilk, t_pvalue
 from tabaudit.operators.scale import running_totals, smallest_by_hash, unpivot_numeric
 
@@ -27,18 +27,14 @@ def t_test(df: DataFrame, target: str, cols: Sequence[str] | None = None, labels
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target])
     labels = list(labels) if labels is not None else first_labels(df, target)
     first, second = (labels + [None, None])[:2]
-    cls = col(target).cast("string")
-    aggs, items = [], []
-    for i, c in enumerate(cols):
-        fields = [F.lit(c).alias("column")]
-        for k, label in enumerate((first, second)):
-            x = F.when(cls == F.lit(label), number(c))
-            aggs += [
-                F.count(x).alias(f"n{i}_{k}"), F.avg(x).alias(f"m{i}_{k}"), F.var_samp(x).alias(f"v{i}_{k}"),
-            ]
-            fields += [F.col(f"n{i}_{k}").alias(f"n{k}"), F.col(f"m{i}_{k}").alias(f"mean{k}"), F.col(f"v{i}_{k}").alias(f"var{k}")]
-        items.append(F.struct(*fields))
-    wide = df.agg(*aggs).select(rows_of(items))
+    long = unpivot_numeric(
+        df.select(col(target).cast("string").alias("class"), *[number(c).alias(c) for c in cols]), cols, ["class"]
+    )
+    aggs = []
+    for k, label in enumerate((first, second)):
+        x = F.when(F.col("class") == F.lit(label), F.col("value"))
+        aggs += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"mean{k}"), F.var_samp(x).alias(f"var{k}")]
+    wide = long.where(F.col("class").isin(first, second)).groupBy("column").agg(*aggs)
     dof = F.col("n0") + F.col("n1") - F.lit(2)
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     pooled = F.try_divide((n0 - 1) * F.coalesce("var0", F.lit(0.0)) + (n1 - 1) * F.coalesce("var1", F.lit(0.0)), dof)
@@ -115,23 +111,19 @@ def with_chi2_pvalue(tests: DataFrame) -> DataFrame:
 def anova(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     """One-way F test: (column, n, groups, f, df_between, df_within)."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target])
-    aggs, items = [], []
-    for i, c in enumerate(cols):
-        x = number(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-        items.append(
-            F.struct(
-                F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"),
-                (F.col(f"v{i}") * F.col(f"n{i}")).alias("ss"),
-            )
-        )
+    x = F.col("value")
     classes = (
-        df.where(col(target).isNotNull()).groupBy(col(target).cast("string").alias("class")).agg(*aggs)
-        .select("class", rows_of(items)).where("n > 0")
+        unpivot_numeric(
+            df.where(col(target).isNotNull()).select(
+                col(target).cast("string").alias("class"), *[number(c).alias(c) for c in cols]
+            ), cols, ["class"],
+        )
+        .groupBy("column", "class")
+        .agg(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("ss"))
     )
     grand = classes.groupBy("column").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
     stats = (
-        classes.join(F.broadcast(grand), "column")  # one row per column
+        classes.join(grand, "column")
         .groupBy("column")
         .agg(
             F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum("ss").alias("_within"),

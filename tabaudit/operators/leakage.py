@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tabaudit.config import AUDIT, AuditProfile
-from tabaudit.functions.columns import col, number, numeric_columns, pearson, rows_of
+from tabaudit.functions.columns import col, numeric_columns
 from tabaudit.operators.cleaning import impute_median
 from tabaudit.operators.encoding import code_expression, features, target_labels
 from tabaudit.operators.modelling import fit_forest, importance_table
+from tabaudit.operators.quality import correlations_with
 from tabaudit.operators.scale import materialize, random_rows, smallest_by_hash
 
 
@@ -21,9 +21,7 @@ def scalar_leaks(df: DataFrame, target: str, predictors: Sequence[str], labels:
     cols = [c for c in numeric_columns(df) if c in predictors]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, r double")
-    y = code_expression(col(target), labels or target_labels(df, target))
-    wide = df.agg(*[pearson(number(c), y).alias(f"r{i}") for i, c in enumerate(cols)])
-    return wide.select(rows_of([F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("r")) for i, c in enumerate(cols)]))
+    return correlations_with(df, code_expression(col(target), labels or target_labels(df, target)), cols)
 
 
 def model_importances(

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from tabaudit.functions.columns import (
     col, missing, number, numeric_columns, pearson, percent, rows_of, scalar_columns, string_columns,
 )
-from tabaudit.operators.scale import DIRECT_BYTES, exact_quantiles, is_small
+from tabaudit.operators.scale import exact_quantiles, is_small, unpivot_numeric
 
 # Pairwise correlation as plain aggregates up to this many columns; beyond it
 # per-partition Gram matrices are summed.
-PAIRWISE_COLUMNS = 12
+PAIRWISE_COLUMNS = 3
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -69,60 +69,31 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, max, skewness, excess kurtosis per column; one pass."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        x = number(c)
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-            F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-            F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}"),
-        ]
-    items = [
-        F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"a{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-            F.col(f"sk{i}").alias("skewness"), F.col(f"ku{i}").alias("kurtosis"),
-            (F.col("_rows") - F.col(f"n{i}")).alias("null_count"),
-        )
-        for i, c in enumerate(cols)
-    ]
-    return df.agg(*aggs).select(rows_of(items)).where("n > 0")
+    """Count, mean, std, min, max, skewness, excess kurtosis per column; one pass.
+
+    Columns become rows before aggregating: one set of aggregates stays small
+    enough to be compiled well, whatever the number of columns.
+    """
+    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+    long = df.select(*[number(c).alias(c) for c in cols]).unpivot([], [col(c) for c in cols], "column", "value")
+    x = F.col("value")
+    stats = long.where(x.isNotNull()).groupBy("column").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+        F.max(x).alias("max"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
+    )
+    return stats.withColumn("null_count", rows.scalar() - F.col("n"))
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
     """Numeric summary with exact quartiles; columns without values are left out."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    probs = [0.25, 0.5, 0.75]
-    if method == "auto":
-        method = "direct" if is_small(df.select(*[col(c) for c in cols]), DIRECT_BYTES) else "distributed"
-    out = ["column", "n", "mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis", "null_count"]
-    if method == "direct":
-        # Everything in one pass over the table.
-        aggs = [F.count(F.lit(1)).alias("_rows")]
-        for i, c in enumerate(cols):
-            x = number(c)
-            aggs += [
-                F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.skewness(x).alias(f"sk{i}"),
-                F.kurtosis(x).alias(f"ku{i}"), F.percentile(x, F.array(*map(F.lit, probs))).alias(f"q{i}"),
-            ]
-        items = [
-            F.struct(
-                F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"a{i}").alias("mean"),
-                F.col(f"q{i}")[1].alias("median"), F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
-                F.col(f"hi{i}").alias("max"), F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[2].alias("q75"),
-                F.col(f"sk{i}").alias("skewness"), F.col(f"ku{i}").alias("kurtosis"),
-                (F.col("_rows") - F.col(f"n{i}")).alias("null_count"),
-            )
-            for i, c in enumerate(cols)
-        ]
-        return df.agg(*aggs).select(rows_of(items)).where("n > 0")
-    q = exact_quantiles(df, cols, probs, method=method).select(
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], method=method).select(
         "column", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75")
     )
     # One row per column on both sides.
-    return moments(df, cols).join(F.broadcast(q), "column").select(*out)
+    return moments(df, cols).join(F.broadcast(q), "column").select(
+        "column", "n", "mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis", "null_count"
+    )
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -296,24 +267,19 @@ def iqr_fences(df: DataFrame, cols: Sequence[str], factor: float = 1.5, method:
 def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, factor: float = 1.5, method: str = "auto") -> DataFrame:
     """(column, low, high, outliers, outlier_pct); the share is of all rows.
 
-    The fences are one row per column, so they are inlined as numbers and the
-    counting pass is a plain aggregate without a join.
+    The fences are one row per column and go along as a broadcast table.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    schema = "column string, low double, high double, outliers bigint, outlier_pct double"
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], schema)
-    fences = {r["column"]: (r["low"], r["high"]) for r in iqr_fences(df, cols, factor, method).collect()}
-    aggs, items = [F.count(F.lit(1)).alias("_rows")], []
-    for i, c in enumerate(cols):
-        low, high = fences.get(c, (None, None))
-        outside = (number(c) < F.lit(low)) | (number(c) > F.lit(high)) if low is not None else F.lit(False)
-        aggs.append(F.count_if(outside).alias(f"o{i}"))
-        items.append(
-            F.struct(
-                F.lit(c).alias("column"), F.lit(low).cast("double").alias("low"),
-                F.lit(high).cast("double").alias("high"), F.col(f"o{i}").alias("outliers"),
-                percent(F.col(f"o{i}"), F.col("_rows")).alias("outlier_pct"),
-            )
-        )
-    return df.agg(*aggs).select(rows_of(items))
+        return spark.createDataFrame([], "column string, low double, high double, outliers bigint, outlier_pct double")
+    found = {r["column"]: (r["low"], r["high"]) for r in iqr_fences(df, cols, factor, method).collect()}
+    fences = spark.createDataFrame([(c, *found.get(c, (None, None))) for c in cols], "column string, low double, high double")
+    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+    outside = (
+        unpivot_numeric(df, cols).join(F.broadcast(fences), "column")
+        .where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
+        .groupBy("column").agg(F.count(F.lit(1)).alias("outliers"))
+    )
+    counts = fences.join(outside, "column", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
+    return counts.withColumn("outlier_pct", percent(F.col("outliers"), rows.scalar()))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.config import QualityRules
-from tabaudit.functions.columns import col, number, numeric_columns, pearson, rows_of, string_columns
+from tabaudit.functions.columns import col, number, numeric_columns, pearson, string_columns
 from tabaudit.operators.profiling import distinct_counts, duplicate_rows, iqr_outliers, null_counts, shape
 
 ISSUE, WARNING = "issue", "warning"
@@ -64,10 +64,17 @@ def outlier_findings(df: DataFrame, name: str, rules: QualityRules = QualityRule
 def target_correlations(df: DataFrame, target: str, cols: list[str] | None = None) -> DataFrame:
     """(column, r) of every numeric column with a numeric target, one pass."""
     cols = cols if cols is not None else numeric_columns(df, exclude=[target])
+    return correlations_with(df, number(target), cols)
+
+
+def correlations_with(df: DataFrame, y: Column, cols: list[str]) -> DataFrame:
+    """(column, r) of numeric columns with one numeric expression."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, r double")
-    wide = df.agg(*[pearson(number(c), number(target)).alias(f"r{i}") for i, c in enumerate(cols)])
-    return wide.select(rows_of([F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("r")) for i, c in enumerate(cols)]))
+    long = df.select(y.alias("_y"), *[number(c).alias(c) for c in cols]).unpivot(
+        ["_y"], [col(c) for c in cols], "column", "value"
+    )
+    return long.groupBy("column").agg(pearson(F.col("value"), F.col("_y")).alias("r"))
 
 
 def leakage_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()) -> DataFrame | None:

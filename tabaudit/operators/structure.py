@@ -53,16 +53,13 @@ def sparse_outcome_columns(names: Sequence[str]) -> list[str]:
     return [n for n in names if any(o in n.upper() for o in SPARSE_OUTCOMES)]
 
 
-def repair_sparse_outcomes(df: DataFrame) -> DataFrame:
+def repair_sparse_outcomes(df: DataFrame, held: Sequence[str] = ()) -> DataFrame:
     """Outcome columns with at most one value: a missing cell means ``N``."""
-    names = sparse_outcome_columns(scalar_columns(df))
+    names = [c for c in sparse_outcome_columns(scalar_columns(df)) if c not in held]
     if not names:
         return df
     # Minimum equals maximum exactly when there is at most one value.
-    aggs = []
-    for i, c in enumerate(names):
-        aggs.append((F.min(col(c)).eqNullSafe(F.max(col(c)))).alias(f"s{i}"))
-    row = df.agg(*aggs).first()
+    row = df.agg(*[F.min(col(c)).eqNullSafe(F.max(col(c))).alias(f"s{i}") for i, c in enumerate(names)]).first()
     return df.withColumns(
         {c: F.coalesce(col(c).cast("string"), F.lit("N")) for i, c in enumerate(names) if row[f"s{i}"]}
     )
@@ -121,9 +118,9 @@ def recode_yes_no(df: DataFrame, target: str) -> DataFrame:
     return df.where(t.isin(1, 2)).withColumn(target, F.when(t == 1, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
 
 
-def choose_predictors(df: DataFrame, target: str, profile: AuditProfile = AUDIT) -> list[str]:
-    leaks = set(leaky_names(df.columns, target, profile))
-    keep = [c for c in scalar_columns(df) if c != target and c not in leaks]
+def choose_predictors(df: DataFrame, target: str, profile: AuditProfile = AUDIT, held: Sequence[str] = ()) -> list[str]:
+    out = set(leaky_names(df.columns, target, profile)) | set(held) | {target}
+    keep = [c for c in scalar_columns(df) if c not in out]
     if profile.max_string_distinct is not None:
         texts = [c for c in string_columns(df) if c in keep]
         counts = small_distinct_counts(df, texts, profile.max_string_distinct)
@@ -134,34 +131,41 @@ def choose_predictors(df: DataFrame, target: str, profile: AuditProfile = AUDIT)
     return keep
 
 
-def analyse_structure(df: DataFrame, profile: AuditProfile = AUDIT) -> Structure:
-    """Clean names, repair and choose the target, choose predictors."""
+def analyse_structure(df: DataFrame, profile: AuditProfile = AUDIT, held: Sequence[str] = ()) -> Structure:
+    """Clean names, repair and choose the target, choose predictors.
+
+    ``held`` columns (row keys) are carried along untouched.
+    """
     dropped: list[str] = []
     renamed: dict[str, str] = {}
 
+    def names(frame: DataFrame) -> list[str]:
+        return [c for c in frame.columns if c not in held]
+
     def drop(frame: DataFrame) -> DataFrame:
-        gone = artifact_columns(frame.columns, profile.artifact_names) if profile.drop_artifacts else []
+        gone = artifact_columns(names(frame), profile.artifact_names) if profile.drop_artifacts else []
         dropped.extend(gone)
         return frame.drop(*gone)
 
     def decode(frame: DataFrame) -> DataFrame:
-        renamed.update(codebook_renames(frame.columns))
+        renamed.update(codebook_renames(names(frame)))
         return frame.withColumnsRenamed(renamed)
 
     df = drop(decode(df)) if profile.decode_before_drop else decode(drop(df))
     if profile.repair_sparse:
-        df = repair_sparse_outcomes(df)
+        df = repair_sparse_outcomes(df, held)
+    comparable = scalar_columns(df)
     known: dict[str, int] = {}
 
     def distinct(name: str) -> int:
         if name not in known:
-            usable = name in scalar_columns(df)
-            known[name] = small_distinct_counts(df, [name], profile.target_max_classes)[name] if usable else 0
+            found = small_distinct_counts(df, [name], profile.target_max_classes) if name in comparable else {}
+            known[name] = found.get(name, 0)
         return known[name]
 
-    target = choose_target(df.columns, distinct, profile)
+    target = choose_target(names(df), distinct, profile)
     if target is None:
         return Structure(df, None, [], dropped, renamed)
     if profile.survey_recode and is_survey_coded(first_values(df, target)):
         df = recode_yes_no(df, target)
-    return Structure(df, target, choose_predictors(df, target, profile), dropped, renamed)
+    return Structure(df, target, choose_predictors(df, target, profile, held), dropped, renamed)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabaudit.config import AUDIT, AuditProfile
-from tabaudit.functions.columns import col, numeric_columns, string_columns
+from tabaudit.functions.columns import numeric_columns, string_columns
 from tabaudit.operators import chartdata, cleaning, hypothesis, isolation, leakage, metrics, modelling
 from tabaudit.operators.encoding import profile_features, target_labels
 from tabaudit.operators.fusion import auto_fuse
@@ -85,16 +85,11 @@ def audit(
     spark = df.sparkSession
     if not df.columns or not df.limit(1).count():
         return _stop(spark, name, "FAILED", "Dataset is empty")
-    found = analyse_structure(df.drop(*(keys or [])), profile)
+    found = analyse_structure(df, profile, held=keys or ())
     if found.target is None:
         return _stop(spark, name, "SKIPPED", "No identifiable target variable found")
     target, predictors = found.target, found.predictors
-    data = found.df
-    if keys:
-        # Keep the key beside the prepared columns.
-        data = analyse_structure_with_keys(df, keys, profile)
-    use = [*(keys or []), *[c for c in data.columns if c not in (keys or [])]]
-    data = materialize(data.select(*[col(c) for c in use]), "prepared")
+    data = materialize(found.df, "prepared")
     rows_in = data.count()
     numeric = [c for c in numeric_columns(data) if c in predictors]
     norm = hypothesis.normality(data, numeric, keys, profile.normality_rows, profile.normality_alpha, profile.seed)
@@ -143,15 +138,6 @@ def audit(
     return AuditResult(report, log_rows(spark, [(name, "SUCCESS", reason)]), target, cleaned, tables)
 
 
-def analyse_structure_with_keys(df: DataFrame, keys: Sequence[str], profile: AuditProfile) -> DataFrame:
-    """Prepared columns next to untouched key columns."""
-    held = [f"_key{i}" for i in range(len(keys))]
-    moved = df.select(*[col(c) for c in df.columns if c not in keys], *[col(k).alias(h) for k, h in zip(keys, held)])
-    order = [c for c in df.columns if c not in keys]
-    prepared = analyse_structure(moved.select(*held, *[col(c) for c in order]), profile).df
-    return prepared.withColumnsRenamed(dict(zip(held, keys)))
-
-
 def chart_tables(result: AuditResult, profile: AuditProfile = AUDIT, bins: int = 20) -> dict[str, DataFrame]:
     """Histogram, violin and density tables of the most important columns."""
     if result.cleaned is None:

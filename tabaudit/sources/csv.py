@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabaudit.config import NA_TOKENS
-from tabaudit.functions.columns import col, rows_of
+from tabaudit.functions.columns import col
 
 LATIN1 = "ISO-8859-1"
 _WHOLE = r"^\s*[+-]?[0-9]+\s*$"
@@ -97,27 +97,20 @@ def without_na(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
 
 def _kinds(df: DataFrame) -> dict[str, str]:
     """BIGINT, DOUBLE, BOOLEAN or STRING per text column, in one pass."""
-    aggs, items = [], []
-    for i, c in enumerate(df.columns):
-        x = col(c)
-        tests = {
-            "n": x.isNotNull(),
-            "w": x.rlike(_WHOLE) & F.expr(f"try_cast(trim({_quoted(c)}) as bigint)").isNotNull(),
-            "d": x.rlike(_DECIMAL) | x.rlike(_INFINITE),
-            "b": x.isin(*_BOOLEAN),
-        }
-        aggs += [F.count_if(t).alias(f"{k}{i}") for k, t in tests.items()]
-        n = F.col(f"n{i}")
-        items.append(F.struct(
-            F.lit(c).alias("column"),
-            F.when(n == 0, "double").when(F.col(f"w{i}") == n, "bigint").when(F.col(f"d{i}") == n, "double")
-            .when(F.col(f"b{i}") == n, "boolean").otherwise("string").alias("kind"),
-        ))
-    return {r["column"]: r["kind"] for r in df.agg(*aggs).select(rows_of(items)).collect()}
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    x = F.col("value")
+    long = df.unpivot([], [col(c) for c in df.columns], "column", "value")
+    found = long.where(x.isNotNull()).groupBy("column").agg(
+        F.min(x.rlike(_WHOLE) & F.trim(x).try_cast("bigint").isNotNull()).alias("whole"),
+        F.min(x.rlike(_DECIMAL) | x.rlike(_INFINITE)).alias("decimal"),
+        F.min(x.isin(*_BOOLEAN)).alias("flag"),
+    )
+    kind = (
+        F.when(F.col("whole"), "bigint").when(F.col("decimal"), "double").when(F.col("flag"), "boolean")
+        .otherwise("string")
+    )
+    seen = {r["column"]: r["kind"] for r in found.select("column", kind.alias("kind")).collect()}
+    # A column without any value is numeric.
+    return {c: seen.get(c, "double") for c in df.columns}
 
 
 def _as(name: str, kind: str) -> Column:
