@@ -32,7 +32,8 @@ def _edges(low: float, high: float) -> tuple[float, float]:
 def _bin(x: Column, low: float, high: float, bins: int) -> Column:
     """Equal-width bin 0..bins-1; the maximum falls into the last bin."""
     at = F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(float(bins)))
-    return F.least(F.lit(bins - 1), F.greatest(F.lit(0), at.cast("int")))
+    # least/greatest skip NULL, so a missing value must be kept out of bin 0.
+    return F.when(x.isNotNull(), F.least(F.lit(bins - 1), F.greatest(F.lit(0), at.cast("int"))))
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, target: str | None = None) -> DataFrame:

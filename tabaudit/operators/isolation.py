@@ -130,8 +130,8 @@ def fit(
     frame = pd.DataFrame(np.vstack([data[p] for p in picks]), columns=names)
     frame.insert(0, "tree", np.repeat(np.arange(trees), psi))
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
         local = np.random.default_rng([seed, tree])
         nodes = grow_tree(pdf[names].to_numpy(), local, depth)
         return pd.DataFrame(

@@ -28,8 +28,8 @@ ORACLE["crosstab_wide"] = """SELECT o_orderpriority AS value, count(*) FILTER (o
 def _histogram_sql(source: str, cols: list[str], bins: int, target: str | None) -> str:
     cls = f"coalesce({target}, 'nan')" if target else "'all'"
     return union(
-        f"""SELECT '{c}' AS "column", "class", bin, {rnd("min(lo) + bin * (min(hi) - min(lo)) / " + str(float(bins)))} AS low,
-  {rnd("min(lo) + (bin + 1) * (min(hi) - min(lo)) / " + str(float(bins)))} AS high, count(*) AS n,
+        f"""SELECT '{c}' AS "column", "class", bin, {rnd("min(lo) + bin * (min(hi) - min(lo)) / " + str(float(bins)), 6)} AS low,
+  {rnd("min(lo) + (bin + 1) * (min(hi) - min(lo)) / " + str(float(bins)), 6)} AS high, count(*) AS n,
   {rnd(f"count(*) / (min(total) * (min(hi) - min(lo)) / {float(bins)})", 8)} AS density
 FROM (SELECT "class", lo, hi, total, CAST(least({bins - 1}, greatest(0, floor((x - lo) / (hi - lo) * {float(bins)}))) AS INT) AS bin
   FROM (SELECT {cls} AS "class", CAST({c} AS DOUBLE) AS x FROM {source}) AS v,
@@ -40,8 +40,9 @@ FROM (SELECT "class", lo, hi, total, CAST(least({bins - 1}, greatest(0, floor((x
 
 
 def _hist(df):
-    return rounded(df.select("column", "class", "bin", "n", "low", "high", F.round("density", 8).alias("density")), 8).select(
-        "column", "class", "bin", "n", (F.round("low", 4) + 0.0).alias("low"), (F.round("high", 4) + 0.0).alias("high"), "density")
+    return df.select(
+        "column", "class", "bin", "n", (F.round("low", 6) + 0.0).alias("low"), (F.round("high", 6) + 0.0).alias("high"),
+        (F.round("density", 8) + 0.0).alias("density"))
 
 
 QUERIES["histogram_by_class"] = lambda s, d: _hist(

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabaudit.config import QualityRules
-from tabaudit.functions.columns import significance
-from tabaudit.operators import evidence, hypothesis, leakage, quality, scale
+from tabaudit.operators import evidence, hypothesis, leakage, quality
 from tabaudit.plans.critique import critique
 from tabaudit.queries.common import (
     COLUMNS, GAPS, MEASURES, NUMERIC, TEXT, lineitem_gaps, rnd, rounded, table, union,
@@ -118,17 +117,21 @@ _T_GAPS = _t_sql(GAPS, "l_linestatus", MEASURES, "F", "O")
 QUERIES["ttest_two_class"] = lambda s, d: rounded(hypothesis.t_test(lineitem_gaps(s, d), "l_linestatus", MEASURES))
 ORACLE["ttest_two_class"] = f"""SELECT "column", n0, n1, {rnd("mean0")} AS mean0, {rnd("mean1")} AS mean1, {rnd("t")} AS t, dof FROM ({_T_GAPS}) AS q"""
 
-# Exact two-sided p for an even number of degrees of freedom: a finite series
-# in cos^2 with coefficients gamma(k + 1/2) / (sqrt(pi) gamma(k + 1)).
+def t_even_sql(source: str, target: str, cols: list[str], a: str, b: str) -> str:
+    """With the exact two-sided p for an even number of degrees of freedom: a
+    finite series in cos^2 with coefficients gamma(k + 1/2) / (sqrt(pi) gamma(k + 1))."""
+    return f"""SELECT "column", t, dof, 1 - (abs(t) / sqrt(dof + t * t)) * (
+  SELECT sum(exp(lgamma(k + 0.5) - lgamma(k + 1.0) - 0.5723649429247001 + k * ln(dof / (dof + t * t))))
+  FROM (SELECT unnest(range(0, CAST(dof // 2 AS BIGINT))) AS k) AS ks) AS p FROM ({_t_sql(source, target, cols, a, b)}) AS t"""
+
+
 _T_EVEN = ["l_quantity", "l_extendedprice"]
 QUERIES["ttest_p_values"] = lambda s, d: rounded(
     hypothesis.with_t_pvalue(hypothesis.t_test(table(s, d, "lineitem"), "l_linestatus", _T_EVEN)).select(
         "column", "t", "p_value", "significance"), 6)
-ORACLE["ttest_p_values"] = f"""WITH t AS ({_t_sql("lineitem", "l_linestatus", _T_EVEN, "F", "O")}),
-p AS (SELECT "column", t, 1 - (abs(t) / sqrt(dof + t * t)) * (SELECT sum(exp(lgamma(k + 0.5) - lgamma(k + 1.0) - 0.5723649429247001 + k * ln(dof / (dof + t * t))))
-  FROM (SELECT unnest(range(0, CAST(dof // 2 AS BIGINT))) AS k) AS ks) AS p FROM t)
-SELECT "column", {rnd("t", 6)} AS t, {rnd("p", 6)} AS p_value,
-  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS significance FROM p"""
+ORACLE["ttest_p_values"] = f"""SELECT "column", {rnd("t", 6)} AS t, {rnd("p", 6)} AS p_value,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS significance
+FROM ({t_even_sql("lineitem", "l_linestatus", _T_EVEN, "F", "O")}) AS q"""
 
 
 def _chi_sql(source: str, target: str, cols: list[str]) -> str:
@@ -156,11 +159,17 @@ QUERIES["chi2_two_by_two"] = lambda s, d: rounded(
 ORACLE["chi2_two_by_two"] = f"""SELECT "column", n, {rnd("chi2", 6)} AS chi2, dof FROM ({_chi_sql(GAPS, "l_linestatus", ["l_returnflag"])}) AS q"""
 
 # Even degrees of freedom have a closed tail: exp(-y) * sum y^k / k!.
+_EVEN_TAIL = "exp(-chi2 / 2) * (SELECT sum(pow(chi2 / 2, k) / gamma(k + 1.0)) FROM (SELECT unnest(range(0, CAST(dof // 2 AS BIGINT))) AS k) AS ks)"
+
+
+def chi_even_sql(source: str, target: str, cols: list[str]) -> str:
+    return f"""SELECT "column", chi2, dof, {_EVEN_TAIL} AS p FROM ({_chi_sql(source, target, cols)}) AS c"""
+
+
 _CHI_P = union([
     f"SELECT 'lineitem' AS dataset, * FROM ({_chi_sql('lineitem', 'l_linestatus', ['l_returnflag'])}) AS a",
     f"SELECT 'orders' AS dataset, * FROM ({_chi_sql('orders', 'o_orderstatus', ['o_orderpriority'])}) AS b",
 ])
-_EVEN_TAIL = "exp(-chi2 / 2) * (SELECT sum(pow(chi2 / 2, k) / gamma(k + 1.0)) FROM (SELECT unnest(range(0, CAST(dof // 2 AS BIGINT))) AS k) AS ks)"
 QUERIES["chi2_p_values"] = lambda s, d: rounded(
     hypothesis.with_chi2_pvalue(hypothesis.chi_square(table(s, d, "lineitem"), "l_linestatus", ["l_returnflag"]))
     .withColumn("dataset", F.lit("lineitem"))

@@ -10,7 +10,8 @@ from tabaudit.operators.chartdata import feature_network
 from tabaudit.plans import audit as audits
 from tabaudit.plans.research import report_lines, research
 from tabaudit.plans.results import results
-from tabaudit.queries.common import MEASURES, lineitem_gaps, rnd, rounded, table, union
+from tabaudit.queries.common import MEASURES, rnd, rounded, table, union
+from tabaudit.queries.judgement import chi_even_sql, t_even_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -148,7 +149,12 @@ ORACLE["isolation_forest_share"] = "SELECT count(*) AS n, true AS about_95_perce
 
 QUERIES["research_findings"] = lambda s, d: research(labelled_documents(s, d).drop("doc_id"), "documents").predictors
 QUERIES["research_report"] = lambda s, d: report_lines(research(labelled_documents(s, d).drop("doc_id"), "documents"))
-QUERIES["results_summary"] = lambda s, d: results(_returned(s, d), "l_linestatus")["summary"]
+QUERIES["results_summary"] = lambda s, d: results(table(s, d, "lineitem").select(*MEASURES, "l_returnflag", "l_linestatus"), "l_linestatus")["summary"]
+# All tests here have an even number of degrees of freedom, so p is a finite sum.
+_LINE = """rpad({0}, 30, ' ') || ' ' || rpad('{1}', 10, ' ') || ' ' || format('{{:.4f}}', p) || '     ' ||
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS line"""
+ORACLE["results_summary"] = f"""SELECT {_LINE.format('"column"', 'T-Test')} FROM ({t_even_sql("lineitem", "l_linestatus", MEASURES, "F", "O")}) AS t
+UNION ALL SELECT {_LINE.format('"column"', 'Chi2')} FROM ({chi_even_sql("lineitem", "l_linestatus", ["l_returnflag"])}) AS c"""
 
 
 def _batch(s, d):
