@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tabaudit.functions.columns import col, numeric_columns
-from tabaudit.operators.scale import random_rows, small_table, smallest_by_hash
+from tabaudit.operators.scale import random_rows, small_table, smallest_by_hash, spread
 
 _NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
@@ -56,35 +56,33 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 
 @dataclass
 class IsolationForest:
-    """A grown forest with its score threshold."""
+    """A grown forest with its score threshold.
+
+    Every tree is laid out as a complete binary tree (children of i are 2i+1
+    and 2i+2), so a row takes exactly ``depth`` steps without branching.
+    """
 
     cols: list[str]
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    path: np.ndarray
+    depth: int
+    feature: np.ndarray      # trees x inner nodes
+    threshold: np.ndarray    # trees x inner nodes, +inf below a leaf
+    path: np.ndarray         # trees x bottom nodes
     norm: float
     cut: float = math.inf
 
     def score_array(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score in (0, 1]; all trees walk down together, level by level."""
-        total = np.zeros(len(x))
-        at_row = np.arange(len(x))
-        for t in range(self.feature.shape[0]):
-            feature, cut, left, right = self.feature[t], self.threshold[t], self.left[t], self.right[t]
-            at = np.zeros(len(x), dtype=np.int32)
-            live = at_row
-            while len(live):
-                f = feature[at[live]]
-                live = live[f >= 0]
-                if not len(live):
-                    break
-                n = at[live]
-                go_left = x[live, feature[n]] <= cut[n]
-                at[live] = np.where(go_left, left[n], right[n])
-            total += self.path[t][at]
-        return np.power(2.0, -(total / self.feature.shape[0]) / self.norm)
+        """Anomaly score in (0, 1] of every row of ``x``."""
+        n, k = x.shape
+        flat = np.ascontiguousarray(x).ravel()
+        base = np.arange(n, dtype=np.int64) * k
+        total = np.zeros(n)
+        first = 2**self.depth - 1
+        for feature, cut, path in zip(self.feature, self.threshold, self.path):
+            at = np.zeros(n, dtype=np.int64)
+            for _ in range(self.depth):
+                at = 2 * at + 1 + (flat[base + feature[at]] > cut[at])
+            total += path[at - first]
+        return np.power(2.0, -(total / len(self.feature)) / self.norm)
 
     def score(self, *inputs: Column) -> Column:
         forest = self
@@ -97,6 +95,28 @@ class IsolationForest:
         return run(*inputs)
 
 
+def lay_out(nodes: pd.DataFrame, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Complete-tree arrays from grown nodes; a leaf repeats down its left side."""
+    inner, bottom = 2**depth - 1, 2**depth
+    feature = np.zeros((trees, inner), dtype=np.int64)
+    threshold = np.full((trees, inner), np.inf)
+    path = np.zeros((trees, bottom))
+    for t, part in nodes.groupby("tree"):
+        rows = {r.node: r for r in part.itertuples()}
+        todo = [(0, 0)]
+        while todo:
+            node, at = todo.pop()
+            r = rows[node]
+            if r.feature >= 0:
+                feature[t, at], threshold[t, at] = r.feature, r.threshold
+                todo += [(r.left, 2 * at + 1), (r.right, 2 * at + 2)]
+                continue
+            while at < inner:
+                at = 2 * at + 1
+            path[t, at - inner] = r.path
+    return feature, threshold, path
+
+
 def fit(
     df: DataFrame,
     cols: Sequence[str],
@@ -120,7 +140,7 @@ def fit(
         sample.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, cols)]),
         limit=fit_rows,
     )
-    data = np.array([list(r) for r in rows], dtype="float64")
+    data = np.array([list(r.values()) for r in rows], dtype="float64")
     psi = min(256, len(data))
     depth = max(1, math.ceil(math.log2(max(psi, 2))))
 
@@ -139,15 +159,8 @@ def fit(
         )
 
     nodes = spark.createDataFrame(frame).groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
-    width = int(nodes["node"].max()) + 1
-    shape = (trees, width)
-    arrays = {
-        "feature": np.full(shape, -1, dtype=np.int32), "threshold": np.zeros(shape),
-        "left": np.zeros(shape, dtype=np.int32), "right": np.zeros(shape, dtype=np.int32), "path": np.zeros(shape),
-    }
-    for name, target in arrays.items():
-        target[nodes["tree"], nodes["node"]] = nodes[name]
-    forest = IsolationForest(cols=cols, norm=expected_path(psi), **arrays)
+    feature, threshold, path = lay_out(nodes, trees, depth)
+    forest = IsolationForest(cols, depth, feature, threshold, path, expected_path(psi))
     # The cut is a quantile of the sample's own scores.
     forest.cut = float(np.quantile(forest.score_array(data), 1.0 - contamination))
     return forest
@@ -183,4 +196,4 @@ def outlier_scores(
         return df.withColumns({"anomaly_score": F.lit(None).cast("double"), "is_outlier": F.lit(False)})
     forest = fit(df, cols, contamination, fit_rows, keys=keys, total=total, seed=seed)
     score = forest.score(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in cols])
-    return df.withColumn("anomaly_score", score).withColumn("is_outlier", F.col("anomaly_score") > F.lit(forest.cut))
+    return spread(df).withColumn("anomaly_score", score).withColumn("is_outlier", F.col("anomaly_score") > F.lit(forest.cut))

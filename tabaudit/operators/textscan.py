@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.config import SOURCE_TEXT_RULES, TextRule
 from tabaudit.functions.columns import col
+from tabaudit.operators.scale import spread
 
 
 def _newlines(text: Column) -> Column:
@@ -34,7 +35,7 @@ def scan(df: DataFrame, key: str, text: str, rules: Sequence[TextRule] = SOURCE_
     any_rule = F.lit(False)
     for r in rules:
         any_rule = any_rule | body.rlike(r.pattern)
-    per_rule = df.where(any_rule).select(col(key).alias(key), F.inline(F.array(*found))).where(F.size("hits") > 0)
+    per_rule = spread(df.select(key, text)).where(any_rule).select(col(key).alias(key), F.inline(F.array(*found))).where(F.size("hits") > 0)
     matches = per_rule.select(
         key, "rule", "severity", F.posexplode(F.arrays_zip("hits", "between")).alias("match_no", "m")
     ).where("m.hits is not null").select(
@@ -54,7 +55,7 @@ def totals(df: DataFrame, key: str, text: str, rules: Sequence[TextRule] = SOURC
         F.struct(F.lit(r.severity).alias("severity"), F.regexp_count(body, F.lit(r.pattern)).alias("n")) for r in rules
     ]
     return (
-        df.select(col(key).alias(key), F.inline(F.array(*parts))).where("n > 0")
+        spread(df.select(key, text)).select(col(key).alias(key), F.inline(F.array(*parts))).where("n > 0")
         .groupBy(key, "severity").agg(F.sum("n").cast("bigint").alias("matches"))
     )
 

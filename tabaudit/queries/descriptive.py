@@ -176,8 +176,8 @@ ORACLE["high_corr_pairs"] = f"""SELECT var1, var2, r AS correlation FROM ({_pair
 # --- outliers
 def outlier_sql(source: str, cols: list[str]) -> str:
     return union(
-        f"""SELECT '{c}' AS "column", {rnd("min(lo)")} AS low, {rnd("min(hi)")} AS high,
-  count(*) FILTER (x < lo OR x > hi) AS outliers, {rnd("count(*) FILTER (x < lo OR x > hi) * 100.0 / count(*)")} AS outlier_pct
+        f"""SELECT '{c}' AS "column", {rnd("min(lo)", 6)} AS low, {rnd("min(hi)", 6)} AS high,
+  count(*) FILTER (x < lo OR x > hi) AS outliers, {rnd("count(*) FILTER (x < lo OR x > hi) * 100.0 / count(*)", 6)} AS outlier_pct
 FROM (SELECT x, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
   (SELECT CAST({c} AS DOUBLE) AS x FROM {source}) AS v,
   (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {source}) AS q) AS f"""
@@ -188,12 +188,12 @@ FROM (SELECT x, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
 # events.value squared has a long upper tail.
 _EV = "(SELECT *, value * value AS tail FROM events) AS ev"
 QUERIES["iqr_outliers"] = lambda s, d: rounded(
-    profiling.iqr_outliers(table(s, d, "events").withColumn("tail", F.col("value") * F.col("value")), ["user_id", "value", "tail"])
+    profiling.iqr_outliers(table(s, d, "events").withColumn("tail", F.col("value") * F.col("value")), ["user_id", "value", "tail"]), 6
 )
 ORACLE["iqr_outliers"] = outlier_sql(_EV, ["user_id", "value", "tail"])
 
 QUERIES["iqr_outliers_distributed"] = lambda s, d: rounded(
-    profiling.iqr_outliers(lineitem_gaps(s, d), MEASURES, method="distributed")
+    profiling.iqr_outliers(lineitem_gaps(s, d), MEASURES, method="distributed"), 6
 )
 ORACLE["iqr_outliers_distributed"] = outlier_sql(GAPS, MEASURES)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabaudit.config import AUDIT, DESKTOP
 from tabaudit.operators import encoding, isolation, leakage, metrics, modelling
 from tabaudit.operators.chartdata import feature_network
+from tabaudit.operators.scale import spread
 from tabaudit.plans import audit as audits
 from tabaudit.plans.research import report_lines, research
 from tabaudit.plans.results import results
@@ -82,7 +83,7 @@ ORACLE["calibration_error"] = f"""SELECT CAST(sum(n) AS BIGINT) AS n, {rnd("sum(
 # --- models (no SQL: forests and calibration are iterative) -----------------
 def labelled_documents(s, d):
     """Documents with simple text measures and their quality label, last column."""
-    docs = table(s, d, "documents")
+    docs = spread(table(s, d, "documents"))
     words = F.size(F.split(F.trim("text"), r"\s+"))
     lines = F.size(F.split("text", "\n"))
     measures = docs.select(
