@@ -29,8 +29,12 @@ def model_table(
         code_expression(col(target), labels).alias("label"), split_column(keys, seed).alias("u"),
         *[f.value.alias(n) for n, f in zip(names, inputs)],
     )
-    vec = VectorAssembler(inputCols=names, outputCol="features").transform(flat)
-    return materialize(vec.select("label", "u", "features"), "model")
+    vec = VectorAssembler(inputCols=names, outputCol="features").transform(flat).select("label", "u", "features")
+    if keys:
+        # Forests depend on row order: place and order rows by their key hash.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        vec = vec.repartition(parts, "u").sortWithinPartitions("u")
+    return materialize(vec, "model")
 
 
 def fit_forest(train: DataFrame, trees: int, depth: int, seed: int = 42) -> RandomForestClassificationModel:

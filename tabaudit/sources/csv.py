@@ -79,8 +79,10 @@ def read_texts(
         multiline = has_open_quotes(spark, path, encoding)
     inner = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*inner, "_extra", "_line"]])
+    # Without pruning every line is parsed whole, so whether it fits does not
+    # depend on the columns a query happens to use.
     raw = (
-        spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
+        spark.read.schema(schema).option("columnPruning", False).option("header", True).option("sep", sep).option("encoding", encoding)
         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True)
         .option("columnNameOfCorruptRecord", "_line").option("multiLine", multiline).option("nullValue", "")
         .csv(path)
