@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabaudit.functions.columns import (
     col, missing, number, numeric_columns, pearson, percent, rows_of, scalar_columns, string_columns,
 )
-from tabaudit.operators.scale import exact_quantiles, is_small, unpivot_numeric
+from tabaudit.operators.scale import exact_quantiles, is_small
 
 # Pairwise correlation as plain aggregates up to this many columns; beyond it
 # per-partition Gram matrices are summed.
@@ -74,14 +74,13 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Columns become rows before aggregating: one set of aggregates stays small
     enough to be compiled well, whatever the number of columns.
     """
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
     long = df.select(*[number(c).alias(c) for c in cols]).unpivot([], [col(c) for c in cols], "column", "value")
     x = F.col("value")
-    stats = long.where(x.isNotNull()).groupBy("column").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+    stats = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
         F.max(x).alias("max"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"),
     )
-    return stats.withColumn("null_count", rows.scalar() - F.col("n"))
+    return stats.where("n > 0").withColumn("null_count", F.col("_rows") - F.col("n")).drop("_rows")
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
@@ -275,11 +274,9 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, factor: float
         return spark.createDataFrame([], "column string, low double, high double, outliers bigint, outlier_pct double")
     found = {r["column"]: (r["low"], r["high"]) for r in iqr_fences(df, cols, factor, method).collect()}
     fences = spark.createDataFrame([(c, *found.get(c, (None, None))) for c in cols], "column string, low double, high double")
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    outside = (
-        unpivot_numeric(df, cols).join(F.broadcast(fences), "column")
-        .where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
-        .groupBy("column").agg(F.count(F.lit(1)).alias("outliers"))
+    long = df.select(*[number(c).alias(c) for c in cols]).unpivot([], [col(c) for c in cols], "column", "value")
+    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
+    counts = long.join(F.broadcast(fences), "column").groupBy("column", "low", "high").agg(
+        F.count_if(outside).alias("outliers"), F.count(F.lit(1)).alias("_rows")
     )
-    counts = fences.join(outside, "column", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
-    return counts.withColumn("outlier_pct", percent(F.col("outliers"), rows.scalar()))
+    return counts.select("column", "low", "high", "outliers", percent(F.col("outliers"), F.col("_rows")).alias("outlier_pct"))

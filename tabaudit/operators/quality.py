@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.config import QualityRules
 from tabaudit.functions.columns import col, number, numeric_columns, pearson, string_columns
-from tabaudit.operators.profiling import distinct_counts, duplicate_rows, iqr_outliers, null_counts, shape
+from tabaudit.operators.profiling import duplicate_rows, iqr_outliers, null_counts, value_counts
 
 ISSUE, WARNING = "issue", "warning"
 
@@ -20,28 +20,37 @@ def _finding(name: str, check: str, column: Column, severity: Column, metric: st
     ]
 
 
-def shape_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()) -> DataFrame:
-    s = shape(df)
-    rows = s.where(F.col("total_rows") < rules.min_rows).select(
-        *_finding(name, "shape", F.lit(None), F.lit(WARNING), "rows", F.col("total_rows"),
-                  F.format_string("Small dataset (%d rows) - may have unstable statistics", "total_rows"))
-    )
-    wide = s.where(F.col("total_columns") > rules.max_columns).select(
-        *_finding(name, "shape", F.lit(None), F.lit(WARNING), "columns", F.col("total_columns"),
-                  F.format_string("High dimensionality (%d features)", "total_columns"))
-    )
-    return rows.unionByName(wide)
-
-
-def missing_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()) -> DataFrame:
+def size_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()) -> DataFrame:
+    """Too few rows, too many columns, missing cells: all from one pass."""
+    first, width = df.columns[0], len(df.columns)
     pct = F.col("null_pct")
     severe = pct > rules.missing_issue
-    text = F.when(severe, F.format_string("Column '%s': %.1f%% missing (>50%%)", "column", "null_pct")).otherwise(
+    gap_text = F.when(severe, F.format_string("Column '%s': %.1f%% missing (>50%%)", "column", "null_pct")).otherwise(
         F.format_string("Column '%s': %.1f%% missing", "column", "null_pct")
     )
-    return null_counts(df).where(pct > rules.missing_warning).select(
-        *_finding(name, "missing", F.col("column"), F.when(severe, ISSUE).otherwise(WARNING), "null_pct", pct, text)
-    )
+    # The counts have one row per column; table-wide rules ride on the first.
+    once = F.col("column") == first
+    nobody = F.lit(None)
+    cases = [
+        (once & (F.col("total") < rules.min_rows),
+         _finding(name, "shape", nobody, F.lit(WARNING), "rows", F.col("total"),
+                  F.format_string("Small dataset (%d rows) - may have unstable statistics", "total"))),
+        (once & F.lit(width > rules.max_columns),
+         _finding(name, "shape", nobody, F.lit(WARNING), "columns", F.lit(width),
+                  F.format_string("High dimensionality (%d features)", F.lit(width)))),
+        (pct > rules.missing_warning,
+         _finding(name, "missing", F.col("column"), F.when(severe, ISSUE).otherwise(WARNING), "null_pct", pct, gap_text)),
+    ]
+    found = F.filter(F.array(*[F.when(cond, F.struct(*fields)) for cond, fields in cases]), lambda x: x.isNotNull())
+    return null_counts(df).select(F.inline(found))
+
+
+def shape_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()) -> DataFrame:
+    return size_findings(df, name, rules).where(F.col("check") == "shape")
+
+
+def missing_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()) -> DataFrame:
+    return size_findings(df, name, rules).where(F.col("check") == "missing")
 
 
 def duplicate_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -94,8 +103,9 @@ def type_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()
     cols = string_columns(df)
     if not cols:
         return None
-    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
-    counts = distinct_counts(df, cols).withColumn("_rows", rows.scalar())
+    counts = value_counts(df, cols).groupBy("column").agg(
+        F.count("value").alias("distinct_count"), F.sum("n").alias("_rows")
+    )
     return counts.where(F.col("distinct_count") > F.col("_rows") * rules.distinct_share).select(
         *_finding(name, "types", F.col("column"), F.lit(WARNING), "distinct_count", F.col("distinct_count"),
                   F.format_string("Column '%s' (object): %d unique values (>50%% of rows)", "column", "distinct_count"))
@@ -105,7 +115,7 @@ def type_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()
 def findings(df: DataFrame, name: str = "dataset", rules: QualityRules = QualityRules()) -> DataFrame:
     """All rules as rows (dataset, check, column, severity, metric, value, message)."""
     out = None
-    for rule in (shape_findings, missing_findings, duplicate_findings, outlier_findings, leakage_findings, type_findings):
+    for rule in (size_findings, duplicate_findings, outlier_findings, leakage_findings, type_findings):
         part = rule(df, name, rules)
         if part is not None:
             out = part if out is None else out.unionByName(part)

@@ -72,8 +72,8 @@ ORACLE["violin_quartiles"] = _violin_sql(GAPS, MEASURES, "l_returnflag")
 
 def _box_sql(source: str, cols: list[str], target: str) -> str:
     return union(
-        f"""SELECT '{c}' AS "column", "class", count(*) AS n, {rnd("min(q1)")} AS q25, {rnd("min(q2)")} AS median, {rnd("min(q3)")} AS q75,
-  {rnd("min(x) FILTER (x >= lo)")} AS whisker_low, {rnd("max(x) FILTER (x <= hi)")} AS whisker_high,
+        f"""SELECT '{c}' AS "column", "class", count(*) AS n, {rnd("min(q1)", 6)} AS q25, {rnd("min(q2)", 6)} AS median, {rnd("min(q3)", 6)} AS q75,
+  {rnd("min(x) FILTER (x >= lo)", 6)} AS whisker_low, {rnd("max(x) FILTER (x <= hi)", 6)} AS whisker_high,
   count(*) FILTER (x < lo OR x > hi) AS outliers
 FROM (SELECT v."class", x, q1, q2, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
   FROM (SELECT coalesce({target}, 'nan') AS "class", CAST({c} AS DOUBLE) AS x FROM {source}) AS v
@@ -86,11 +86,11 @@ GROUP BY "class" """
 
 _EV = "(SELECT *, value * value AS tail FROM events) AS ev"
 QUERIES["box_stats"] = lambda s, d: rounded(chartdata.box_stats(
-    table(s, d, "events").withColumn("tail", F.col("value") * F.col("value")), ["value", "tail"], "event_type"))
+    table(s, d, "events").withColumn("tail", F.col("value") * F.col("value")), ["value", "tail"], "event_type"), 6)
 ORACLE["box_stats"] = _box_sql(_EV, ["value", "tail"], "event_type")
 
 QUERIES["box_stats_distributed"] = lambda s, d: rounded(chartdata.box_stats(
-    table(s, d, "lineitem"), MEASURES, "l_returnflag", method="distributed"))
+    table(s, d, "lineitem"), MEASURES, "l_returnflag", method="distributed"), 6)
 ORACLE["box_stats_distributed"] = _box_sql("lineitem", MEASURES, "l_returnflag")
 
 
