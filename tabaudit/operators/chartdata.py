@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import class_text, col, number, rows_of
 from tabaudit.operators.hypothesis import crosstab
-from tabaudit.operators.scale import all_of, exact_quantiles, join_small, unpivot_numeric
+from tabaudit.operators.scale import all_of, exact_quantiles, join_small, materialize, unpivot_numeric
 
 
 def _class(target: str | None) -> Column:
@@ -95,9 +95,9 @@ def density_curve(
             for c in use
         ],
     ).unpivot(["class"], [col(c) for c in use], "column", "p").where("p is not null")
-    binned = long.groupBy("column", "class", F.col("p.b").alias("b")).agg(
+    binned = materialize(long.groupBy("column", "class", F.col("p.b").alias("b")).agg(
         F.count(F.lit(1)).alias("w"), F.avg("p.v").alias("x"), F.var_pop("p.v").alias("v")
-    )
+    ), "bins")
     # `bins` entries per group: a bounded list, evaluated in place.
     grouped = binned.groupBy("column", "class").agg(
         F.collect_list(F.struct("w", "x")).alias("bins"),

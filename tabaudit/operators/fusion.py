@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col, scalar_columns
-from tabaudit.operators.scale import split_hot_keys
+from tabaudit.operators.scale import materialize, split_hot_keys
 
 
 def key_candidates(
@@ -33,8 +33,8 @@ def key_candidates(
         long = df.select(*[col(c).cast("string").alias(c) for c in cols]).unpivot([], [col(c) for c in cols], "column", "value")
         long = long.where("value is not null").select(F.lit(t).alias("t"), "column", "value")
         parts = long if parts is None else parts.unionByName(long)
-    # Copies of a value collapse before the shuffle.
-    values = parts.distinct()
+    # Copies of a value collapse before the shuffle; the tables are read once.
+    values = materialize(parts.distinct(), "values")
     sizes = {(r["t"], r["column"]): r["n"] for r in values.groupBy("t", "column").agg(F.count(F.lit(1)).alias("n")).collect()}
     usable = sorted(k for k, n in sizes.items() if n >= min_distinct)
     schema = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col, number, numeric_columns, significance, string_columns
 from tabaudit.functions.special import chi2_pvalue, f_pvalue, shapiro_wilk, t_pvalue
-from tabaudit.operators.scale import running_totals, smallest_by_hash, unpivot_numeric
+from tabaudit.operators.scale import materialize, running_totals, smallest_by_hash, unpivot_numeric
 
 
 def first_labels(df: DataFrame, target: str, n: int = 2) -> list[str]:
@@ -71,7 +71,8 @@ def chi_square(df: DataFrame, target: str, cols: Sequence[str] | None = None) ->
     2x2 tables take Yates' continuity correction.
     """
     cols = list(cols) if cols is not None else string_columns(df, exclude=[target])
-    cells = crosstab(df, cols, target)
+    # The table is read once; everything below works on the written cell counts.
+    cells = materialize(crosstab(df, cols, target), "cells")
     # Marginals grow with distinct values and classes, never with rows.
     by_class = cells.groupBy("column", "class").agg(F.sum("n").alias("_c"))
     by_value = cells.groupBy("column", "value").agg(F.sum("n").alias("_r"))
@@ -112,14 +113,15 @@ def anova(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> Data
     """One-way F test: (column, n, groups, f, df_between, df_within)."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target])
     x = F.col("value")
-    classes = (
+    classes = materialize(
         unpivot_numeric(
             df.where(col(target).isNotNull()).select(
                 col(target).cast("string").alias("class"), *[number(c).alias(c) for c in cols]
             ), cols, ["class"],
         )
         .groupBy("column", "class")
-        .agg(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("ss"))
+        .agg(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("ss")),
+        "classes",
     )
     grand = classes.groupBy("column").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
     stats = (
@@ -147,9 +149,12 @@ def kruskal(df: DataFrame, target: str, cols: Sequence[str] | None = None, small
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=[target])
     source = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("class"), *[number(c).alias(c) for c in cols])
-    cells = unpivot_numeric(source, cols, ["class"]).groupBy("column", "value", "class").agg(F.count(F.lit(1)).alias("_n"))
+    cells = materialize(
+        unpivot_numeric(source, cols, ["class"]).groupBy("column", "value", "class").agg(F.count(F.lit(1)).alias("_n")),
+        "cells",
+    )
     values = cells.groupBy("column", "value").agg(F.sum("_n").alias("cnt"))
-    ranked = running_totals(values, "value", ["cnt"], ["column"], small=small)
+    ranked = materialize(running_totals(values, "value", ["cnt"], ["column"], small=small), "ranks")
     rank = F.col("cnt_before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)
     cnt = F.col("cnt").cast("double")
     ties = ranked.groupBy("column").agg(

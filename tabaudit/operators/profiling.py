@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabaudit.functions.columns import (
     col, missing, number, numeric_columns, pearson, percent, rows_of, scalar_columns, string_columns,
 )
-from tabaudit.operators.scale import exact_quantiles, is_small
+from tabaudit.operators.scale import exact_quantiles, is_small, materialize
 
 # Pairwise correlation as plain aggregates up to this many columns; beyond it
 # per-partition Gram matrices are summed.
@@ -48,17 +48,30 @@ def null_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, method: str = "auto") -> DataFrame:
     """Rows minus distinct rows; NULL equals NULL.
 
-    One shuffle; copies are combined before it, so a row with very many
-    copies costs one record per map task.
+    ``'direct'`` groups whole rows: one shuffle, copies combined before it.
+    ``'hashed'`` (large tables) first counts 8-byte row hashes; a hash seen
+    once is a distinct row, and only rows sharing a hash are compared whole.
     """
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
-        F.count(F.lit(1)).alias("distinct_rows"),
-    ).withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_rows"))
+    if method == "auto":
+        method = "direct" if is_small(df) else "hashed"
+    cols = [col(c) for c in df.columns]
+    if method == "direct":
+        groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+        counts = groups.agg(
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("distinct_rows")
+        )
+    else:
+        row_hash = F.xxhash64(*cols).alias("_h")
+        hashes = materialize(df.select(row_hash).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")), "hashes")
+        shared = hashes.where("_n > 1").select("_h")
+        once = hashes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.count_if(F.col("_n") == 1).alias("_once"))
+        whole = df.select("*", row_hash).join(shared, "_h", "left_semi").select(*cols).distinct()
+        several = whole.agg(F.count(F.lit(1)).alias("_several"))
+        counts = once.select("total_rows", (F.col("_once") + several.scalar()).alias("distinct_rows"))
+    return counts.withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_rows"))
 
 
 def overview(df: DataFrame) -> DataFrame:

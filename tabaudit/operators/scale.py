@@ -350,7 +350,7 @@ def smallest_by_hash(
     keys: Sequence[str],
     by: Sequence[str] = (),
     salt: int | str = 42,
-    levels: int = 1 << 16,
+    levels: int | None = None,
 ) -> DataFrame:
     """The ``n`` rows (per group) with the smallest key hash.
 
@@ -358,6 +358,8 @@ def smallest_by_hash(
     group are ever sorted.  Ties are broken on the key itself.
     """
     keys, by = list(keys), list(by)
+    if levels is None:
+        levels = 1 << 12 if is_small(df) else 1 << 20
     hashed = df.withColumn("_h", unit_hash(*keys, salt=salt))
     level = F.floor(F.col("_h") * levels).alias("_lvl")
     counts = hashed.groupBy(*by, level).agg(F.count(F.lit(1)).alias("_n"))
@@ -408,10 +410,12 @@ def split_hot_keys(
 
     Keys with more than ``hot_share`` of the big side (at most 1/share keys)
     are spread over ``ways`` tasks; their single partner row is repeated.
-    NULL keys match each other.
+    NULL keys match each other.  The salt is drawn per row, so ``big`` should
+    be a scan or a written table, whose rows come in the same order again when
+    a task is repeated.
     """
     counts = big.groupBy(F.col(big_key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t")).first()["_t"] or 0
+    total = big.count()
     hot_rows = counts.where(F.col("_n") > F.lit(max(1.0, hot_share * total))).select("_k").collect()
     hot = [r["_k"] for r in hot_rows]
     plain = [k for k in hot if k is not None]

@@ -13,7 +13,7 @@ from tabaudit.functions.columns import numeric_columns, string_columns
 from tabaudit.operators import chartdata, cleaning, hypothesis, isolation, leakage, metrics, modelling
 from tabaudit.operators.encoding import profile_features, target_labels
 from tabaudit.operators.fusion import auto_fuse
-from tabaudit.operators.scale import materialize
+from tabaudit.operators.scale import materialize, small_table
 from tabaudit.operators.structure import analyse_structure
 from tabaudit.sources.sinks import LOG_SCHEMA, log_rows
 
@@ -92,7 +92,8 @@ def audit(
     data = materialize(found.df, "prepared")
     rows_in = data.count()
     numeric = [c for c in numeric_columns(data) if c in predictors]
-    norm = hypothesis.normality(data, numeric, keys, profile.normality_rows, profile.normality_alpha, profile.seed)
+    norm, _ = small_table(
+        hypothesis.normality(data, numeric, keys, profile.normality_rows, profile.normality_alpha, profile.seed))
     line = normality_line(norm, numeric)
     kept, removed = leakage.hunt(data, target, predictors, profile, keys)
     common = {"target": target, "rows_in": rows_in, "normality": line, "arrested": len(removed)}
@@ -116,7 +117,7 @@ def audit(
         pairs = scored.select("label", F.col("prob")[1].alias("prob"))
         auc = metrics.auc(pairs, "label", "prob").first()["auc"]
         if pairs.limit(1).count():
-            tables["calibration"] = metrics.calibration_curve(pairs, "label", "prob")
+            tables["calibration"], _ = small_table(metrics.calibration_curve(pairs, "label", "prob"))
             ece = metrics.calibration_error(tables["calibration"]).first()["ece"]
     elif profile.multiclass_auc is not None:
         auc = profile.multiclass_auc

@@ -37,6 +37,11 @@ ORACLE["duplicate_rows"] = """SELECT CAST(sum(n) AS BIGINT) AS total_rows, count
   CAST(sum(n) AS BIGINT) - count(*) AS duplicate_rows
 FROM (SELECT o_custkey, o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) AS g"""
 
+QUERIES["duplicate_rows_hashed"] = lambda s, d: profiling.duplicate_rows(
+    table(s, d, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority"), method="hashed"
+)
+ORACLE["duplicate_rows_hashed"] = ORACLE["duplicate_rows"]
+
 QUERIES["table_overview"] = lambda s, d: rounded(profiling.overview(lineitem_gaps(s, d)))
 ORACLE["table_overview"] = f"""SELECT t.*, dup.duplicate_rows FROM ({ORACLE["null_totals"]}) AS t,
  (SELECT CAST(sum(n) AS BIGINT) - count(*) AS duplicate_rows FROM (SELECT {", ".join(COLUMNS["lineitem"])}, count(*) AS n FROM {GAPS} GROUP BY ALL) AS g) AS dup"""

@@ -66,6 +66,13 @@ def test_nulls_and_overview(frame):
     assert (row["total_rows"], row["duplicate_rows"], row["total_columns"]) == (405, 5, 6)
 
 
+@pytest.mark.parametrize("method", ["direct", "hashed"])
+def test_duplicates_with_many_copies(spark, method):
+    df = spark.range(900).select((F.col("id") % 2).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("b"))
+    r = profiling.duplicate_rows(df, method).first()
+    assert (r["total_rows"], r["distinct_rows"], r["duplicate_rows"]) == (900, 602, 298)
+
+
 def test_categories_ties_and_missing(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "v string").withColumn("e", F.lit(None).cast("string"))
     got = {r["column"]: r for r in profiling.categorical_profile(df).collect()}
