@@ -102,18 +102,19 @@ def lay_out(nodes: pd.DataFrame, trees: int, depth: int) -> tuple[np.ndarray, np
     threshold = np.full((trees, inner), np.inf)
     path = np.zeros((trees, bottom))
     for t, part in nodes.groupby("tree"):
-        rows = {r.node: r for r in part.itertuples()}
+        part = part.set_index("node")
+        split, cut = part["feature"].to_dict(), part["threshold"].to_dict()
+        left, right, mean = part["left"].to_dict(), part["right"].to_dict(), part["path"].to_dict()
         todo = [(0, 0)]
         while todo:
             node, at = todo.pop()
-            r = rows[node]
-            if r.feature >= 0:
-                feature[t, at], threshold[t, at] = r.feature, r.threshold
-                todo += [(r.left, 2 * at + 1), (r.right, 2 * at + 2)]
+            if split[node] >= 0:
+                feature[t, at], threshold[t, at] = split[node], cut[node]
+                todo += [(left[node], 2 * at + 1), (right[node], 2 * at + 2)]
                 continue
             while at < inner:
                 at = 2 * at + 1
-            path[t, at - inner] = r.path
+            path[t, at - inner] = mean[node]
     return feature, threshold, path
 
 
@@ -158,7 +159,11 @@ def fit(
             [(tree, *n) for n in nodes], columns=["tree", "node", "feature", "threshold", "left", "right", "path"]
         )
 
-    nodes = spark.createDataFrame(frame).groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
+    # A stated number of partitions keeps these few rows from being put into one task.
+    tasks = min(trees, spark.sparkContext.defaultParallelism)
+    nodes = (
+        spark.createDataFrame(frame).repartition(tasks, "tree").groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
+    )
     feature, threshold, path = lay_out(nodes, trees, depth)
     forest = IsolationForest(cols, depth, feature, threshold, path, expected_path(psi))
     # The cut is a quantile of the sample's own scores.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col
-from tabaudit.operators.scale import quantile_values, running_totals
+from tabaudit.operators.scale import counted_quantiles, materialize, running_totals
 
 
 def _auc_from_counts(counts: DataFrame, by: Sequence[str], small: bool | None) -> DataFrame:
@@ -63,22 +63,28 @@ def calibration_bins(rows: int) -> int:
 
 
 def calibration_curve(
-    df: DataFrame, label: str, prob: str, bins: int | None = None, method: str = "auto"
+    df: DataFrame, label: str, prob: str, bins: int | None = None, small: bool | None = None
 ) -> DataFrame:
     """Quantile-binned reliability curve: (bin, n, mean_predicted, fraction_positive).
 
     A row's bin is the number of inner edges below its probability; empty
-    bins give no row.
+    bins give no row.  The rows are read once and counted per probability;
+    edges and bins come from those counts.
     """
-    scored = df.where(col(label).isNotNull() & col(prob).isNotNull())
+    counts = materialize(
+        df.where(col(label).isNotNull() & col(prob).isNotNull())
+        .groupBy(col(prob).cast("double").alias("p"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.sum(col(label).cast("double")).alias("hits")),
+        "probabilities",
+    )
     if bins is None:
-        bins = calibration_bins(scored.count())
-    edges = quantile_values(scored, [prob], [i / bins for i in range(bins + 1)], method).get(prob, [])
-    inner = edges[1:-1]
-    at = sum(((F.lit(e) < col(prob)).cast("int") for e in inner), F.lit(0))
-    return scored.groupBy(at.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(col(prob)).alias("mean_predicted"),
-        F.avg(col(label).cast("double")).alias("fraction_positive"),
+        bins = calibration_bins(counts.agg(F.sum("cnt").alias("n")).first()["n"] or 0)
+    inner = counted_quantiles(counts, "p", "cnt", [i / bins for i in range(1, bins)], small)
+    at = sum(((F.lit(e) < F.col("p")).cast("int") for e in inner), F.lit(0))
+    n = F.sum("cnt")
+    return counts.groupBy(at.alias("bin")).agg(
+        n.alias("n"), (F.sum(F.col("p") * F.col("cnt")) / n).alias("mean_predicted"),
+        (F.sum("hits") / n).alias("fraction_positive"),
     )
 
 

@@ -56,6 +56,7 @@ def fit_platt(scored: DataFrame, prob: str = "p", label: str = "label") -> Logis
     Every row enters once as positive with weight t and once as negative with
     weight 1 - t, t being the smoothed target of its class.
     """
+    scored = materialize(scored, "platt")  # the fit reads it many times
     row = scored.agg(F.count_if(col(label) == 1).alias("p"), F.count_if(col(label) == 0).alias("n")).first()
     if not row["p"] or not row["n"]:
         raise ValueError("calibration rows need both classes")
@@ -69,7 +70,7 @@ def fit_platt(scored: DataFrame, prob: str = "p", label: str = "label") -> Logis
         )),
     )
     vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(both)
-    return LogisticRegression(weightCol="weight", regParam=0.0, maxIter=100, tol=1e-9).fit(vec)
+    return LogisticRegression(weightCol="weight", regParam=0.0, maxIter=100).fit(vec)
 
 
 def platt_probability(model: LogisticRegressionModel, x):

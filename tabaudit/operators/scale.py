@@ -328,6 +328,25 @@ def _quantiles_distributed(df, cols, probs, by, accuracy, whole=False):
     return good.unionByName(_quantiles_distributed(df, missed, probs, by, accuracy, whole=True))
 
 
+def counted_quantiles(counts: DataFrame, value: str, cnt: str, probs: Sequence[float], small: bool | None = None) -> list[float]:
+    """Exact quantiles of values given with their counts (one row per value)."""
+    ranked = running_totals(counts.select(value, cnt), value, [cnt], small=small)
+    total = counts.agg(F.sum(cnt).alias("n")).first()["n"] or 0
+    if not total:
+        return []
+    at = [(total - 1) * p for p in probs]
+    ranks = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
+    held = f"filter(array({', '.join(f'{r}L' for r in ranks)}), r -> {cnt}_before <= r AND r < {cnt}_before + {cnt})"
+    # One row per wanted rank.
+    rows = ranked.select(F.col(value).alias("v"), F.explode(F.expr(held)).alias("r")).collect()
+    found = {r["r"]: r["v"] for r in rows}
+    out = []
+    for a in at:
+        low, high = found[math.floor(a)], found[math.ceil(a)]
+        out.append(low if low == high else (math.ceil(a) - a) * low + (a - math.floor(a)) * high)
+    return out
+
+
 def quantile_values(df, cols, probs, method="auto") -> dict[str, list[float]]:
     """Column quantiles as plain numbers (one row per column)."""
     if not cols:

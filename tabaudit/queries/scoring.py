@@ -74,6 +74,10 @@ FROM {_SCORED}, (SELECT {_EDGES} FROM {_SCORED}) AS e GROUP BY 1"""
 QUERIES["calibration_curve"] = lambda s, d: rounded(metrics.calibration_curve(_near(_scored(s, d)), "label", "score"), 6)
 ORACLE["calibration_curve"] = f"""SELECT bin, n, {rnd("mean_predicted", 6)} AS mean_predicted, {rnd("fraction_positive", 6)} AS fraction_positive FROM ({_CURVE}) AS c"""
 
+QUERIES["calibration_curve_distributed"] = lambda s, d: rounded(
+    metrics.calibration_curve(_near(_scored(s, d)), "label", "score", small=False), 6)
+ORACLE["calibration_curve_distributed"] = ORACLE["calibration_curve"]
+
 QUERIES["calibration_error"] = lambda s, d: rounded(
     metrics.calibration_error(metrics.calibration_curve(_near(_scored(s, d)), "label", "score")), 6)
 ORACLE["calibration_error"] = f"""SELECT CAST(sum(n) AS BIGINT) AS n, {rnd("sum(abs(mean_predicted - fraction_positive) * n) / sum(n)", 6)} AS ece,
