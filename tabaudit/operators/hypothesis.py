@@ -179,6 +179,16 @@ def with_h_pvalue(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p_value", chi2_pvalue(F.col("h"), F.col("dof")))
 
 
+def normality_sample(
+    df: DataFrame, cols: Sequence[str], keys: Sequence[str] | None = None, rows: int = 500, seed: int = 42
+) -> DataFrame:
+    """(column, value): up to ``rows`` present values of every column by key hash."""
+    key = F.concat_ws("|", *[col(k).cast("string") for k in keys]) if keys else F.monotonically_increasing_id().cast("string")
+    base = df.select(key.alias("_key"), *[number(c).alias(c) for c in cols])
+    picked = smallest_by_hash(unpivot_numeric(base, cols, ["_key"]), rows, ["_key"], ["column"], salt=seed)
+    return picked.select("column", "value")
+
+
 def normality(
     df: DataFrame,
     cols: Sequence[str] | None = None,
@@ -196,11 +206,6 @@ def normality(
     schema = "column string, position int, sampled bigint, w double, p_value double, test string"
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
-    if keys:
-        base = df.select(F.concat_ws("|", *[col(k).cast("string") for k in keys]).alias("_key"), *[number(c).alias(c) for c in cols])
-    else:
-        base = df.select(F.monotonically_increasing_id().cast("string").alias("_key"), *[number(c).alias(c) for c in cols])
-    sample = smallest_by_hash(unpivot_numeric(base, cols, ["_key"]), rows, ["_key"], ["column"], salt=seed)
     place = {c: i for i, c in enumerate(cols)}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +219,7 @@ def normality(
             {"column": [name], "position": [place[name]], "sampled": [len(pdf)], "w": [w], "p_value": [p], "test": [label]}
         )
 
-    return sample.groupBy("column").applyInPandas(one, schema)
+    return normality_sample(df, cols, keys, rows, seed).groupBy("column").applyInPandas(one, schema)
 
 
 def recommended_tests(df: DataFrame, target: str, norm: DataFrame, cols: Sequence[str]) -> DataFrame:

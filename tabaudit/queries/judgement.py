@@ -227,6 +227,17 @@ QUERIES["kruskal_h_distributed"] = lambda s, d: rounded(
     hypothesis.kruskal(lineitem_gaps(s, d), "l_linestatus", MEASURES, small=False))
 ORACLE["kruskal_h_distributed"] = f"""SELECT "column", n, groups, {rnd("h")} AS h, dof FROM ({_kruskal_sql(GAPS, "l_linestatus", MEASURES)}) AS q"""
 
+_ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+QUERIES["normality_sample"] = lambda s, d: rounded(
+    hypothesis.normality_sample(lineitem_gaps(s, d), MEASURES, keys=_ROW_KEY).groupBy("column")
+    .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top")))
+ORACLE["normality_sample"] = union(
+    f"""SELECT '{c}' AS "column", count(*) AS n, {rnd("avg(x)")} AS mean, {rnd("max(x)")} AS top FROM (
+  SELECT {c} AS x FROM (SELECT *, concat_ws('|', {", ".join(_ROW_KEY)}) AS k FROM {GAPS}) AS r WHERE {c} IS NOT NULL
+  ORDER BY substr(md5(concat_ws('|', k, '42')), 1, 8), k LIMIT 500) AS q"""
+    for c in MEASURES
+)
+
 # Shapiro-Wilk needs normal quantiles: no SQL.
 QUERIES["normality"] = lambda s, d: hypothesis.normality(
     table(s, d, "lineitem"), MEASURES, keys=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])

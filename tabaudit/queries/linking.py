@@ -216,6 +216,16 @@ QUERIES["run_manifest"] = lambda s, d: sinks.manifest(_log(s, d))
 ORACLE["run_manifest"] = """SELECT count(*) AS inputs, count(*) FILTER (o_orderstatus = 'F') AS succeeded,
   count(*) FILTER (o_orderstatus <> 'F') AS failed, CASE WHEN count(*) FILTER (o_orderstatus <> 'F') = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status FROM orders"""
 
-# --- file listing (no SQL: the files themselves are the input) --------------
-QUERIES["file_inventory"] = lambda s, d: files.data_files(files.inventory(s, d)).select("filename", "suffix", "length")
-QUERIES["artifact_index"] = lambda s, d: files.artifact_index(files.inventory(s, d), d)
+# --- file listing: the folder holds one file per table ----------------------
+_FILES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
+    "orders", "pages", "part", "region", "supplier",
+)
+QUERIES["file_inventory"] = lambda s, d: files.data_files(files.inventory(s, d)).select(
+    "filename", "suffix", (F.col("length") > 0).alias("has_content"))
+ORACLE["file_inventory"] = union(
+    f"SELECT '{f}.parquet' AS filename, '.parquet' AS suffix, true AS has_content" for f in _FILES)
+
+QUERIES["artifact_index"] = lambda s, d: files.artifact_index(files.inventory(s, d), d).drop("full_path")
+ORACLE["artifact_index"] = union(
+    f"SELECT '' AS source_root, '{f}.parquet' AS relative_path, '{f}.parquet' AS filename" for f in _FILES)

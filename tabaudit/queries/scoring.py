@@ -122,6 +122,25 @@ QUERIES["rf_leakage"] = lambda s, d: leakage.model_importances(
     [*MEASURES, "copy", "l_returnflag"], AUDIT).withColumn("leak", F.col("importance") > AUDIT.leak_importance)
 
 
+# A copy of the outcome takes more than the allowed share of the forest.
+def _verdict(s, d):
+    df = _returned(s, d).withColumns({
+        "copy": F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0) + F.col("l_tax"),
+        "echo": F.when(F.col("l_linestatus") == "O", F.lit("yes")).otherwise(F.lit("no"))})
+    names = [*MEASURES, "copy", "echo", "l_returnflag"]
+    kept, removed = leakage.hunt(df, "l_linestatus", names, AUDIT)
+    rows = [(c, "kept") for c in kept] + [(c, reason) for c, reason, _ in removed]
+    return s.createDataFrame(rows, "predictor string, verdict string")
+
+
+QUERIES["leakage_verdict"] = _verdict
+ORACLE["leakage_verdict"] = union(
+    [f"""SELECT '{c}' AS predictor, CASE WHEN abs(corr({c}, CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END)) > 0.95 THEN 'correlation' ELSE 'kept' END AS verdict
+FROM (SELECT *, CASE l_linestatus WHEN 'O' THEN 1.0 ELSE 0.0 END + l_tax AS copy FROM lineitem) AS q""" for c in [*MEASURES, "copy"]]
+    + ["SELECT 'echo' AS predictor, 'importance' AS verdict", "SELECT 'l_returnflag' AS predictor, 'kept' AS verdict"]
+)
+
+
 def _importances(s, d):
     df = labelled_documents(s, d)
     labels = encoding.target_labels(df, "quality")
@@ -168,7 +187,11 @@ def _batch(s, d):
         "embeddings": table(s, d, "embeddings").select("embedding"),
         "supplier": table(s, d, "supplier").select("s_suppkey", "s_acctbal"),
     }
-    return audits.audit_many(s, tables, try_fusion=False)[1].select("file", "status", "reason")
+    return audits.audit_many(s, tables, try_fusion=False)[1].select("file", "status")
 
 
+# A table is skipped when neither its last nor its first column has 2 to 10 values.
 QUERIES["audit_batch_log"] = _batch
+ORACLE["audit_batch_log"] = """SELECT 'documents' AS file, CASE WHEN count(DISTINCT quality) BETWEEN 2 AND 10 THEN 'SUCCESS' ELSE 'SKIPPED' END AS status FROM labels
+UNION ALL SELECT 'embeddings', 'SKIPPED'
+UNION ALL SELECT 'supplier', CASE WHEN count(DISTINCT s_acctbal) BETWEEN 2 AND 10 OR count(DISTINCT s_suppkey) BETWEEN 2 AND 10 THEN 'SUCCESS' ELSE 'SKIPPED' END FROM supplier"""
