@@ -185,7 +185,7 @@ def _batch(s, d):
     tables = {
         "documents": labelled_documents(s, d).drop("doc_id"),
         "embeddings": table(s, d, "embeddings").select("embedding"),
-        "supplier": table(s, d, "supplier").select("s_suppkey", "s_acctbal"),
+        "part": table(s, d, "part").select("p_partkey", "p_retailprice"),
     }
     return audits.audit_many(s, tables, try_fusion=False)[1].select("file", "status")
 
@@ -194,4 +194,4 @@ def _batch(s, d):
 QUERIES["audit_batch_log"] = _batch
 ORACLE["audit_batch_log"] = """SELECT 'documents' AS file, CASE WHEN count(DISTINCT quality) BETWEEN 2 AND 10 THEN 'SUCCESS' ELSE 'SKIPPED' END AS status FROM labels
 UNION ALL SELECT 'embeddings', 'SKIPPED'
-UNION ALL SELECT 'supplier', CASE WHEN count(DISTINCT s_acctbal) BETWEEN 2 AND 10 OR count(DISTINCT s_suppkey) BETWEEN 2 AND 10 THEN 'SUCCESS' ELSE 'SKIPPED' END FROM supplier"""
+UNION ALL SELECT 'part', CASE WHEN count(DISTINCT p_retailprice) BETWEEN 2 AND 10 OR count(DISTINCT p_partkey) BETWEEN 2 AND 10 THEN 'SUCCESS' ELSE 'SKIPPED' END FROM part"""
