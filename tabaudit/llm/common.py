@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words are runs of bytes other than blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,3 +79,8 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     for j in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
     return mixed(out)
+
+
+def nullable(df: DataFrame) -> T.StructType:
+    """A schema of its own in which every column may be null."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import WordHashes, broadcast_if_small, mixed, row_key
+from tabaudit.llm.common import WordHashes, broadcast_if_small, mixed, nullable, row_key
 from tabaudit.llm.rarity import Counts, buckets, levels
 from tabaudit.operators.scale import materialize
 
@@ -95,7 +95,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary()),
             ], names)
 
-    schema = docs.select("doc_id").schema.add("row_key", "long").add("line", "integer").add("n", "integer").add("digest", "long").add("chunk", "integer").add("counts", "binary")
+    schema = nullable(docs.select("doc_id")).add("row_key", "long").add("line", "integer").add("n", "integer").add("digest", "long").add("chunk", "integer").add("counts", "binary")
     found = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(read, schema), "lines")
     level = levels(found.filter("chunk IS NOT NULL").select("chunk", "counts"))
     return found.filter("chunk IS NULL").drop("chunk", "counts"), level
@@ -234,5 +234,5 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, identity: str = "do
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*kept, "n_lines", "n_removed"])
 
-    schema = docs.select(*kept).schema.add("n_lines", "long").add("n_removed", "long")
+    schema = nullable(docs.select(*kept)).add("n_lines", "long").add("n_removed", "long")
     return joined.select(*kept, "_lines").mapInArrow(cut, schema)

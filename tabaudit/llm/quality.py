@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabaudit.llm.common import nullable
+
 # Bound of the training sample, in documents.
 TRAIN_DOCUMENTS = 3000
 STEPS = 150
@@ -215,7 +217,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out.append(score_texts(shared.value, chunk))
             yield batch.append_column("score", pa.array(np.concatenate(out) if out else np.empty(0), pa.float64()))
 
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = nullable(docs.select(*keep)).add("score", "double")
     return docs.select(*keep).mapInArrow(scored, schema)
 
 

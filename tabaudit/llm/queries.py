@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import decontaminate, licenses, linedup, mixing, quality, repeats, tokens, urls, vectors
+import corpus_pipeline
+from tabaudit.llm import decontaminate, jaccard, licenses, linedup, mixing, quality, repeats, tokens, urls, vectors
 from tabaudit.llm.common import table
 
 
@@ -16,6 +17,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -55,6 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_url_filters": op3_url_filters,
     "op4_token_counts": op4_token_counts,
     "op5_quality_classifier": op5_quality_classifier,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import WordHashes, mixed, rolling, row_key, words_of
+from tabaudit.llm.common import WordHashes, mixed, nullable, rolling, row_key, words_of
 from tabaudit.operators.scale import materialize
 
 WINDOW = 35
@@ -243,7 +243,7 @@ def remove_repeats(
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*kept, "n_words", "n_removed"])
 
-    schema = docs.select(*kept).schema.add("n_words", "long").add("n_removed", "long")
+    schema = nullable(docs.select(*kept)).add("n_words", "long").add("n_removed", "long")
     return joined.mapInArrow(cut, schema)
 
 

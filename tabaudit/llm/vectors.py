@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabaudit.llm.common import nullable
 from tabaudit.llm.graph import components
 from tabaudit.operators.scale import materialize
 
@@ -126,7 +127,7 @@ def near_vectors(
             )
 
     chosen = vectors.select(F.col(identity).alias("vec_id"), F.col(embedding).alias("embedding"))
-    rows = materialize(chosen.mapInArrow(digests, chosen.select("*").schema.add("node", "long")), "vectors")
+    rows = materialize(chosen.mapInArrow(digests, nullable(chosen).add("node", "long")), "vectors")
     classes = materialize(
         rows.filter("node IS NOT NULL").groupBy("node").agg(
             F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.first("embedding").alias("embedding")
