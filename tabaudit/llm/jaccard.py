@@ -5,7 +5,9 @@ shares a token of its rarity-ordered prefix; sets without such a partner leave
 at once.  The others gather in regions around pivots, each no farther from
 its pivot than the radius of the level.  Members of a region within the link
 distance of the pivot are linked through it, so groups of near copies need no
-pairs.  Across regions, a set is compared with the pivot of every region that
+pairs.  Distances are computed on whole sets, after a histogram of 512 hash
+classes per set, whose common part is an upper bound of the intersection, has
+ruled out pairs that are too far to matter.  Across regions, a set is compared with the pivot of every region that
 may hold a partner; it is replicated into the region only if its distance is
 at most the link distance plus the region's radius (triangle inequality) and
 links found so far do not already connect them.  Regions with replicated
@@ -31,8 +33,8 @@ WORDS = 5
 SIMILARITY = 75  # per cent
 # Region radii of the levels, in per cent of distance; the last must be zero.
 RADII = (25, 0)
-# Rounds of pivots per level; sets that find no pivot near are pivots themselves.
-ROUNDS = 3
+# Hash classes of a set's histogram; a count of 255 stands for any larger one.
+CLASSES = 512
 
 
 def shingle_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -46,44 +48,45 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mixed(np.array([mixed(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each hash class, as bytes."""
+    return np.minimum(np.bincount((shingles & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
 def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, row_key, n, node) of all rows, and the rarity levels of shingles; one scan of the texts."""
+    """(doc_id, row_key, n, node, classes) of all rows, and the rarity levels of shingles; one scan of the texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes, kind = Counts(), WordHashes(), None
-        names = ["doc_id", "row_key", "n", "node", "chunk", "counts"]
+        names = ["doc_id", "row_key", "n", "node", "classes", "chunk", "counts"]
         for batch in batches:
-            kind, size, nodes, held = batch.column(0).type, [], [], []
+            kind, size, nodes, classes = batch.column(0).type, [], [], []
             for value in batch.column(2):
                 own = shingle_set(value.as_py(), hashes, words)
                 size.append(len(own))
                 nodes.append(set_id(own) if len(own) else None)
-                held.append(own)
-                if sum(map(len, held[-64:])) > 1 << 20 or len(held) >= 64:
-                    counts.add(np.concatenate(held))
-                    held = []
-            if held:
-                counts.add(np.concatenate(held))
+                classes.append(histogram(own) if len(own) else None)
+                counts.add(own)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()),
+                batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), pa.array(classes, pa.binary()),
                 pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary()),
             ], names)
         if kind is not None:
             packed = counts.packed()
             none = len(packed)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()),
+                pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()),
                 pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary()),
             ], names)
 
-    schema = nullable(docs.select("doc_id", "row_key")).add("n", "long").add("node", "long").add("chunk", "integer").add("counts", "binary")
+    schema = nullable(docs.select("doc_id", "row_key")).add("n", "long").add("node", "long").add("classes", "binary").add("chunk", "integer").add("counts", "binary")
     found = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(read, schema), "document_sets")
     level = levels(found.filter("chunk IS NOT NULL").select("chunk", "counts"))
     return found.filter("chunk IS NULL").drop("chunk", "counts"), level
 
 
 def _meetings(docs: DataFrame, level: np.ndarray, words: int, similarity: int) -> DataFrame:
-    """Prefix tokens that at least two different sets have: (token, node, n)."""
+    """Prefix tokens that at least two different sets have: (token, node, n, c); c tells how shared the token is."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +119,8 @@ def _meetings(docs: DataFrame, level: np.ndarray, words: int, similarity: int) -
     by_token = Window.partitionBy("token")
     return (
         docs.select("text").mapInArrow(read, "token long, node long, n long").repartition("token")
-        .withColumns({"_low": F.min("node").over(by_token), "_high": F.max("node").over(by_token)})
-        .filter("_low < _high").dropDuplicates(["token", "node"]).select("token", "node", "n")
+        .withColumns({"_low": F.min("node").over(by_token), "_high": F.max("node").over(by_token), "c": F.count("*").over(by_token)})
+        .filter("_low < _high").dropDuplicates(["token", "node"]).select("token", "node", "n", "c")
     )
 
 
@@ -141,82 +144,109 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return chosen.select("text").mapInArrow(read, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(node, pivot) with their exact ``distance`` and whether they are ``linked``."""
+class Sets:
+    """What is known of the sets that met: histograms, and the rows whose texts give them in whole."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            distance, linked = [], []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                either = len(x) + len(y) - both
-                distance.append(1 - both / either)
-                linked.append(100 * both >= similarity * either)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], ["node", "pivot", "distance", "linked"])
-
-    pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_p"))
-    return (
-        pairs.join(pivots, "pivot").join(sets, "node").select("node", "pivot", "shingles", "_p")
-        .mapInArrow(read, "node long, pivot long, distance double, linked boolean")
-    )
+    def __init__(self, docs: DataFrame, known: DataFrame, words: int, similarity: int) -> None:
+        self.docs, self.known, self.words, self.similarity = docs, known, words, similarity
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """Written (node, pivot, limit, distance, linked) of the pairs (node, pivot, limit) not surely beyond their limit."""
+
+        def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in (5, 6))
+                n = batch.column(3).to_numpy() + batch.column(4).to_numpy()
+                most = np.minimum(a, b).sum(1, dtype=np.int64)
+                near = 1 - most / np.maximum(n - most, 1) <= batch.column(2).to_numpy() + 1e-9
+                near |= (a.max(1) == 255) | (b.max(1) == 255)
+                yield batch.select([0, 1, 2]).filter(pa.array(near))
+
+        side = lambda name, n, classes: self.known.select(F.col("node").alias(name), F.col("n").alias(n), F.col("classes").alias(classes))
+        close = materialize(
+            pairs.join(side("node", "_n", "_a"), "node").join(side("pivot", "_m", "_b"), "pivot")
+            .select("node", "pivot", "limit", "_n", "_m", "_a", "_b").mapInArrow(possible, "node long, pivot long, limit double"), "close",
+        )
+        wanted = close.select("node").unionByName(close.select(F.col("pivot").alias("node"))).distinct()
+        rows = self.known.join(wanted, "node", "left_semi").select("row_key").distinct()
+        sets = materialize(_whole_sets(self.docs, rows, self.words), "sets")
+        similarity = self.similarity
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                distance, linked = [], []
+                for a, b in zip(batch.column(3), batch.column(4)):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    either = len(x) + len(y) - both
+                    distance.append(1 - both / either)
+                    linked.append(100 * both >= similarity * either)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())],
+                    ["node", "pivot", "limit", "distance", "linked"],
+                )
+
+        pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_p"))
+        return materialize(
+            close.join(pivots, "pivot").join(sets, "node").select("node", "pivot", "limit", "shingles", "_p")
+            .mapInArrow(exact, "node long, pivot long, limit double, distance double, linked boolean"), "measured",
+        )
 
 
-def _regions(met: DataFrame, sets: DataFrame, radius: int, similarity: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+def _regions(met: DataFrame, sets: Sets, radius: int) -> tuple[DataFrame, DataFrame | None]:
     """Home region of every set, (node, region, distance), and the links seen on the way.
 
-    Each round, sets vote for their most shared token; the sets of one token
-    take the one with the least hash as pivot and join it if it is near.
+    A set votes for its most shared, its least shared and one chance token;
+    the sets of one token have the one with the least hash as pivot.  Of the
+    pivots it voted for, a set's home is the nearest within the radius, else
+    it is a region of its own.
     """
     nodes = met.select("node").distinct()
     if radius == 0:
         return nodes.select("node", F.col("node").alias("region"), F.lit(0.0).alias("distance")), None
-    left, homes, links = met, None, None
-    for _ in range(rounds):
-        shares = Window.partitionBy("token")
-        votes = left.withColumn("c", F.count("*").over(shares)).groupBy("node", "n").agg(F.max(F.struct("c", "token")).alias("v"))
-        pivots = votes.groupBy("v.token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
-        pairs = (
-            votes.select("node", "n", F.col("v.token").alias("token")).join(pivots, "token")
-            .filter((F.col("node") != F.col("p.node")) & (100 * F.least("n", "p.n") >= (100 - radius) * F.greatest("n", "p.n")))
-            .select("node", F.col("p.node").alias("pivot"))
-        )
-        seen = materialize(_measured(pairs, sets, similarity), "votes")
-        near = seen.filter(F.col("distance") * 100 <= radius).select("node", F.col("pivot").alias("region"), "distance")
-        linked = seen.filter("linked").select("node", "pivot")
-        homes = near if homes is None else homes.unionByName(near)
-        links = linked if links is None else links.unionByName(linked)
-        # Pivots that gained members stay pivots; the rest vote again.
-        done = near.select("node").unionByName(near.select(F.col("region").alias("node"))).distinct()
-        left = materialize(left.join(done, "node", "left_anti"), "left")
-        if left.isEmpty():
-            break
+    chance = F.xxhash64("token")
+    votes = met.groupBy("node", "n").agg(
+        F.array(
+            F.max(F.struct("c", chance.alias("h"), "token"))["token"], F.min(F.struct("c", chance.alias("h"), "token"))["token"],
+            F.min(F.struct(chance.alias("h"), "token"))["token"],
+        ).alias("tokens")
+    ).select("node", "n", F.explode(F.array_distinct("tokens")).alias("token"))
+    pivots = votes.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
+    pairs = (
+        votes.join(pivots, "token")
+        .filter((F.col("node") != F.col("p.node")) & (100 * F.least("n", "p.n") >= (100 - radius) * F.greatest("n", "p.n")))
+        .select("node", F.col("p.node").alias("pivot")).distinct().withColumn("limit", F.lit(radius / 100))
+    )
+    seen = sets.measured(pairs)
+    homes = seen.filter(F.col("distance") * 100 <= radius).groupBy("node").agg(F.min(F.struct("distance", "pivot")).alias("h"))
     own = nodes.join(homes, "node", "left").select(
-        "node", F.coalesce("region", "node").alias("region"), F.coalesce("distance", F.lit(0.0)).alias("distance")
+        "node", F.coalesce("h.pivot", "node").alias("region"), F.coalesce("h.distance", F.lit(0.0)).alias("distance")
     )
-    return own, links
+    return own, seen.filter("linked").select("node", "pivot")
 
 
-def linked_sets(
-    met: DataFrame, sets: DataFrame, similarity: int = SIMILARITY, radii: Sequence[int] = RADII, rounds: int = ROUNDS
-) -> DataFrame:
-    """Links that connect the same sets as all pairs of at least the similarity would: components (node, root)."""
+def linked_sets(met: DataFrame, sets: Sets, radii: Sequence[int] = RADII) -> DataFrame:
+    """Components (node, root) of the links of at least the sets' similarity among sets that met."""
     if radii[-1] != 0:
         raise ValueError("the last radius must be zero")
+    similarity = sets.similarity
     far = 1 - similarity / 100
     links, roots = None, None
     for radius in radii:
-        homes, seen = _regions(met, sets, radius, similarity, rounds)
+        homes, seen = _regions(met, sets, radius)
         homes = materialize(homes, "homes")
         if seen is not None:
             links = seen if links is None else links.unionByName(seen)
-        size = homes.groupBy("region").agg(F.max("distance").alias("reach"))
-        placed = met.join(homes.join(size, "region"), "node")
+            roots = components(links)
+        reach = homes.groupBy("region").agg(F.max("distance").alias("reach"))
+        placed = met.join(homes.join(reach, "region"), "node")
         if roots is not None:
-            known = roots.select("node", "root")
-            placed = placed.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
-            placed = placed.withColumn("root", F.col("region"))
+            placed = placed.withColumn("root", F.col("node"))
+        # Members of a region share their root with the pivot, as its radius is at most the link distance.
         by_region = placed.groupBy("token", "region").agg(
             F.min("n").alias("least"), F.max("n").alias("most"), F.first("reach").alias("reach"), F.first("root").alias("root")
         )
@@ -225,34 +255,30 @@ def linked_sets(
             # One direction is enough: the set of the smaller region visits the larger one.
             .filter((F.struct("x.reach", "x.region") < F.struct("r.reach", "r.region")) & (F.col("x.root") != F.col("r.root")))
             .filter((F.col("x.n") * 100 >= F.col("r.least") * similarity) & (F.col("r.most") * 100 >= F.col("x.n") * similarity))
-            .select("x.node", F.col("r.region").alias("pivot")).distinct()
+            .select("x.node", F.col("r.region").alias("pivot"), (F.lit(far) + F.col("r.reach")).alias("limit")).distinct()
         )
-        visits = materialize(_measured(pairs, sets, similarity), "visits")
+        visits = sets.measured(pairs)
         found = visits.filter("linked").select("node", "pivot")
-        links = found if links is None else links.unionByName(found)
-        links = materialize(links, "set_links")
+        links = materialize(found if links is None else links.unionByName(found), "set_links")
         roots = components(links)
-        # Boundary sets: within the window of a region that they are not yet connected with.
+        # Boundary sets: inside the window of a region that they are not yet connected with.
         root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-        window = (
-            visits.filter(~F.col("linked")).join(size, F.col("pivot") == F.col("region"))
-            .filter((F.col("reach") > 0) & (F.col("distance") <= far + F.col("reach") + 1e-9))
+        window = materialize(
+            visits.filter(~F.col("linked") & (F.col("limit") > far + 1e-9) & (F.col("distance") <= F.col("limit") + 1e-9))
             .join(root("node"), "node", "left").join(root("pivot"), "pivot", "left")
             .filter(F.coalesce("node_root", "node") != F.coalesce("pivot_root", "pivot"))
-            .select("node", "pivot", "distance")
+            .select("node", "pivot", "distance"), "window",
         )
-        window = materialize(window, "window")
         if radius == 0 or window.isEmpty():
             return roots
         inner = window.groupBy(F.col("pivot").alias("region")).agg(F.min("distance").alias("closest"))
         members = homes.join(inner, "region").filter(F.col("distance") >= F.col("closest") - far - 1e-9).select("node")
-        active = window.select("node").unionByName(members).distinct()
-        met = materialize(met.join(active, "node", "left_semi"), "met")
+        met = materialize(met.join(window.select("node").unionByName(members).distinct(), "node", "left_semi"), "met")
     return roots
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, radii: Sequence[int] = RADII, rounds: int = ROUNDS,
+    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, radii: Sequence[int] = RADII,
     identity: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """Per row: (doc_id, n_shingles, component_id, row_key).
@@ -268,9 +294,11 @@ def near_duplicates(
     keyed = docs.select(F.col(identity).alias("doc_id"), row_key(identity, text).alias("row_key"), F.col(text).alias("text"))
     rows, level = document_sets(keyed, words)
     met = materialize(_meetings(keyed, level, words, similarity), "met")
-    first = rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    sets = materialize(_whole_sets(keyed, first.select("row_key").distinct(), words), "sets")
-    roots = linked_sets(met, sets, similarity, radii, rounds)
+    known = materialize(
+        rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node", "n")
+        .agg(F.min(F.struct("row_key", "classes")).alias("r")).select("node", "n", "r.row_key", "r.classes"), "known_sets",
+    )
+    roots = linked_sets(met, Sets(keyed, known, words, similarity), radii)
     placed = rows.join(roots, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component"))
     return placed.join(smallest, "root", "left").select(

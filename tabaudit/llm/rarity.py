@@ -24,15 +24,28 @@ def buckets(tokens: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """Counts of one task; always 8 MB."""
+    """Counts of one task; always 8 MB, and tokens held until there are enough to count at once."""
+
+    HOLD = 1 << 21
 
     def __init__(self) -> None:
         self.table = np.zeros(1 << BITS, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
 
     def add(self, tokens: np.ndarray) -> None:
-        self.table += np.bincount(buckets(tokens), minlength=1 << BITS)
+        self.held.append(buckets(tokens))
+        self.size += len(tokens)
+        if self.size >= self.HOLD:
+            self._count()
+
+    def _count(self) -> None:
+        if self.held:
+            self.table += np.bincount(np.concatenate(self.held), minlength=1 << BITS)
+            self.held, self.size = [], 0
 
     def packed(self) -> list[tuple[int, bytes]]:
+        self._count()
         parts = self.table.reshape(CHUNKS, _WIDTH)
         return [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(parts) if p.any()]
 
