@@ -174,9 +174,11 @@ def count_by_class(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame
     return crosstab(df, cols, target)
 
 
-def crosstab_wide(df: DataFrame, column: str, target: str, classes: Sequence[str]) -> DataFrame:
-    """One row per value, one column per class."""
+def crosstab_wide(df: DataFrame, column: str, target: str, classes: Sequence[str] | None = None) -> DataFrame:
+    """One row per value, one column per class; by default every class of the table has its column."""
     cells = crosstab(df, [column], target)
+    if classes is None:
+        classes = [r["class"] for r in cells.select("class").distinct().orderBy("class").collect()]
     return (
         cells.groupBy("value").pivot("class", list(classes)).agg(F.sum("n")).na.fill(0)
     )

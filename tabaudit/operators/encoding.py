@@ -75,7 +75,7 @@ def category_values(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
     return {c: sorted(v) for c, v in out.items()}
 
 
-def features(df: DataFrame, predictors: Sequence[str], one_hot_max: int = 10, width_cap: int = 300) -> list[Feature]:
+def features(df: DataFrame, predictors: Sequence[str], one_hot_max: int = 10) -> list[Feature]:
     """Model inputs: numbers as they are, short text columns one-hot without the
     first category, longer ones as label codes.  Dummies follow the others."""
     texts = [c for c in string_columns(df) if c in predictors]
@@ -92,7 +92,7 @@ def features(df: DataFrame, predictors: Sequence[str], one_hot_max: int = 10, wi
         else:
             for v in values[c][1:]:
                 dummies.append(Feature(f"{c}_{v}", c, F.coalesce((col(c) == F.lit(v)).cast("double"), F.lit(0.0))))
-    return (plain + dummies)[:width_cap]
+    return plain + dummies
 
 
 def has_null(df: DataFrame, column: str) -> bool:
@@ -135,4 +135,4 @@ def hash_split(df: DataFrame, keys: Sequence[str], split: tuple[float, float, fl
 
 
 def profile_features(df: DataFrame, predictors: Sequence[str], profile: AuditProfile) -> list[Feature]:
-    return features(df, predictors, profile.one_hot_max, profile.width_cap)
+    return features(df, predictors, profile.one_hot_max)

@@ -67,22 +67,33 @@ def crosstab(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
 def chi_square(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, n, chi2, dof) of value x class independence.
 
-    Uses N * (sum O^2 / (R C) - 1), so empty cells need not exist as rows;
-    2x2 tables take Yates' continuity correction.
+    Sums (O - E)^2 / E over the cells that exist; an empty cell adds its E, and
+    all of those together are N less the E of the cells that exist.  No term
+    is a difference of large numbers.  2x2 tables take Yates' continuity
+    correction.
     """
     cols = list(cols) if cols is not None else string_columns(df, exclude=[target])
     # The table is read once; everything below works on the written cell counts.
-    cells = materialize(crosstab(df, cols, target), "cells")
+    return chi_square_of_cells(materialize(crosstab(df, cols, target), "cells"))
+
+
+def chi_square_of_cells(cells: DataFrame) -> DataFrame:
+    """The test on counted cells (column, value, class, n)."""
     # Marginals grow with distinct values and classes, never with rows.
     by_class = cells.groupBy("column", "class").agg(F.sum("n").alias("_c"))
     by_value = cells.groupBy("column", "value").agg(F.sum("n").alias("_r"))
+    totals = by_class.groupBy("column").agg(F.sum("_c").alias("_n"))
+    expected = F.col("_r").cast("double") * (F.col("_c") / F.col("_n"))
     parts = (
         cells.join(by_value, ["column", "value"])
         .join(by_class, ["column", "class"])
+        .join(totals, "column")
         .groupBy("column")
         .agg(
             F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("n") / (F.col("_r").cast("double") * F.col("_c"))).alias("_s"),
+            F.sum(F.pow(F.col("n") - expected, F.lit(2)) / expected).alias("_s"),
+            F.sum(expected).alias("_e"),
+            F.count(F.lit(1)).alias("_cells"),
             F.min(F.struct("_r", "_c", "n")).alias("_one"),
         )
     )
@@ -94,9 +105,10 @@ def chi_square(df: DataFrame, target: str, cols: Sequence[str] | None = None) ->
     )
     t = parts.join(values, "column").join(classes, "column")
     dof = (F.col("_rows") - 1) * (F.col("_cols") - 1)
-    plain = F.col("n") * (F.col("_s") - F.lit(1.0))
+    every = F.col("_cells") == F.col("_rows") * F.col("_cols")
+    plain = F.col("_s") + F.when(every, F.lit(0.0)).otherwise(F.col("n") - F.col("_e"))
     # In a 2x2 table |O - E| is the same in all four cells.
-    gap = F.abs(F.col("_one.n") - F.col("_one._r").cast("double") * F.col("_one._c") / F.col("n"))
+    gap = F.abs(F.col("_one.n") - F.col("_one._r").cast("double") * (F.col("_one._c") / F.col("n")))
     gap = gap - F.least(F.lit(0.5), gap)
     yates = gap * gap * F.col("n") * F.col("_inv_r") * F.col("_inv_c")
     stat = F.when(dof == 0, F.lit(0.0)).when(dof == 1, yates).otherwise(plain)
@@ -155,7 +167,8 @@ def kruskal(df: DataFrame, target: str, cols: Sequence[str] | None = None, small
     )
     values = cells.groupBy("column", "value").agg(F.sum("_n").alias("cnt"))
     ranked = materialize(running_totals(values, "value", ["cnt"], ["column"], small=small), "ranks")
-    rank = F.col("cnt_before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)
+    # Ranks less n / 2: the middle is 1/2, so H needs no difference of large numbers.
+    rank = F.col("cnt_before") - F.col("cnt_total") / F.lit(2.0) + (F.col("cnt") + F.lit(1)) / F.lit(2.0)
     cnt = F.col("cnt").cast("double")
     ties = ranked.groupBy("column").agg(
         F.max("cnt_total").alias("n"), F.sum(cnt * cnt * cnt - cnt).alias("_ties")
@@ -165,10 +178,13 @@ def kruskal(df: DataFrame, target: str, cols: Sequence[str] | None = None, small
         .groupBy("column", "class")
         .agg(F.sum(F.col("_n") * F.col("_rank")).alias("_r"), F.sum("_n").alias("_c"))
         .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("_r") * F.col("_r") / F.col("_c")).alias("_s"))
+        .agg(
+            F.count(F.lit(1)).alias("groups"),
+            F.sum(F.col("_c") * F.pow(F.col("_r") / F.col("_c") - F.lit(0.5), F.lit(2))).alias("_s"),
+        )
     )
     n = F.col("n").cast("double")
-    h = F.lit(12.0) / (n * (n + 1)) * F.col("_s") - F.lit(3.0) * (n + 1)
+    h = F.lit(12.0) / (n * (n + 1)) * F.col("_s")
     fix = F.lit(1.0) - F.try_divide(F.col("_ties"), n * n * n - n)
     return sums.join(ties, "column").select(
         "column", "n", "groups", F.try_divide(h, fix).alias("h"), (F.col("groups") - 1).alias("dof")

@@ -37,7 +37,7 @@ def model_importances(
     if sample.count() < profile.leak_min_rows:
         return None
     sample = impute_median(sample, [c for c in numeric_columns(sample) if c in predictors])
-    inputs = features(sample, predictors, one_hot_max=10**9, width_cap=profile.leak_width)
+    inputs = features(sample, predictors, one_hot_max=10**9)
     if not inputs:
         return None
     names = [f"f{i}" for i in range(len(inputs))]
@@ -69,7 +69,8 @@ def hunt(
             best: dict[str, list[float]] = {}
             for r in table.collect():
                 best.setdefault(r["source"], []).append(r["importance"])
-            safe = {s for s, v in best.items() if min(v) <= profile.leak_importance}
-            removed += [(c, "importance", max(best.get(c, [0.0]))) for c in keep if c not in safe]
-            keep = [c for c in keep if c in safe]
+            # A predictor without any input, such as a constant text, has nothing to leak with.
+            leaks = {s for s, v in best.items() if min(v) > profile.leak_importance}
+            removed += [(c, "importance", max(best[c])) for c in keep if c in leaks]
+            keep = [c for c in keep if c not in leaks]
     return keep, removed

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabaudit.functions.columns import (
     col, missing, number, numeric_columns, pearson, percent, rows_of, scalar_columns, string_columns,
@@ -109,9 +110,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "au
 
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n) for all given columns in one pass; NULLs kept as NULL."""
+    """(column, value, n) for all given columns in one pass; NULL and NaN are NULL, -0.0 is 0.0."""
     cols = list(cols) if cols is not None else scalar_columns(df)
-    long = df.select(*[col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    kinds = {f.name: f.dataType for f in df.schema}
+    text = lambda c: (F.nanvl(col(c), F.lit(None).cast("double")) + F.lit(0.0) if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else col(c)).cast("string")
+    long = df.select(*[text(c).alias(c) for c in cols]).unpivot([], cols, "column", "value")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -406,12 +406,16 @@ def smallest_by_hash(
 
 
 def random_rows(df: DataFrame, n: int, rows: int | None = None, seed: int = 42) -> DataFrame:
-    """A uniform sample of ``n`` rows when no key identifies a row."""
+    """A uniform sample of ``n`` rows when no key identifies a row.
+
+    Rows that draw a small number are ordered by it and the first ``n`` stay,
+    so every part of the table is drawn from alike.
+    """
     total = df.count() if rows is None else rows
     if total <= n:
         return df
     share = min(1.0, (n + 10 * math.sqrt(n) + 10) / total)
-    return df.where(F.rand(seed) < F.lit(share)).limit(n)
+    return df.withColumn("_draw", F.rand(seed)).where(F.col("_draw") < F.lit(share)).orderBy("_draw").limit(n).drop("_draw")
 
 
 # ---------------------------------------------------------------- skewed joins
@@ -429,9 +433,8 @@ def split_hot_keys(
 
     Keys with more than ``hot_share`` of the big side (at most 1/share keys)
     are spread over ``ways`` tasks; their single partner row is repeated.
-    NULL keys match each other.  The salt is drawn per row, so ``big`` should
-    be a scan or a written table, whose rows come in the same order again when
-    a task is repeated.
+    NULL keys match each other.  The salt is a hash of the whole row, so a task
+    that is repeated deals its rows as before.
     """
     counts = big.groupBy(F.col(big_key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
     total = big.count()
@@ -446,7 +449,7 @@ def split_hot_keys(
         return cond | col.isNull() if None in hot else cond
 
     left = big.withColumn(
-        "_salt", F.when(is_hot(F.col(big_key)), F.floor(F.rand(42) * ways).cast("int")).otherwise(F.lit(0))
+        "_salt", F.when(is_hot(F.col(big_key)), F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith("map") else F.col(f"`{c}`") for c, t in big.dtypes]), F.lit(ways)).cast("int")).otherwise(F.lit(0))
     )
     right = unique.withColumn(
         "_salt2",

@@ -109,7 +109,14 @@ def first_values(df: DataFrame, column: str, n: int = 5) -> list:
 
 
 def is_survey_coded(values: Sequence) -> bool:
-    return all(not isinstance(v, (str, bool)) and v in SURVEY_CODES for v in values)
+    """Are there values, and all of them survey codes?"""
+    return bool(values) and all(not isinstance(v, (str, bool)) and v in SURVEY_CODES for v in values)
+
+
+def has_survey_codes(df: DataFrame, target: str) -> bool:
+    """Decided on every value of the column: more values than codes cannot all be codes."""
+    found = df.select(col(target).alias("v")).where("v is not null").distinct().limit(len(SURVEY_CODES) + 1).collect()
+    return is_survey_coded([r["v"] for r in found])
 
 
 def recode_yes_no(df: DataFrame, target: str) -> DataFrame:
@@ -166,6 +173,6 @@ def analyse_structure(df: DataFrame, profile: AuditProfile = AUDIT, held: Sequen
     target = choose_target(names(df), distinct, profile)
     if target is None:
         return Structure(df, None, [], dropped, renamed)
-    if profile.survey_recode and is_survey_coded(first_values(df, target)):
+    if profile.survey_recode and has_survey_codes(df, target):
         df = recode_yes_no(df, target)
     return Structure(df, target, choose_predictors(df, target, profile, held), dropped, renamed)

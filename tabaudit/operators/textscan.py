@@ -35,17 +35,19 @@ def scan(df: DataFrame, key: str, text: str, rules: Sequence[TextRule] = SOURCE_
     any_rule = F.lit(False)
     for r in rules:
         any_rule = any_rule | body.rlike(r.pattern)
+    # Lines before each match, counted inside the text: no grouping, whatever the key.
+    step = lambda pair: _newlines(pair["between"]) + _newlines(F.coalesce(pair["hits"], F.lit("")))
+    before = F.transform(
+        F.sequence(F.lit(0), F.size("hits") - 1),
+        lambda i: F.aggregate(F.slice(F.arrays_zip("hits", "between"), F.lit(1), i), F.lit(0), lambda n, p: n + step(p)) + _newlines(F.get("between", i)) + F.lit(1),
+    )
     per_rule = spread(df.select(key, text)).where(any_rule).select(col(key).alias(key), F.inline(F.array(*found))).where(F.size("hits") > 0)
     matches = per_rule.select(
-        key, "rule", "severity", F.posexplode(F.arrays_zip("hits", "between")).alias("match_no", "m")
-    ).where("m.hits is not null").select(
-        key, "rule", "severity", "match_no", F.substring("m.hits", 1, 50).alias("code"),
-        _newlines(F.col("m.between")).alias("_gap"), _newlines(F.col("m.hits")).alias("_own"),
+        key, "rule", "severity", F.posexplode(F.arrays_zip("hits", before.alias("line"))).alias("match_no", "m")
+    )
+    return matches.select(
+        key, "rule", "severity", "match_no", F.col("m.line").cast("bigint").alias("line"), F.substring("m.hits", 1, 50).alias("code")
     )
-    # One window group is one rule in one text.
-    w = Window.partitionBy(key, "rule").orderBy("match_no").rowsBetween(Window.unboundedPreceding, 0)
-    line = F.sum(F.col("_gap") + F.col("_own")).over(w) - F.col("_own") + F.lit(1)
-    return matches.select(key, "rule", "severity", "match_no", line.cast("bigint").alias("line"), "code")
 
 
 def totals(df: DataFrame, key: str, text: str, rules: Sequence[TextRule] = SOURCE_TEXT_RULES) -> DataFrame:

@@ -19,7 +19,7 @@ QUERIES["count_by_class"] = lambda s, d: chartdata.count_by_class(lineitem_gaps(
 ORACLE["count_by_class"] = f"""SELECT 'l_returnflag' AS "column", l_returnflag AS value, l_linestatus AS "class", count(*) AS n
 FROM {GAPS} WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 2, 3"""
 
-QUERIES["crosstab_wide"] = lambda s, d: chartdata.crosstab_wide(table(s, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+QUERIES["crosstab_wide"] = lambda s, d: chartdata.crosstab_wide(table(s, d, "orders"), "o_orderpriority", "o_orderstatus")
 ORACLE["crosstab_wide"] = """SELECT o_orderpriority AS value, count(*) FILTER (o_orderstatus = 'F') AS "F",
   count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1"""
 

@@ -216,16 +216,27 @@ QUERIES["run_manifest"] = lambda s, d: sinks.manifest(_log(s, d))
 ORACLE["run_manifest"] = """SELECT count(*) AS inputs, count(*) FILTER (o_orderstatus = 'F') AS succeeded,
   count(*) FILTER (o_orderstatus <> 'F') AS failed, CASE WHEN count(*) FILTER (o_orderstatus <> 'F') = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status FROM orders"""
 
-# --- file listing: the folder holds one file per table ----------------------
+# --- file listing: every listed table is opened and counted ------------------
 _FILES = (
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
     "orders", "pages", "part", "region", "supplier",
 )
-QUERIES["file_inventory"] = lambda s, d: files.data_files(files.inventory(s, d)).select(
-    "filename", "suffix", (F.col("length") > 0).alias("has_content"))
+
+
+def _rows_per_file(s, d):
+    parts = [table(s, d, f).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(f"{f}.parquet").alias("filename"), "row_count") for f in _FILES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+QUERIES["file_inventory"] = lambda s, d: files.data_files(files.inventory(s, d)).select("filename", "suffix").join(
+    _rows_per_file(s, d), "filename")
 ORACLE["file_inventory"] = union(
-    f"SELECT '{f}.parquet' AS filename, '.parquet' AS suffix, true AS has_content" for f in _FILES)
+    f"SELECT '{f}.parquet' AS filename, '.parquet' AS suffix, count(*) AS row_count FROM {f}" for f in _FILES)
 
-QUERIES["artifact_index"] = lambda s, d: files.artifact_index(files.inventory(s, d), d).drop("full_path")
+QUERIES["artifact_index"] = lambda s, d: files.artifact_index(files.inventory(s, d), d).drop("full_path").join(
+    _rows_per_file(s, d), "filename")
 ORACLE["artifact_index"] = union(
-    f"SELECT '' AS source_root, '{f}.parquet' AS relative_path, '{f}.parquet' AS filename" for f in _FILES)
+    f"SELECT '' AS source_root, '{f}.parquet' AS relative_path, '{f}.parquet' AS filename, count(*) AS row_count FROM {f}" for f in _FILES)

@@ -104,7 +104,7 @@ FROM lineitem GROUP BY 1, 2"""
 def _survey(s, d):
     df = table(s, d, "lineitem").withColumn(
         "answer", F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(9))
-    if structure.is_survey_coded(structure.first_values(df, "answer")):
+    if structure.has_survey_codes(df, "answer"):
         df = structure.recode_yes_no(df, "answer")
     return rounded(df.groupBy("answer", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv as pycsv
 import re
+from functools import reduce
+from urllib.parse import unquote
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,20 @@ def first_line(spark: SparkSession, path: str | Sequence[str], encoding: str = L
     return re.sub("^(\ufeff|ï»¿)", "", text)
 
 
+def header_groups(spark: SparkSession, path: str | Sequence[str], encoding: str = LATIN1) -> list[list[str]]:
+    """The files of a load, grouped by header line; one scan, one row per header."""
+    files = spark.read.text(path).inputFiles()
+    if len(files) < 2:
+        return [files]
+    reader = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "")
+    lines = reader.schema("line string").csv(path).select(
+        "line", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place")
+    )
+    heads = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("line", "place").alias("head"))
+    found = heads.groupBy("head").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("files")
+    return [[unquote(f) for f in r["files"]] for r in found.collect()]
+
+
 def sniff_separator(line: str) -> str:
     """Semicolon only if there is no comma, else tab if present, else comma."""
     if ";" in line and "," not in line:
@@ -66,10 +82,17 @@ def read_texts(
 ) -> DataFrame:
     """All columns as text; over-long lines dropped, short ones padded with NULL.
 
+    Every file is read by its own header: files are grouped by header line and
+    the groups united by column name, a column that a group lacks being NULL.
+
     The schema has one column more than the header: a line that fills it has
     too many fields.  ``multiline=None`` looks for line breaks inside quotes
     first, because files read that way cannot be split.
     """
+    groups = header_groups(spark, path, encoding)
+    if len(groups) > 1:
+        parts = [read_texts(spark, files, sep, encoding, multiline) for files in groups]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     line = first_line(spark, path, encoding)
     sep = sep or sniff_separator(line)
     names = header_names(line, sep)
@@ -88,7 +111,10 @@ def read_texts(
         .csv(path)
     )
     # A line with as many fields as the header is one short of the schema.
-    fits = F.col("_line").isNotNull() & F.col("_extra").isNull()
+    # Separators outside quotes tell a longer line whose first surplus field is empty.
+    bare = F.regexp_replace("_line", '"[^"]*"', "")
+    surplus = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) > len(names) - 1
+    fits = F.col("_line").isNotNull() & F.col("_extra").isNull() & ~surplus
     return raw.where(fits).select(*[F.col(i).alias(n) for i, n in zip(inner, names)])
 
 

@@ -14,11 +14,10 @@ _SEPARATORS = r"[,\t\s]+"
 
 
 def read_fields(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Text columns ``0``, ``1``, ...; the first line gives their number."""
+    """Text columns ``0``, ``1``, ...; the longest line gives their number, shorter ones end in NULL."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     parts = lines.select(F.split("value", _SEPARATORS, -1).alias("p"))
-    first = parts.first()
-    width = len(first["p"]) if first else 0
+    width = parts.agg(F.max(F.size("p"))).first()[0] or 0
     return parts.select(*[F.get("p", F.lit(i)).alias(str(i)) for i in range(width)])
 
 

@@ -99,3 +99,22 @@ def test_normality_per_column(spark):
     assert one["tail"]["test"] == "Kruskal-Wallis" and one["bell"]["sampled"] == 500
     assert one["few"]["test"] == "not enough data"
     assert one["bell"]["w"] == two["bell"]["w"]
+
+
+def test_large_counts(spark):
+    from fractions import Fraction
+
+    from tabaudit.functions import special
+
+    # Probabilities at 1e13 degrees of freedom are those of the limit.
+    assert special.t_two_sided(2.0, 1e13) == pytest.approx(0.04550026389635842, abs=1e-12)
+    assert special.f_sf(4.0, 1, 1e13) == pytest.approx(0.04550026389635842, abs=1e-9)
+    cells = {("a", "x"): 4_000_000_000, ("a", "y"): 4_000_010_000, ("b", "x"): 4_000_020_000, ("b", "y"): 4_000_000_000, ("c", "x"): 10**13, ("c", "y"): 10**13}
+    rows = [("v", v, c, n) for (v, c), n in cells.items()]
+    counted = spark.createDataFrame(rows, "column string, value string, class string, n long")
+    got = hypothesis.chi_square_of_cells(counted).first()
+    total = sum(cells.values())
+    r = {v: sum(n for (a, _), n in cells.items() if a == v) for v in "abc"}
+    k = {c: sum(n for (_, b), n in cells.items() if b == c) for c in "xy"}
+    true = sum((Fraction(n) - Fraction(r[v] * k[c], total)) ** 2 / Fraction(r[v] * k[c], total) for (v, c), n in cells.items())
+    assert got["chi2"] == pytest.approx(float(true), rel=1e-6) and got["dof"] == 2

@@ -135,3 +135,21 @@ def test_profile_metadata_and_tables(spark, data, tmp_path):
     assert spark.read.parquet(str(tmp_path / "all" / "density")).count() == 3000
     assert "Mean:" in tables["summary"].first()["text"]
     assert sinks.as_json(df.select(F.lit(1).alias("a"))).first()["json"] == '{"a":1}'
+
+
+def test_files_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a,c\n20,10,x\n")
+    rows = {tuple(r) for r in csv.load(spark, str(tmp_path)).select("a", "b", "c").collect()}
+    assert rows == {(1, 2, None), (10, 20, "x")}
+
+
+def test_surplus_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n3,4,,5\n\"6,6\",7\n")
+    assert {tuple(r) for r in csv.load(spark, str(tmp_path / "a.csv")).collect()} == {("1", 2), ("6,6", 7)}
+
+
+def test_headerless_keeps_long_lines(spark, tmp_path):
+    (tmp_path / "x.data").write_text("1,2\n3,4,5\n")
+    got = {tuple(r) for r in headerless.read_fields(spark, str(tmp_path / "x.data")).collect()}
+    assert got == {("1", "2", None), ("3", "4", "5")}

@@ -56,9 +56,15 @@ def test_recode_keeps_yes_and_no(spark):
     assert not structure.is_survey_coded(["1", "2"])
 
 
-def test_only_the_first_five_values_decide(spark):
+def test_all_values_decide_on_the_recode(spark):
     df = spark.createDataFrame([(v,) for v in (1, 2, 3, 4, 7, 55)], "y int").coalesce(1)
-    assert structure.is_survey_coded(structure.first_values(df, "y"))
+    assert not structure.has_survey_codes(df, "y") and structure.has_survey_codes(df.where("y < 55"), "y")
+    assert not structure.has_survey_codes(df.where("y > 99"), "y")
+
+
+def test_every_predictor_has_its_inputs(spark):
+    df = spark.range(4).select(*[F.rand(i).alias(f"x{i}") for i in range(520)])
+    assert len(encoding.features(df, df.columns)) == 520
 
 
 def test_sparse_outcome(spark):
@@ -100,7 +106,6 @@ def test_features(spark):
     coded = encoding.features(df, ["cat", "num", "many_values"], one_hot_max=2)
     assert [f.name for f in coded] == ["cat", "num", "many_values"]
     assert [r[0] for r in df.select(coded[0].value).collect()] == [1.0, 0.0, 2.0]
-    assert len(encoding.features(df, ["cat", "num"], width_cap=2)) == 2
 
 
 @pytest.mark.parametrize("small", [True, False])
