@@ -4,12 +4,12 @@ A line is the set of its words, A-Z lowered.  Equal sets collapse first: only
 the first line of each set goes on.  Tokens are ordered by rarity; two sets
 with Jaccard similarity of at least the threshold share a token of their
 prefixes, differ little in length, and meet early enough in both.  Candidates
-are verified on whole sets.  A line is removed if an earlier one matches it.
+are verified on whole sets of 32-bit token hashes: two words of a compared pair
+are taken for one with probability 2^-32.  A line is removed if an earlier one matches it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,17 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabaudit.llm.common import WordHashes, broadcast_if_small, mixed, nullable, row_key
-from tabaudit.llm.rarity import Counts, buckets, levels
+from tabaudit.llm.rarity import BITS, Counts, levels
 from tabaudit.operators.scale import materialize
 
 THRESHOLD = 80  # per cent
 CHUNK = 1 << 19
 
 
-def _lines(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").split(b"\n")
-
-
 def _chunks(values: Iterator[str | None]) -> Iterator[tuple[int, list[str | None]]]:
     """Whole texts in groups of about ``CHUNK`` characters, with the place of the first."""
     at, held, size = 0, [], 0
@@ -43,107 +39,92 @@ def _chunks(values: Iterator[str | None]) -> Iterator[tuple[int, list[str | None
 
 
 def token_sets(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, ...]:
-    """Sets of all worded lines: (text no, line no, set size, digest, line of each token, token)."""
+    """Sets of all worded lines: (text no, line no, set size, digest, tokens of all lines one after the other)."""
     doc, number, count, words = [], [], [], []
     for i, text in enumerate(texts):
-        for j, line in enumerate(_lines(text)):
-            own = line.lower().split()
+        for j, line in enumerate((text or "").encode("utf-8", "replace").lower().split(b"\n")):
+            own = set(line.split())
             if own:
                 doc.append(i)
                 number.append(j)
                 count.append(len(own))
                 words += own
-    tokens = mixed(hashes.of(words))
-    line = np.repeat(np.arange(len(count)), count)
-    order = np.lexsort((tokens, line))
-    tokens, line = tokens[order], line[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
-    tokens, line = tokens[new], line[new]
-    size = np.bincount(line, minlength=len(count))
+    tokens, size = mixed(hashes.of(words)), np.array(count, np.int32)
     starts = np.cumsum(size) - size
     digest = mixed(np.add.reduceat(mixed(tokens), starts) + size.astype(np.uint64)) if len(size) else np.empty(0, np.uint64)
-    return np.array(doc, np.int64), np.array(number, np.int32), size.astype(np.int32), digest.view(np.int64), line, tokens
-
+    return np.array(doc, np.int64), np.array(number, np.int32), size, digest.view(np.int64), tokens
 
-def _needed(n: np.ndarray, threshold: int) -> np.ndarray:
-    """Tokens a set of n must share with any set similar to it."""
-    return -(-n.astype(np.int64) * threshold // 100)
 
+def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """One scan of the texts: all worded lines, their token sets, and the rarity levels.
 
-def line_classes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """All worded lines (doc_id, row_key, line, n, digest), and the rarity levels; one scan of the texts."""
+    Lines are (doc_id, row_key, line, n, digest); sets are (digest, n, bits,
+    tokens) with tokens as 32-bit hashes and ``bits`` the 64 hash classes
+    they fall into, each set at least once.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes, kind = Counts(), WordHashes(), None
-        names = ["doc_id", "row_key", "line", "n", "digest", "chunk", "counts"]
+        counts, hashes, seen, kind = Counts(), WordHashes(), set(), None
+        names = ["doc_id", "row_key", "line", "n", "digest", "bits", "tokens", "chunk", "counts"]
         for batch in batches:
             kind = batch.column(0).type
             for at, texts in _chunks(v.as_py() for v in batch.column(2)):
-                doc, number, size, digest, _, tokens = token_sets(texts, hashes)
+                doc, number, size, digest, tokens = token_sets(texts, hashes)
                 counts.add(tokens)
+                # A set that this task has already handed on is not repeated; forgetting some only costs rows.
+                if len(seen) > 200_000:
+                    seen.clear()
+                fresh = [not (d in seen or seen.add(d)) for d in digest.tolist()]
+                ends = np.cumsum(size)
+                small = (tokens >> np.uint64(32)).astype(np.uint32)
+                bit = np.uint64(1) << (tokens & np.uint64(63))
+                bits = np.bitwise_or.reduceat(bit, ends - size) if len(size) else bit
+                packed = [small[e - n : e].tobytes() if new else None for e, n, new in zip(ends.tolist(), size.tolist(), fresh)]
                 rows, none = pa.array(doc + at), len(doc)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number), pa.array(size), pa.array(digest),
-                    pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()),
+                    pa.array(bits.view(np.int64)), pa.array(packed, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()),
                 ], names)
         if kind is not None:
-            packed = counts.packed()
-            n = len(packed)
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
-                pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary()),
-            ], names)
-
-    schema = nullable(docs.select("doc_id")).add("row_key", "long").add("line", "integer").add("n", "integer").add("digest", "long").add("chunk", "integer").add("counts", "binary")
+            parts = counts.packed()
+            n = len(parts)
+            empty = [pa.nulls(n, t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names)
+
+    schema = nullable(docs.select("doc_id"))
+    for name, kind in (("row_key", "long"), ("line", "integer"), ("n", "integer"), ("digest", "long"), ("bits", "long"), ("tokens", "binary"), ("chunk", "integer"), ("counts", "binary")):
+        schema = schema.add(name, kind)
     found = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(read, schema), "lines")
     level = levels(found.filter("chunk IS NOT NULL").select("chunk", "counts"))
-    return found.filter("chunk IS NULL").drop("chunk", "counts"), level
-
-
-def _postings(docs: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
-    """Prefix tokens of all worded lines: (token, digest, n, pos)."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for batch in batches:
-            for _, texts in _chunks(v.as_py() for v in batch.column(0)):
-                _, _, size, digest, line, tokens = token_sets(texts, hashes)
-                # Sets that this task has already handed on are not repeated; forgetting them only costs rows.
-                if len(seen) > 200_000:
-                    seen.clear()
-                fresh = np.array([not (d in seen or seen.add(d)) for d in digest.tolist()], bool)
-                order = np.lexsort((tokens, shared.value[buckets(tokens)], line))
-                starts = np.cumsum(size) - size
-                pos = np.arange(len(tokens)) - starts[line]
-                keep = (pos < (size - _needed(size, threshold) + 1)[line]) & fresh[line]
-                own = line[keep]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(tokens[order][keep].view(np.int64)), pa.array(digest[own]), pa.array(size[own]), pa.array(pos[keep].astype(np.int32)),
-                ], ["token", "digest", "n", "pos"])
-
-    return docs.select("text").mapInArrow(read, "token long, digest long, n int, pos int")
+    return (
+        found.filter("chunk IS NULL").select("doc_id", "row_key", "line", "n", "digest"),
+        found.filter("tokens IS NOT NULL").select("digest", "n", "bits", "tokens"), level,
+    )
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Whole token sets of the wanted lines (row_key, line): (digest, tokens), tokens sorted."""
-    lines = broadcast_if_small(wanted.groupBy("row_key").agg(F.collect_set("line").alias("lines")))
+def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
+    """Prefix tokens of the sets: (token, digest, n, bits, pos)."""
+    shared = sets.sparkSession.sparkContext.broadcast(level)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            wanted_lines = batch.column(1).to_pylist()
-            for at, texts in _chunks(v.as_py() for v in batch.column(0)):
-                doc, number, size, digest, _, tokens = token_sets(texts, hashes)
-                starts = np.cumsum(size) - size
-                marks = [set(x) for x in wanted_lines[at : at + len(texts)]]
-                mine = [i for i, (d, j) in enumerate(zip(doc.tolist(), number.tolist())) if j in marks[d]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(digest[mine]), pa.array([tokens[starts[i] : starts[i] + size[i]].tobytes() for i in mine], pa.binary()),
-                ], ["digest", "tokens"])
+            if not batch.num_rows:
+                continue
+            size = batch.column(1).to_numpy().astype(np.int64)
+            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32)
+            line = np.repeat(np.arange(len(size)), size)
+            rank = (shared.value[tokens >> (32 - BITS)].astype(np.uint64) << np.uint64(32)) | tokens
+            order = np.lexsort((rank, line))
+            pos = np.arange(len(tokens)) - (np.cumsum(size) - size)[line]
+            # What a set must share with any similar one leaves this many tokens to look at.
+            keep = pos < (size + size * threshold // -100 + 1)[line]
+            own = pa.array(line[keep])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(tokens[order][keep].astype(np.int64)), batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own),
+                pa.array(pos[keep].astype(np.int32)),
+            ], ["token", "digest", "n", "bits", "pos"])
 
-    return docs.join(lines, "row_key").select("text", "lines").mapInArrow(read, "digest long, tokens binary").dropDuplicates(["digest"])
+    return sets.select("digest", "n", "bits", "tokens").mapInArrow(read, "token long, digest long, n int, bits long, pos int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -151,42 +132,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = []
-            for s, t in zip(a, b):
-                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = set(np.frombuffer(s, np.uint32).tolist()), np.frombuffer(t, np.uint32).tolist()
+                both = len(x.intersection(y))
                 good.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("digest").alias("x"), F.col("tokens").alias("_x"))
-    right = sets.select(F.col("digest").alias("y"), F.col("tokens").alias("_y"))
+    pairs = materialize(pairs, "line_pairs")
+    wanted = pairs.select(F.col("x").alias("digest")).unionByName(pairs.select(F.col("y").alias("digest"))).distinct()
+    # The few sets in question are found where they lie; a large list of them is joined by shuffle.
+    near = materialize(sets.join(broadcast_if_small(wanted), "digest", "left_semi").select("digest", "tokens").dropDuplicates(["digest"]), "line_sets")
+    left = near.select(F.col("digest").alias("x"), F.col("tokens").alias("_x"))
+    right = near.select(F.col("digest").alias("y"), F.col("tokens").alias("_y"))
     return pairs.join(left, "x").join(right, "y").select("x", "y", "_x", "_y").mapInArrow(check, "x long, y long")
 
 
 def _possible(a: str, b: str, threshold: int) -> Column:
-    """Length and positional bounds of two postings of one token."""
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    most = 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) - 1
-    return (small * 100 >= large * threshold) & (most * (100 + threshold) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * threshold)
+    """Length, positional and hash-class bounds of two postings of one token."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    alone = lambda p, q: F.bit_count(p("bits").bitwiseAND(F.bitwise_not(q("bits"))))
+    # Tokens from this one on, and tokens less the classes the other set lacks, bound the intersection.
+    most = F.least(x("n") - x("pos"), y("n") - y("pos"), x("n") - alone(x, y), y("n") - alone(y, x))
+    return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * threshold) & (most * (100 + threshold) >= (x("n") + y("n")) * threshold)
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Lines to remove, (row_key, lines), from (doc_id, row_key, text); see ``dedup_lines``."""
-    lines, level = line_classes(docs)
+    lines, sets, level = line_classes(docs)
     place = F.struct("doc_id", "row_key", "line")
-    classes = materialize(lines.groupBy("digest").agg(F.min(place).alias("first"), F.first("n").alias("n")), "classes")
+    classes = materialize(lines.groupBy("digest").agg(F.min(place).alias("first")), "classes")
     by_token = Window.partitionBy("token")
     met = (
-        _postings(docs, level, threshold).repartition("token")
+        _postings(sets, level, threshold).repartition("token")
         .withColumns({"_low": F.min("digest").over(by_token), "_high": F.max("digest").over(by_token)})
-        .filter("_low < _high").dropDuplicates(["token", "digest"]).select("token", "digest", "n", "pos")
+        .filter("_low < _high").dropDuplicates(["token", "digest"]).select("token", "digest", "n", "bits", "pos")
     )
-    met = materialize(met.join(classes.select("digest", "first"), "digest"), "met")
-    wanted = met.select("first.row_key", "first.line").distinct()
-    sets = materialize(_sets(docs, wanted), "sets")
+    met = materialize(met.join(classes, "digest"), "met")
     # First every set against the earliest of each of its buckets: hot groups of near copies end here.
-    earliest = met.groupBy("token").agg(F.min(F.struct("first", "digest", "n", "pos")).alias("e")).select("token", "e.*")
+    earliest = met.groupBy("token").agg(F.min(F.struct("first", "digest", "n", "bits", "pos")).alias("e")).select("token", "e.*")
     bound = lambda a, b: (F.col(f"{a}.token") == F.col(f"{b}.token")) & (F.col(f"{b}.first") < F.col(f"{a}.first")) & _possible(a, b, threshold)
     pair = [F.col("a.digest").alias("x"), F.col("b.digest").alias("y")]
     near = met.alias("a").join(earliest.alias("b"), bound("a", "b")).select(*pair).distinct()
@@ -196,9 +180,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     others = rest.alias("a").join(met.alias("b"), bound("a", "b")).select(*pair).distinct()
     late = settled.unionByName(_verified(others, sets, threshold).select(F.col("x").alias("digest")).distinct())
     gone = classes.join(late.withColumn("_late", F.lit(True)), "digest", "left")
-    marked = lines.join(gone.select("digest", "first", "_late"), "digest").filter(
-        F.col("_late").isNotNull() | ~place.eqNullSafe(F.col("first"))
-    )
+    marked = lines.join(gone, "digest").filter(F.col("_late").isNotNull() | ~place.eqNullSafe(F.col("first")))
     return marked.groupBy("row_key").agg(F.collect_set("line").alias("lines"))
 
 
