@@ -86,16 +86,20 @@ def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _meetings(docs: DataFrame, level: np.ndarray, words: int, similarity: int) -> DataFrame:
-    """Prefix tokens that at least two different sets have: (token, node, n, c); c tells how shared the token is."""
+    """Prefix tokens that at least two different sets have: (token, node, n, pos, c).
+
+    ``pos`` is the token's place in the set's rarity order, ``c`` tells how shared the token is.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            tokens, nodes, sizes, held = [], [], [], 0
+            tokens, nodes, sizes, places, held = [], [], [], [], 0
             pack = lambda: pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)),
-            ], ["token", "node", "n"])
+                pa.array(np.concatenate(places)),
+            ], ["token", "node", "n", "pos"])
             for value in batch.column(0):
                 own = shingle_set(value.as_py(), hashes, words)
                 node = set_id(own) if len(own) else None
@@ -109,18 +113,19 @@ def _meetings(docs: DataFrame, level: np.ndarray, words: int, similarity: int) -
                 tokens.append(own[np.lexsort((own, shared.value[buckets(own)]))[:keep]])
                 nodes.append(np.full(keep, node, np.int64))
                 sizes.append(np.full(keep, len(own), np.int64))
+                places.append(np.arange(keep, dtype=np.int64))
                 held += keep
                 if held > 100_000:
                     yield pack()
-                    tokens, nodes, sizes, held = [], [], [], 0
+                    tokens, nodes, sizes, places, held = [], [], [], [], 0
             if tokens:
                 yield pack()
 
     by_token = Window.partitionBy("token")
     return (
-        docs.select("text").mapInArrow(read, "token long, node long, n long").repartition("token")
+        docs.select("text").mapInArrow(read, "token long, node long, n long, pos long").repartition("token")
         .withColumns({"_low": F.min("node").over(by_token), "_high": F.max("node").over(by_token), "c": F.count("*").over(by_token)})
-        .filter("_low < _high").dropDuplicates(["token", "node"]).select("token", "node", "n", "c")
+        .filter("_low < _high").dropDuplicates(["token", "node"]).select("token", "node", "n", "pos", "c")
     )
 
 
@@ -128,10 +133,14 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of the wanted rows (row_key)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             nodes, sets, held = [], [], 0
-            for value in batch.column(0):
+            for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                # Rows equal in id and text share a key and give one set per task.
+                if row in seen:
+                    continue
+                seen.add(row)
                 sets.append(shingle_set(value.as_py(), hashes, words))
                 nodes.append(set_id(sets[-1]))
                 held += len(sets[-1])
@@ -141,7 +150,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     chosen = docs.join(broadcast_if_small(wanted), "row_key", "left_semi")
-    return chosen.select("text").mapInArrow(read, "node long, shingles binary").dropDuplicates(["node"])
+    return chosen.select("row_key", "text").mapInArrow(read, "node long, shingles binary")
 
 
 class Sets:
@@ -191,7 +200,7 @@ class Sets:
         pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("_p"))
         return materialize(
             close.join(pivots, "pivot").join(sets, "node").select("node", "pivot", "limit", "shingles", "_p")
-            .mapInArrow(exact, "node long, pivot long, limit double, distance double, linked boolean"), "measured",
+            .mapInArrow(exact, "node long, pivot long, limit double, distance double, linked boolean").distinct(), "measured",
         )
 
 
@@ -199,9 +208,11 @@ def _regions(met: DataFrame, sets: Sets, radius: int) -> tuple[DataFrame, DataFr
     """Home region of every set, (node, region, distance), and the links seen on the way.
 
     A set votes for its most shared, its least shared and one chance token;
-    the sets of one token have the one with the least hash as pivot.  Of the
-    pivots it voted for, a set's home is the nearest within the radius, else
-    it is a region of its own.
+    the sets of one token have the most central one as pivot, whose tokens are
+    shared most often in all: the source of a group of near copies, which is
+    near to all of them, rather than one copy.  Of the pivots it voted for, a
+    set's home is the nearest within the radius, else it is a region of its
+    own.
     """
     nodes = met.select("node").distinct()
     if radius == 0:
@@ -211,9 +222,10 @@ def _regions(met: DataFrame, sets: Sets, radius: int) -> tuple[DataFrame, DataFr
         F.array(
             F.max(F.struct("c", chance.alias("h"), "token"))["token"], F.min(F.struct("c", chance.alias("h"), "token"))["token"],
             F.min(F.struct(chance.alias("h"), "token"))["token"],
-        ).alias("tokens")
-    ).select("node", "n", F.explode(F.array_distinct("tokens")).alias("token"))
-    pivots = votes.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
+        ).alias("tokens"),
+        F.sum("c").alias("w"),
+    ).select("node", "n", "w", F.explode(F.array_distinct("tokens")).alias("token"))
+    pivots = votes.groupBy("token").agg(F.max(F.struct("w", F.xxhash64("node").alias("h"), "node", "n")).alias("p"))
     pairs = (
         votes.join(pivots, "token")
         .filter((F.col("node") != F.col("p.node")) & (100 * F.least("n", "p.n") >= (100 - radius) * F.greatest("n", "p.n")))
@@ -232,6 +244,8 @@ def linked_sets(met: DataFrame, sets: Sets, radii: Sequence[int] = RADII) -> Dat
     if radii[-1] != 0:
         raise ValueError("the last radius must be zero")
     similarity = sets.similarity
+    if max(radii) > 100 - similarity:
+        raise ValueError("members of a region must link with its pivot")
     far = 1 - similarity / 100
     links, roots = None, None
     for radius in radii:
@@ -248,13 +262,15 @@ def linked_sets(met: DataFrame, sets: Sets, radii: Sequence[int] = RADII) -> Dat
             placed = placed.withColumn("root", F.col("node"))
         # Members of a region share their root with the pivot, as its radius is at most the link distance.
         by_region = placed.groupBy("token", "region").agg(
-            F.min("n").alias("least"), F.max("n").alias("most"), F.first("reach").alias("reach"), F.first("root").alias("root")
+            F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.first("reach").alias("reach"), F.first("root").alias("root")
         )
         pairs = (
             placed.alias("x").join(by_region.alias("r"), "token")
             # One direction is enough: the set of the smaller region visits the larger one.
             .filter((F.struct("x.reach", "x.region") < F.struct("r.reach", "r.region")) & (F.col("x.root") != F.col("r.root")))
             .filter((F.col("x.n") * 100 >= F.col("r.least") * similarity) & (F.col("r.most") * 100 >= F.col("x.n") * similarity))
+            # At the first token two sets share, the intersection is at most what follows in either order.
+            .filter(F.least(F.col("x.n") - F.col("x.pos"), F.col("r.rest")) * (100 + similarity) >= (F.col("x.n") + F.col("r.least")) * similarity)
             .select("x.node", F.col("r.region").alias("pivot"), (F.lit(far) + F.col("r.reach")).alias("limit")).distinct()
         )
         visits = sets.measured(pairs)
