@@ -10,6 +10,7 @@ are never built.
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,10 +24,10 @@ from tabaudit.llm.common import row_key
 from tabaudit.operators.scale import materialize
 
 # At most so many frequent pre-tokens of at most so many bytes are broadcast.
-HEAD_ROWS = 200_000
+HEAD_ROWS = 100_000
 HEAD_BYTES = 64
 # A task hands its counts on when it holds this many distinct pre-tokens.
-HELD = 300_000
+HELD = 50_000
 # Pre-tokens of byte-level BPE: contractions, words, numbers, other signs, white space (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -75,6 +76,7 @@ def vocabulary(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
         yield flush()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task: Spark spreads the work
         tokenizer = Tokenizer.from_str(shared.value)
         for batch in batches:
             found = tokenizer.encode_batch(batch.column("piece").to_pylist(), add_special_tokens=False)
@@ -141,7 +143,7 @@ def count_tokens(
                     times.append(n)
                     sums.append(total)
                     total = 0
-                if len(keys) > 200_000:
+                if len(keys) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.string()), pa.array(times, pa.int64()), pa.array(sums, pa.int64())], ["row_key", "piece", "times", "known"])
                     keys, pieces, times, sums = [], [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.string()), pa.array(times, pa.int64()), pa.array(sums, pa.int64())], ["row_key", "piece", "times", "known"])
