@@ -14,15 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import WordHashes, broadcast_if_small, mixed, nullable, row_key
+from tabaudit.llm.common import BROADCAST_ROWS, WordHashes, broadcast_if_small, mixed, nullable, row_key
 from tabaudit.llm.rarity import BITS, Counts, levels
 from tabaudit.operators.scale import materialize
 
 THRESHOLD = 80  # per cent
 CHUNK = 1 << 19
+# Buckets of up to so many postings are searched for possible pairs at once; larger ones go on whole.
+BUCKET = 512
+HELD = 1 << 16
+# Tokens seen 2^14 times or more may have large buckets: their postings are spread over tasks and go on whole.
+HOT_LEVEL = 14
+SPREAD = 64
 
 
 def _chunks(values: Iterator[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -102,8 +108,11 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     )
 
 
+POSTING = "token long, salt int, digest long, n int, bits long, pos int"
+
+
 def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
-    """Prefix tokens of the sets: (token, digest, n, bits, pos)."""
+    """Prefix tokens of the sets: (token, salt, digest, n, bits, pos); the salt is 0 but for hot tokens."""
     shared = sets.sparkSession.sparkContext.broadcast(level)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,17 +127,93 @@ def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
             pos = np.arange(len(tokens)) - (np.cumsum(size) - size)[line]
             # What a set must share with any similar one leaves this many tokens to look at.
             keep = pos < (size + size * threshold // -100 + 1)[line]
-            own = pa.array(line[keep])
+            own, token = pa.array(line[keep]), tokens[order][keep]
+            digest = batch.column(0).to_numpy()[line[keep]]
+            salt = np.where(shared.value[token >> (32 - BITS)] >= HOT_LEVEL, 1 + digest % SPREAD, 0)
             yield pa.RecordBatch.from_arrays([
-                pa.array(tokens[order][keep].astype(np.int64)), batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own),
+                pa.array(token.astype(np.int64)), pa.array(salt.astype(np.int32)), batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own),
                 pa.array(pos[keep].astype(np.int32)),
-            ], ["token", "digest", "n", "bits", "pos"])
+            ], ["token", "salt", "digest", "n", "bits", "pos"])
+
+    return sets.select("digest", "n", "bits", "tokens").mapInArrow(read, POSTING)
+
+
+def partnered(token: np.ndarray, digest: np.ndarray, n: np.ndarray, bits: np.ndarray, pos: np.ndarray, threshold: int) -> np.ndarray:
+    """Which postings, ordered by (token, n), have a possible partner of another digest within their token."""
+    good, left = np.zeros(len(token), bool), n - pos
+    at, step = np.arange(len(token)), 1
+    while True:
+        at = at[at + step < len(token)]
+        to = at + step
+        # Sizes only grow along a bucket: who is too short or too late for this partner is so for all later ones.
+        on = (token[at] == token[to]) & (n[at] * 100 >= n[to] * threshold) & (left[at] * (100 + threshold) >= (n[at] + n[to]) * threshold)
+        at, to = at[on], to[on]
+        if not len(at):
+            return good
+        one, two = bits[at], bits[to]
+        most = np.minimum(left[to], np.minimum(n[at] - np.bitwise_count(one & ~two), n[to] - np.bitwise_count(two & ~one)))
+        fits = (most * (100 + threshold) >= (n[at] + n[to]) * threshold) & (digest[at] != digest[to])
+        good[at[fits]] = good[to[fits]] = True
+        step += 1
+
+
+def _met(postings: DataFrame, threshold: int) -> DataFrame:
+    """The postings that may have a partner, (token, digest, n, bits, pos), with one shuffle.
+
+    Postings of hot tokens and of buckets above ``BUCKET`` all stay, so that
+    no task holds or compares more than that; the joins that follow decide.
+    """
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        token, salt, digest, n, bits, pos = (table.column(i).to_numpy() for i in range(6))
+        keep = salt > 0
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[starts, len(token)])
+        keep |= np.repeat(size > BUCKET, size)
+        ask = np.flatnonzero(~keep)
+        keep[ask] = partnered(token[ask], digest[ask], n[ask].astype(np.int64), bits[ask].view(np.uint64), pos[ask].astype(np.int64), threshold)
+        return table.filter(pa.array(keep)).select([0, 2, 3, 4, 5])
 
-    return sets.select("digest", "n", "bits", "tokens").mapInArrow(read, "token long, digest long, n int, bits long, pos int")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, large = [], 0, None
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < HELD:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            token = table.column(0).to_numpy()
+            # The last bucket may go on in the next batch; one that is already large is not held back.
+            cut = int(np.searchsorted(token, token[-1]))
+            if large is not None:
+                begun = int(np.searchsorted(token, large, side="right"))
+                yield from table.slice(0, begun).select([0, 2, 3, 4, 5]).to_batches()
+                table, token, cut = table.slice(begun), token[begun:], max(cut - begun, 0)
+                large = large if not len(token) else None
+            if len(token) - cut > BUCKET:
+                large = int(token[-1])
+                yield from table.slice(cut).select([0, 2, 3, 4, 5]).to_batches()
+                table, rest = table.slice(0, cut), table.slice(0, 0)
+            else:
+                table, rest = table.slice(0, cut), table.slice(cut)
+            if table.num_rows:
+                yield from flush(table).to_batches()
+            held, rows = rest.to_batches(), rest.num_rows
+        if rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            if large is not None:
+                begun = int(np.searchsorted(table.column(0).to_numpy(), large, side="right"))
+                yield from table.slice(0, begun).select([0, 2, 3, 4, 5]).to_batches()
+                table = table.slice(begun)
+            if table.num_rows:
+                yield from flush(table).to_batches()
+
+    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "n")
+    return dealt.mapInArrow(read, "token long, digest long, n int, bits long, pos int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (x, y) whose sets reach the threshold, by exact counts."""
+    """The written pairs (x, y) whose sets reach the threshold, by exact counts."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +224,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 good.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    pairs = materialize(pairs, "line_pairs")
     wanted = pairs.select(F.col("x").alias("digest")).unionByName(pairs.select(F.col("y").alias("digest"))).distinct()
     # The few sets in question are found where they lie; a large list of them is joined by shuffle.
-    near = materialize(sets.join(broadcast_if_small(wanted), "digest", "left_semi").select("digest", "tokens").dropDuplicates(["digest"]), "line_sets")
+    near = sets.join(broadcast_if_small(wanted), "digest", "left_semi").select("digest", "tokens").dropDuplicates(["digest"])
     left = near.select(F.col("digest").alias("x"), F.col("tokens").alias("_x"))
     right = near.select(F.col("digest").alias("y"), F.col("tokens").alias("_y"))
     return pairs.join(left, "x").join(right, "y").select("x", "y", "_x", "_y").mapInArrow(check, "x long, y long")
@@ -162,22 +246,18 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     lines, sets, level = line_classes(docs)
     place = F.struct("doc_id", "row_key", "line")
     classes = materialize(lines.groupBy("digest").agg(F.min(place).alias("first")), "classes")
-    by_token = Window.partitionBy("token")
-    met = (
-        _postings(sets, level, threshold).repartition("token")
-        .withColumns({"_low": F.min("digest").over(by_token), "_high": F.max("digest").over(by_token)})
-        .filter("_low < _high").dropDuplicates(["token", "digest"]).select("token", "digest", "n", "bits", "pos")
-    )
+    met = materialize(_met(_postings(sets, level, threshold), threshold), "met").dropDuplicates(["token", "digest"])
     met = materialize(met.join(classes, "digest"), "met")
     # First every set against the earliest of each of its buckets: hot groups of near copies end here.
     earliest = met.groupBy("token").agg(F.min(F.struct("first", "digest", "n", "bits", "pos")).alias("e")).select("token", "e.*")
     bound = lambda a, b: (F.col(f"{a}.token") == F.col(f"{b}.token")) & (F.col(f"{b}.first") < F.col(f"{a}.first")) & _possible(a, b, threshold)
     pair = [F.col("a.digest").alias("x"), F.col("b.digest").alias("y")]
-    near = met.alias("a").join(earliest.alias("b"), bound("a", "b")).select(*pair).distinct()
+    near = materialize(met.alias("a").join(earliest.alias("b"), bound("a", "b")).select(*pair).distinct(), "line_pairs")
     settled = materialize(_verified(near, sets, threshold).select(F.col("x").alias("digest")).distinct(), "settled")
-    # Then what is left against all earlier sets.
+    # Then what is left against all other earlier sets.
     rest = met.join(settled, "digest", "left_anti")
     others = rest.alias("a").join(met.alias("b"), bound("a", "b")).select(*pair).distinct()
+    others = materialize(others.join(near, ["x", "y"], "left_anti"), "line_pairs")
     late = settled.unionByName(_verified(others, sets, threshold).select(F.col("x").alias("digest")).distinct())
     gone = classes.join(late.withColumn("_late", F.lit(True)), "digest", "left")
     marked = lines.join(gone, "digest").filter(F.col("_late").isNotNull() | ~place.eqNullSafe(F.col("first")))
@@ -199,7 +279,11 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, identity: str = "do
     keyed = docs.withColumn("_row", row_key(identity, text))
     gone = removed_lines(keyed.select(F.col(identity).alias("doc_id"), F.col("_row").alias("row_key"), F.col(text).alias("text")), threshold)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = keyed.join(gone.select(F.col("row_key").alias("_row"), F.col("lines").alias("_lines")), "_row", "left")
+    gone = materialize(gone.select(F.col("row_key").alias("_row"), F.col("lines").alias("_lines")), "gone")
+    # The texts stay where they are if the list of removed lines is small, by its rows and its line numbers.
+    rows, numbers = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()
+    small = max(rows, numbers // 8) <= BROADCAST_ROWS
+    joined = keyed.join(F.broadcast(gone) if small else gone, "_row", "left")
     at = kept.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,7 +126,10 @@ def _lines_by_force(rows, threshold=80):
     return out
 
 
-def test_line_dedup(spark, odd, nothing):
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 2, "HELD": 5}, {"BUCKET": 50, "HELD": 7, "HOT_LEVEL": 5}])
+def test_line_dedup(spark, odd, nothing, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(linedup, name, value)
     rng = random.Random(3)
     words = [f"t{i}" for i in range(30)]
     base = [[rng.choice(words) for _ in range(rng.randint(1, 14))] for _ in range(25)]
@@ -146,6 +149,25 @@ def test_line_dedup(spark, odd, nothing):
     assert linedup.dedup_lines(nothing).isEmpty()
 
 
+def test_possible_partners():
+    rng = np.random.default_rng(3)
+    for threshold in (60, 80):
+        n = rng.integers(1, 30, 400)
+        token, pos = rng.integers(0, 20, 400), rng.integers(0, 30, 400) % n
+        digest, bits = rng.integers(0, 100, 400), rng.integers(0, 1 << 20, 400).astype(np.uint64)
+        order = np.lexsort((n, token))
+        token, digest, n, bits, pos = (x[order] for x in (token, digest, n, bits, pos))
+
+        def possible(i, j):
+            alone = [bin(int(bits[a]) & ~int(bits[b])).count("1") for a, b in ((i, j), (j, i))]
+            most = min(n[i] - pos[i], n[j] - pos[j], n[i] - alone[0], n[j] - alone[1])
+            near = min(n[i], n[j]) * 100 >= max(n[i], n[j]) * threshold
+            return token[i] == token[j] and digest[i] != digest[j] and near and most * (100 + threshold) >= (n[i] + n[j]) * threshold
+
+        want = [any(possible(i, j) for j in range(400) if j != i) for i in range(400)]
+        assert linedup.partnered(token, digest, n, bits, pos, threshold).tolist() == want
+
+
 def _components_by_force(rows):
     sets = {}
     for d, text in rows:
