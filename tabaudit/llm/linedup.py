@@ -10,6 +10,7 @@ are taken for one with probability 2^-32.  A line is removed if an earlier one m
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ CHUNK = 1 << 19
 # Buckets of up to so many postings are searched for possible pairs at once; larger ones go on whole.
 BUCKET = 512
 HELD = 1 << 16
+# Wide hash classes tell long sets apart: 64 for each of these columns.
+WIDE = ["w0", "w1", "w2", "w3"]
 # Tokens seen 2^14 times or more may have large buckets: their postings are spread over tasks and go on whole.
 HOT_LEVEL = 14
 SPREAD = 64
@@ -64,14 +67,15 @@ def token_sets(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray,
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """One scan of the texts: all worded lines, their token sets, and the rarity levels.
 
-    Lines are (doc_id, row_key, line, n, digest); sets are (digest, n, bits,
-    tokens) with tokens as 32-bit hashes and ``bits`` the 64 hash classes
-    they fall into, each set at least once.
+    Lines are (doc_id, row_key, line, n, digest) and the columns ``WIDE``;
+    sets are (digest, n, bits, tokens) with tokens as 32-bit hashes, each set
+    at least once.  ``bits`` are the 64 hash classes that the tokens fall
+    into, ``WIDE`` 256 others.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes, seen, kind = Counts(), WordHashes(), set(), None
-        names = ["doc_id", "row_key", "line", "n", "digest", "bits", "tokens", "chunk", "counts"]
+        names = ["doc_id", "row_key", "line", "n", "digest", *WIDE, "bits", "tokens", "chunk", "counts"]
         for batch in batches:
             kind = batch.column(0).type
             for at, texts in _chunks(v.as_py() for v in batch.column(2)):
@@ -85,34 +89,38 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
                 small = (tokens >> np.uint64(32)).astype(np.uint32)
                 bit = np.uint64(1) << (tokens & np.uint64(63))
                 bits = np.bitwise_or.reduceat(bit, ends - size) if len(size) else bit
+                bit, word = np.uint64(1) << ((tokens >> np.uint64(6)) & np.uint64(63)), (tokens >> np.uint64(12)) % np.uint64(len(WIDE))
+                wide = [np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), ends - size) if len(size) else bit for w in range(len(WIDE))]
                 packed = [small[e - n : e].tobytes() if new else None for e, n, new in zip(ends.tolist(), size.tolist(), fresh)]
                 rows, none = pa.array(doc + at), len(doc)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number), pa.array(size), pa.array(digest),
-                    pa.array(bits.view(np.int64)), pa.array(packed, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()),
+                    *(pa.array(w.view(np.int64)) for w in wide), pa.array(bits.view(np.int64)), pa.array(packed, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()),
                 ], names)
         if kind is not None:
             parts = counts.packed()
             n = len(parts)
-            empty = [pa.nulls(n, t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+            empty = [pa.nulls(n, t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int64()] * len(WIDE), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names)
 
     schema = nullable(docs.select("doc_id"))
-    for name, kind in (("row_key", "long"), ("line", "integer"), ("n", "integer"), ("digest", "long"), ("bits", "long"), ("tokens", "binary"), ("chunk", "integer"), ("counts", "binary")):
+    for name, kind in (("row_key", "long"), ("line", "integer"), ("n", "integer"), ("digest", "long"), *((w, "long") for w in WIDE), ("bits", "long"), ("tokens", "binary"), ("chunk", "integer"), ("counts", "binary")):
         schema = schema.add(name, kind)
     found = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(read, schema), "lines")
     level = levels(found.filter("chunk IS NOT NULL").select("chunk", "counts"))
     return (
-        found.filter("chunk IS NULL").select("doc_id", "row_key", "line", "n", "digest"),
+        found.filter("chunk IS NULL").select("doc_id", "row_key", "line", "n", "digest", *WIDE),
         found.filter("tokens IS NOT NULL").select("digest", "n", "bits", "tokens"), level,
     )
 
 
-POSTING = "token long, salt int, digest long, n int, bits long, pos int"
+# One number holds token and set size, so that one column sorts by both.
+POSTING = "key long, salt int, digest long, bits long, pos int"
+SIZE_BITS = 31
 
 
 def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
-    """Prefix tokens of the sets: (token, salt, digest, n, bits, pos); the salt is 0 but for hot tokens."""
+    """Prefix tokens of the sets, see ``POSTING``; the salt is 0 but for hot tokens."""
     shared = sets.sparkSession.sparkContext.broadcast(level)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +139,9 @@ def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
             digest = batch.column(0).to_numpy()[line[keep]]
             salt = np.where(shared.value[token >> (32 - BITS)] >= HOT_LEVEL, 1 + digest % SPREAD, 0)
             yield pa.RecordBatch.from_arrays([
-                pa.array(token.astype(np.int64)), pa.array(salt.astype(np.int32)), batch.column(0).take(own), batch.column(1).take(own), batch.column(2).take(own),
-                pa.array(pos[keep].astype(np.int32)),
-            ], ["token", "salt", "digest", "n", "bits", "pos"])
+                pa.array((token.astype(np.int64) << SIZE_BITS) | size[line[keep]]), pa.array(salt.astype(np.int32)),
+                pa.array(digest), batch.column(2).take(own), pa.array(pos[keep].astype(np.int32)),
+            ], ["key", "salt", "digest", "bits", "pos"])
 
     return sets.select("digest", "n", "bits", "tokens").mapInArrow(read, POSTING)
 
@@ -164,51 +172,51 @@ def _met(postings: DataFrame, threshold: int) -> DataFrame:
     no task holds or compares more than that; the joins that follow decide.
     """
 
-    def flush(table: pa.Table) -> pa.RecordBatch:
-        token, salt, digest, n, bits, pos = (table.column(i).to_numpy() for i in range(6))
-        keep = salt > 0
+    def opened(table: pa.Table, keep: np.ndarray | None = None) -> list[pa.RecordBatch]:
+        table = table if keep is None else table.filter(pa.array(keep))
+        key = table.column(0).to_numpy()
+        columns = [key >> SIZE_BITS, table.column(2), (key & ((1 << SIZE_BITS) - 1)).astype(np.int32), table.column(3), table.column(4)]
+        return pa.table(columns, ["token", "digest", "n", "bits", "pos"]).to_batches()
+
+    def chosen(table: pa.Table) -> list[pa.RecordBatch]:
+        key, salt, digest, bits, pos = (table.column(i).to_numpy() for i in range(5))
+        token, n = key >> SIZE_BITS, key & ((1 << SIZE_BITS) - 1)
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[starts, len(token)])
-        keep |= np.repeat(size > BUCKET, size)
+        keep = (salt > 0) | np.repeat(size > BUCKET, size)
         ask = np.flatnonzero(~keep)
-        keep[ask] = partnered(token[ask], digest[ask], n[ask].astype(np.int64), bits[ask].view(np.uint64), pos[ask].astype(np.int64), threshold)
-        return table.filter(pa.array(keep)).select([0, 2, 3, 4, 5])
+        keep[ask] = partnered(token[ask], digest[ask], n[ask], bits[ask].view(np.uint64), pos[ask].astype(np.int64), threshold)
+        return opened(table, keep)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, large = [], 0, None
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < HELD:
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                rows += batch.num_rows
+            if not rows or (batch is not None and rows < HELD):
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            token = table.column(0).to_numpy()
-            # The last bucket may go on in the next batch; one that is already large is not held back.
-            cut = int(np.searchsorted(token, token[-1]))
-            if large is not None:
-                begun = int(np.searchsorted(token, large, side="right"))
-                yield from table.slice(0, begun).select([0, 2, 3, 4, 5]).to_batches()
-                table, token, cut = table.slice(begun), token[begun:], max(cut - begun, 0)
-                large = large if not len(token) else None
+            token = table.column(0).to_numpy() >> SIZE_BITS
+            # What goes on of a large bucket is not held back.
+            begun = 0 if large is None else int(np.searchsorted(token, large, side="right"))
+            if begun:
+                yield from opened(table.slice(0, begun))
+            table, token = table.slice(begun), token[begun:]
+            held, rows = [], 0
+            if not len(token):
+                continue
+            # The last bucket may go on in the next batch.
+            large, cut = None, int(np.searchsorted(token, token[-1])) if batch is not None else len(token)
             if len(token) - cut > BUCKET:
                 large = int(token[-1])
-                yield from table.slice(cut).select([0, 2, 3, 4, 5]).to_batches()
-                table, rest = table.slice(0, cut), table.slice(0, 0)
+                yield from opened(table.slice(cut))
             else:
-                table, rest = table.slice(0, cut), table.slice(cut)
-            if table.num_rows:
-                yield from flush(table).to_batches()
-            held, rows = rest.to_batches(), rest.num_rows
-        if rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            if large is not None:
-                begun = int(np.searchsorted(table.column(0).to_numpy(), large, side="right"))
-                yield from table.slice(0, begun).select([0, 2, 3, 4, 5]).to_batches()
-                table = table.slice(begun)
-            if table.num_rows:
-                yield from flush(table).to_batches()
-
-    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "n")
+                held, rows = table.slice(cut).to_batches(), len(token) - cut
+            if cut:
+                yield from chosen(table.slice(0, cut).combine_chunks())
+
+    dealt = postings.repartition(F.shiftright("key", SIZE_BITS), "salt").sortWithinPartitions("key")
     return dealt.mapInArrow(read, "token long, digest long, n int, bits long, pos int")
 
 
@@ -235,7 +243,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _possible(a: str, b: str, threshold: int) -> Column:
     """Length, positional and hash-class bounds of two postings of one token."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    alone = lambda p, q: F.bit_count(p("bits").bitwiseAND(F.bitwise_not(q("bits"))))
+    lacks = lambda p, q, c: F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c))))
+    alone = lambda p, q: F.greatest(lacks(p, q, "bits"), sum((lacks(p, q, w) for w in WIDE), F.lit(0)))
     # Tokens from this one on, and tokens less the classes the other set lacks, bound the intersection.
     most = F.least(x("n") - x("pos"), y("n") - y("pos"), x("n") - alone(x, y), y("n") - alone(y, x))
     return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * threshold) & (most * (100 + threshold) >= (x("n") + y("n")) * threshold)
@@ -245,11 +254,11 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Lines to remove, (row_key, lines), from (doc_id, row_key, text); see ``dedup_lines``."""
     lines, sets, level = line_classes(docs)
     place = F.struct("doc_id", "row_key", "line")
-    classes = materialize(lines.groupBy("digest").agg(F.min(place).alias("first")), "classes")
+    classes = materialize(lines.groupBy("digest").agg(F.min(place).alias("first"), *(F.max(w).alias(w) for w in WIDE)), "classes")
     met = materialize(_met(_postings(sets, level, threshold), threshold), "met").dropDuplicates(["token", "digest"])
     met = materialize(met.join(classes, "digest"), "met")
     # First every set against the earliest of each of its buckets: hot groups of near copies end here.
-    earliest = met.groupBy("token").agg(F.min(F.struct("first", "digest", "n", "bits", "pos")).alias("e")).select("token", "e.*")
+    earliest = met.groupBy("token").agg(F.min(F.struct("first", "digest", "n", "bits", "pos", *WIDE)).alias("e")).select("token", "e.*")
     bound = lambda a, b: (F.col(f"{a}.token") == F.col(f"{b}.token")) & (F.col(f"{b}.first") < F.col(f"{a}.first")) & _possible(a, b, threshold)
     pair = [F.col("a.digest").alias("x"), F.col("b.digest").alias("y")]
     near = materialize(met.alias("a").join(earliest.alias("b"), bound("a", "b")).select(*pair).distinct(), "line_pairs")
@@ -260,7 +269,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     others = materialize(others.join(near, ["x", "y"], "left_anti"), "line_pairs")
     late = settled.unionByName(_verified(others, sets, threshold).select(F.col("x").alias("digest")).distinct())
     gone = classes.join(late.withColumn("_late", F.lit(True)), "digest", "left")
-    marked = lines.join(gone, "digest").filter(F.col("_late").isNotNull() | ~place.eqNullSafe(F.col("first")))
+    marked = lines.drop(*WIDE).join(gone.drop(*WIDE), "digest").filter(F.col("_late").isNotNull() | ~place.eqNullSafe(F.col("first")))
     return marked.groupBy("row_key").agg(F.collect_set("line").alias("lines"))
 
 
