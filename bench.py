@@ -36,7 +36,8 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("tabaudit-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SCRATCH") or "/tmp/tabaudit-bench").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     known = registry.queries()

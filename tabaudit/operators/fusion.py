@@ -117,10 +117,18 @@ def fuse(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> Da
 def auto_fuse(tables: Mapping[str, DataFrame], threshold: float = 0.6, heads: int | None = None) -> tuple[DataFrame, str] | None:
     """Join the first pair of tables that share a key; ``None`` if there is no
     safe pair or nothing matches."""
+    found = fuse_first_pair(tables, threshold, heads)
+    return found and found[:2]
+
+
+def fuse_first_pair(
+    tables: Mapping[str, DataFrame], threshold: float = 0.6, heads: int | None = None
+) -> tuple[DataFrame, str, tuple[str, str]] | None:
+    """As ``auto_fuse``, with the names of the two tables."""
     first = key_candidates(tables, threshold, heads=heads).orderBy("position").first()
     if first is None:
         return None
     fused = fuse(tables[first["table1"]], tables[first["table2"]], first["column1"], first["column2"])
     if fused is None or not fused.limit(1).count():
         return None
-    return fused, f"FUSED_{first['table1'][:5]}_{first['table2'][:5]}.csv"
+    return fused, f"FUSED_{first['table1'][:5]}_{first['table2'][:5]}.csv", (first["table1"], first["table2"])

@@ -13,12 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tabaudit.functions.columns import col, numeric_columns
-from tabaudit.operators.scale import random_rows, small_table, smallest_by_hash, spread
+from tabaudit.operators.scale import materialize, quantile_values, random_rows, smallest_by_hash, spread, unit_hash
+
+# Rows a tree is grown on.
+TREE_ROWS = 256
 
 _NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
@@ -56,7 +59,7 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 
 @dataclass
 class IsolationForest:
-    """A grown forest with its score threshold.
+    """A grown forest.
 
     Every tree is laid out as a complete binary tree (children of i are 2i+1
     and 2i+2), so a row takes exactly ``depth`` steps without branching.
@@ -68,7 +71,6 @@ class IsolationForest:
     threshold: np.ndarray    # trees x inner nodes, +inf below a leaf
     path: np.ndarray         # trees x bottom nodes
     norm: float
-    cut: float = math.inf
 
     def score_array(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score in (0, 1] of every row of ``x``."""
@@ -121,35 +123,35 @@ def lay_out(nodes: pd.DataFrame, trees: int, depth: int) -> tuple[np.ndarray, np
 def fit(
     df: DataFrame,
     cols: Sequence[str],
-    contamination: float = 0.05,
-    fit_rows: int = 20_000,
     trees: int = 100,
     keys: Sequence[str] | None = None,
     total: int | None = None,
     seed: int = 42,
 ) -> IsolationForest:
-    """Grow the forest on a bounded sample; ``keys`` make the sample independent
-    of how the table is partitioned."""
-    cols = list(cols)
+    """Grow the forest; every tree gets up to 256 rows drawn from the whole table.
+
+    ``keys`` make the draw independent of how the table is partitioned.  The
+    rows never visit the driver, which only collects the grown nodes.
+    """
+    cols, keys = list(cols), list(keys or ())
     spark = df.sparkSession
-    if keys:
-        sample = smallest_by_hash(df.select(*keys, *[col(c) for c in cols if c not in keys]), fit_rows, keys, salt=seed)
-    else:
-        sample = random_rows(df.select(*[col(c) for c in cols]), fit_rows, total, seed)
     names = [f"c{i}" for i in range(len(cols))]
-    side, rows = small_table(
-        sample.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, cols)]),
-        limit=fit_rows,
-    )
-    data = np.array([list(r.values()) for r in rows], dtype="float64")
-    psi = min(256, len(data))
+    need = trees * TREE_ROWS
+    pick = df.select(*[col(c) for c in [*keys, *[c for c in cols if c not in keys]]])
+    sample = smallest_by_hash(pick, need, keys, salt=seed) if keys else random_rows(pick, need, total, seed)
+    # Dealt by another draw, so that equal rows are spread over the trees.
+    draw = unit_hash(*keys, salt=f"deal-{seed}") if keys else F.rand(seed)
+    values = [F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, cols)]
+    sample = materialize(sample.select(draw.alias("_draw"), *values), "forest")
+    m = sample.count()
+    psi = min(TREE_ROWS, m)
     depth = max(1, math.ceil(math.log2(max(psi, 2))))
 
-    # One task per tree: it receives only its own subsample of at most 256 rows.
-    rng = np.random.default_rng(seed)
-    picks = [rng.choice(len(data), size=psi, replace=False) for _ in range(trees)]
-    frame = pd.DataFrame(np.vstack([data[p] for p in picks]), columns=names)
-    frame.insert(0, "tree", np.repeat(np.arange(trees), psi))
+    # Tree t takes the places from t * psi on; a short sample is gone through again.
+    # The window sees at most trees * 256 rows.
+    place = F.row_number().over(Window.orderBy("_draw", *names)) - 1
+    taken = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.col("_at") - t * psi, F.lit(m)) < psi)
+    dealt = sample.withColumn("_at", place).select(F.explode(taken).alias("tree"), *names)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -161,27 +163,21 @@ def fit(
 
     # A stated number of partitions keeps these few rows from being put into one task.
     tasks = min(trees, spark.sparkContext.defaultParallelism)
-    nodes = (
-        spark.createDataFrame(frame).repartition(tasks, "tree").groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
-    )
+    nodes = dealt.repartition(tasks, "tree").groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
     feature, threshold, path = lay_out(nodes, trees, depth)
-    forest = IsolationForest(cols, depth, feature, threshold, path, expected_path(psi))
-    # The cut is a quantile of the sample's own scores.
-    forest.cut = float(np.quantile(forest.score_array(data), 1.0 - contamination))
-    return forest
+    return IsolationForest(cols, depth, feature, threshold, path, expected_path(psi))
 
 
 def remove_outliers(
     df: DataFrame,
     cols: Sequence[str] | None = None,
     contamination: float = 0.05,
-    fit_rows: int = 20_000,
     min_rows: int = 500,
     keys: Sequence[str] | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Rows that the forest keeps; small or non-numeric tables pass unchanged."""
-    scored = outlier_scores(df, cols, contamination, fit_rows, min_rows, keys, seed)
+    scored = outlier_scores(df, cols, contamination, min_rows, keys, seed)
     return scored.where(~F.col("is_outlier")).select(*[col(c) for c in df.columns])
 
 
@@ -189,16 +185,21 @@ def outlier_scores(
     df: DataFrame,
     cols: Sequence[str] | None = None,
     contamination: float = 0.05,
-    fit_rows: int = 20_000,
     min_rows: int = 500,
     keys: Sequence[str] | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """All rows with ``anomaly_score`` and ``is_outlier``."""
+    """All rows with ``anomaly_score`` and ``is_outlier``.
+
+    The cut is the exact quantile of the scores of all rows: up to ties, the
+    stated share of the table is marked.
+    """
     cols = list(cols) if cols is not None else [c for c in numeric_columns(df) if c not in (keys or [])]
     total = df.count()
     if total <= min_rows or not cols:
         return df.withColumns({"anomaly_score": F.lit(None).cast("double"), "is_outlier": F.lit(False)})
-    forest = fit(df, cols, contamination, fit_rows, keys=keys, total=total, seed=seed)
+    forest = fit(df, cols, keys=keys, total=total, seed=seed)
     score = forest.score(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in cols])
-    return spread(df).withColumn("anomaly_score", score).withColumn("is_outlier", F.col("anomaly_score") > F.lit(forest.cut))
+    scored = materialize(spread(df).withColumn("anomaly_score", score), "scores")
+    cut = quantile_values(scored, ["anomaly_score"], [1.0 - contamination])["anomaly_score"][0]
+    return scored.withColumn("is_outlier", F.col("anomaly_score") > F.lit(cut))

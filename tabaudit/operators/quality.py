@@ -25,8 +25,8 @@ def size_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()
     first, width = df.columns[0], len(df.columns)
     pct = F.col("null_pct")
     severe = pct > rules.missing_issue
-    gap_text = F.when(severe, F.format_string("Column '%s': %.1f%% missing (>50%%)", "column", "null_pct")).otherwise(
-        F.format_string("Column '%s': %.1f%% missing", "column", "null_pct")
+    gap_text = F.when(severe, F.format_string("%s: more than half empty, %.1f%% without a value", "column", "null_pct")).otherwise(
+        F.format_string("%s: %.1f%% without a value", "column", "null_pct")
     )
     # The counts have one row per column; table-wide rules ride on the first.
     once = F.col("column") == first
@@ -34,10 +34,10 @@ def size_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()
     cases = [
         (once & (F.col("total") < rules.min_rows),
          _finding(name, "shape", nobody, F.lit(WARNING), "rows", F.col("total"),
-                  F.format_string("Small dataset (%d rows) - may have unstable statistics", "total"))),
+                  F.format_string("only %d rows, too few for firm statistics", "total"))),
         (once & F.lit(width > rules.max_columns),
          _finding(name, "shape", nobody, F.lit(WARNING), "columns", F.lit(width),
-                  F.format_string("High dimensionality (%d features)", F.lit(width)))),
+                  F.format_string("%d columns, more than can be judged one by one", F.lit(width)))),
         (pct > rules.missing_warning,
          _finding(name, "missing", F.col("column"), F.when(severe, ISSUE).otherwise(WARNING), "null_pct", pct, gap_text)),
     ]
@@ -57,7 +57,7 @@ def duplicate_findings(df: DataFrame, name: str, rules: QualityRules = QualityRu
     pct = F.try_divide(F.col("duplicate_rows").cast("double"), F.col("total_rows")) * 100
     return duplicate_rows(df).where("duplicate_rows > 0").withColumn("_p", pct).select(
         *_finding(name, "duplicates", F.lit(None), F.when(F.col("_p") > rules.duplicate_issue, ISSUE).otherwise(WARNING),
-                  "duplicate_pct", F.col("_p"), F.format_string("%d duplicate rows (%.1f%%)", "duplicate_rows", "_p"))
+                  "duplicate_pct", F.col("_p"), F.format_string("%d rows repeat another one (%.1f%%)", "duplicate_rows", "_p"))
     )
 
 
@@ -66,7 +66,7 @@ def outlier_findings(df: DataFrame, name: str, rules: QualityRules = QualityRule
     return iqr_outliers(df).where(pct > rules.outlier_warning).select(
         *_finding(name, "outliers", F.col("column"), F.when(pct > rules.outlier_issue, ISSUE).otherwise(WARNING),
                   "outlier_pct", pct,
-                  F.format_string("Column '%s': %d outliers (%.1f%%)", "column", "outliers", "outlier_pct"))
+                  F.format_string("%s: %d values beyond the fences (%.1f%%)", "column", "outliers", "outlier_pct"))
     )
 
 
@@ -92,8 +92,8 @@ def leakage_findings(df: DataFrame, name: str, rules: QualityRules = QualityRule
     r = F.abs("r")
     severe = r > rules.leak_issue
     text = F.when(
-        severe, F.format_string("LEAKAGE: Column '%s' highly correlated with target (r=%.4f)", F.col("column"), r)
-    ).otherwise(F.format_string("Potential leakage: Column '%s' corr with target = %.4f", F.col("column"), r))
+        severe, F.format_string("%s: almost a copy of the target, |r| = %.4f", F.col("column"), r)
+    ).otherwise(F.format_string("%s: may give the target away, |r| = %.4f", F.col("column"), r))
     return target_correlations(df, rules.target).where(r > rules.leak_warning).select(
         *_finding(name, "leakage", F.col("column"), F.when(severe, ISSUE).otherwise(WARNING), "abs_r", r, text)
     )
@@ -108,7 +108,7 @@ def type_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()
     )
     return counts.where(F.col("distinct_count") > F.col("_rows") * rules.distinct_share).select(
         *_finding(name, "types", F.col("column"), F.lit(WARNING), "distinct_count", F.col("distinct_count"),
-                  F.format_string("Column '%s' (object): %d unique values (>50%% of rows)", "column", "distinct_count"))
+                  F.format_string("%s: text with %d different values, over half as many as rows", "column", "distinct_count"))
     )
 
 

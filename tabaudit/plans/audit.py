@@ -12,7 +12,7 @@ from tabaudit.config import AUDIT, AuditProfile
 from tabaudit.functions.columns import numeric_columns, string_columns
 from tabaudit.operators import chartdata, cleaning, hypothesis, isolation, leakage, metrics, modelling
 from tabaudit.operators.encoding import profile_features, target_labels
-from tabaudit.operators.fusion import auto_fuse
+from tabaudit.operators.fusion import fuse_first_pair
 from tabaudit.operators.scale import materialize, small_table
 from tabaudit.operators.structure import analyse_structure
 from tabaudit.sources.sinks import LOG_SCHEMA, log_rows
@@ -57,18 +57,18 @@ def heal(df: DataFrame, profile: AuditProfile = AUDIT, target: str | None = None
     skip = set(keys or []) | ({target} if profile.exclude_target_from_outliers and target else set())
     cols = [c for c in numeric_columns(df) if c not in skip]
     return isolation.remove_outliers(
-        df, cols, profile.outlier_contamination, profile.outlier_fit_rows, profile.outlier_min_rows, keys, profile.seed
+        df, cols, profile.outlier_contamination, profile.outlier_min_rows, keys, profile.seed
     )
 
 
 def normality_line(norm: DataFrame, numeric: Sequence[str]) -> str:
     """The report line about the first numeric predictor."""
     if not numeric:
-        return "No numeric predictors."
+        return "No numeric input to test."
     row = norm.where(F.col("column") == numeric[0]).first()
     if row is None or row["test"] == "not enough data":
-        return "Not enough data for statistical tests."
-    return f"Normality Check ({numeric[0]}): p={row['p_value']:.4f} -> Protocol: {row['test']}"
+        return "Too few values to test normality."
+    return f"{numeric[0]}: normality p = {row['p_value']:.4f}, use {row['test']}"
 
 
 def audit(
@@ -84,10 +84,10 @@ def audit(
     """
     spark = df.sparkSession
     if not df.columns or not df.limit(1).count():
-        return _stop(spark, name, "FAILED", "Dataset is empty")
+        return _stop(spark, name, "FAILED", "The table has no rows")
     found = analyse_structure(df, profile, held=keys or ())
     if found.target is None:
-        return _stop(spark, name, "SKIPPED", "No identifiable target variable found")
+        return _stop(spark, name, "SKIPPED", "No column can serve as the target")
     target, predictors = found.target, found.predictors
     data = materialize(found.df, "prepared")
     rows_in = data.count()
@@ -98,11 +98,11 @@ def audit(
     kept, removed = leakage.hunt(data, target, predictors, profile, keys)
     common = {"target": target, "rows_in": rows_in, "normality": line, "arrested": len(removed)}
     if not kept:
-        return _stop(spark, name, "FAILED", "All predictors removed by leakage check", **common)
+        return _stop(spark, name, "FAILED", "Every predictor gives the target away or none is left", **common)
     cleaned = materialize(heal(data, profile, target, keys), "cleaned")
     rows = cleaned.count()
     if not rows:
-        return _stop(spark, name, "FAILED", "Outlier removal deleted all rows", rows_removed=rows_in, **common)
+        return _stop(spark, name, "FAILED", "No row is left after the outlier step", rows_removed=rows_in, **common)
     kept = [p for p in kept if p in cleaned.columns]
     labels = target_labels(cleaned, target)
     inputs = profile_features(cleaned, kept, profile)
@@ -162,22 +162,29 @@ def audit_many(
     tables: Mapping[str, DataFrame],
     profile: AuditProfile = AUDIT,
     try_fusion: bool = True,
+    keys: Mapping[str, Sequence[str]] | None = None,
 ) -> tuple[dict[str, AuditResult], DataFrame]:
     """Audit several tables, fused first if two of them share a key.
 
-    A failing table is logged and does not stop the others.
+    ``keys`` names the columns that identify a row, per table.  Every input
+    has a log row: the two that were fused say into what, the others are
+    audited on their own.  A failing table is logged and does not stop the
+    others.
     """
     work = dict(tables)
     results: dict[str, AuditResult] = {}
+    joined: list[tuple[str, str, str]] = []
     if try_fusion and len(work) > 1:
-        fused = auto_fuse(work)
+        fused = fuse_first_pair(work)
         if fused is not None:
-            work = {fused[1]: fused[0]}
-    log = spark.createDataFrame([], LOG_SCHEMA)
+            table, name, parts = fused
+            work = {name: table, **{n: df for n, df in work.items() if n not in parts}}
+            joined = [(n, "FUSED", f"Part of {name}") for n in parts]
+    log = log_rows(spark, joined) if joined else spark.createDataFrame([], LOG_SCHEMA)
     for name, df in work.items():
         try:
-            results[name] = audit(df, name, profile)
+            results[name] = audit(df, name, profile, (keys or {}).get(name))
         except Exception as err:  # noqa: BLE001 - one bad table must not end the batch
-            results[name] = _stop(spark, name, "ERROR", str(err)[:100])
+            results[name] = _stop(spark, name, "ERROR", str(err))
         log = log.unionByName(results[name].log)
     return results, log

@@ -92,12 +92,12 @@ QUERIES["quality_report_lines"] = lambda s, d: quality.report_lines(
     .unionByName(quality.missing_findings(lineitem_gaps(s, d), "lineitem"))
 )
 ORACLE["quality_report_lines"] = f"""SELECT 'orders' AS dataset, CASE WHEN p > 10 THEN 0 ELSE 1 END AS "rank",
-  CASE WHEN p > 10 THEN 'ISSUE: ' ELSE 'WARNING: ' END || k || ' duplicate rows (' || format('{{:.1f}}', p) || '%)' AS line
+  CASE WHEN p > 10 THEN 'ISSUE: ' ELSE 'WARNING: ' END || k || ' rows repeat another one (' || format('{{:.1f}}', p) || '%)' AS line
 FROM (SELECT CAST(sum(n) - count(*) AS BIGINT) AS k, CAST((sum(n) - count(*)) * 100.0 / sum(n) AS DOUBLE) AS p
   FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) AS g) AS q WHERE k > 0
 UNION ALL
 SELECT 'lineitem', CASE WHEN p > 50 THEN 0 ELSE 1 END,
-  CASE WHEN p > 50 THEN 'ISSUE: ' ELSE 'WARNING: ' END || 'Column ''l_returnflag'': ' || format('{{:.1f}}', p) || '% missing' || CASE WHEN p > 50 THEN ' (>50%)' ELSE '' END
+  CASE WHEN p > 50 THEN 'ISSUE: ' ELSE 'WARNING: ' END || 'l_returnflag: ' || CASE WHEN p > 50 THEN 'more than half empty, ' ELSE '' END || format('{{:.1f}}', p) || '% without a value'
 FROM (SELECT CAST((count(*) - count(l_returnflag)) * 100.0 / count(*) AS DOUBLE) AS p FROM {GAPS}) AS q WHERE p > 20"""
 
 

@@ -71,7 +71,7 @@ def report_text(report: DataFrame) -> DataFrame:
         line(1, "# AUDIT: ", F.col("dataset")),
         line(2, "Target: ", F.coalesce("target", F.lit("none"))),
         line(3, "AUC: ", F.coalesce(F.format_string("%.3f", "auc"), F.lit("n/a"))),
-        line(4, "Threats Removed: ", F.coalesce("rows_removed", F.lit(0)).cast("string")),
+        line(4, "Rows taken out as outliers: ", F.coalesce("rows_removed", F.lit(0)).cast("string")),
         line(5, "- ", F.coalesce("normality", F.lit(""))),
     )))
 

@@ -149,7 +149,7 @@ def test_fold_calibration_when_held_out_rows_lack_a_class(spark):
 
 def test_early_exits(spark):
     empty = spark.createDataFrame([], "a int, target int")
-    assert audit(empty).report.first()["reason"] == "Dataset is empty"
+    assert audit(empty).report.first()["reason"] == "The table has no rows"
     none = spark.range(100).select("id", F.col("id").alias("id2"))
     assert audit(none).report.first()["status"] == "SKIPPED"
     leak = spark.range(200).select((F.col("id") % 2).cast("double").alias("copy"), (F.col("id") % 2).alias("target"))
@@ -202,3 +202,24 @@ def test_critique(spark, data):
     tables = {n: spark.read.parquet(f"{data}/{n}.parquet") for n in ("nation", "region")}
     found = critique(tables)
     assert {r["dataset"] for r in found.collect()} == {"nation", "region"}
+
+
+def test_the_cut_is_the_quantile_of_all_scores(spark):
+    """A third of the rows are equal; up to ties 5% of all rows go, with or without keys."""
+    df = spark.range(30_000).select("id", *[
+        F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.randn(i)).alias(c) for i, c in enumerate("ab")])
+    for keys in (["id"], None):
+        scored = isolation.outlier_scores(df, ["a", "b"], keys=keys)
+        assert scored.where("is_outlier").count() == pytest.approx(1500, abs=5)
+        cut = scored.agg(F.max(F.when(~F.col("is_outlier"), F.col("anomaly_score"))).alias("low"),
+                         F.min(F.when(F.col("is_outlier"), F.col("anomaly_score"))).alias("high")).first()
+        assert cut["low"] < cut["high"]
+
+
+def test_every_input_of_a_batch_has_a_log_row(spark):
+    left = spark.range(40).select("id", (F.col("id") * 2.0).alias("x"))
+    right = spark.range(40).select("id", (F.col("id") % 2).alias("target"))
+    other = spark.range(30).select((F.col("id") * 7 + 1000).alias("w"), F.lit("a").alias("t"))
+    _, log = audit_many(spark, {"left": left, "right": right, "other": other})
+    status = {r["file"]: r["status"] for r in log.collect()}
+    assert status["left"] == status["right"] == "FUSED" and status["other"] == "SKIPPED" and len(status) == 4

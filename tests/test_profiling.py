@@ -133,7 +133,7 @@ def test_messages_and_summary(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", "x")] * 20, "k string, v string")
     found = quality.findings(df, "t", QualityRules())
     lines = {r["line"] for r in quality.report_lines(found).collect()}
-    assert "ISSUE: Column 'v': 66.7% missing (>50%)" in lines
+    assert "ISSUE: v: more than half empty, 66.7% without a value" in lines
     assert "ISSUE: 58 duplicate rows (96.7%)" in lines
     row = quality.summary(found).first()
     assert (row["issues"], row["warnings"]) == (2, 0)
