@@ -4,6 +4,8 @@ Only sentences with a word that licence texts use are looked at.  Each is
 normalised and mapped to a known sentence identifier; the identifiers of a
 document, in order, are matched against ordered rules.  A rule that matches
 takes its identifiers out, so a later, shorter rule cannot claim them again.
+Sentences run over single line feeds, as licence texts are wrapped; a known
+sentence that fills whole lines is found even if its neighbours have no end.
 """
 
 from __future__ import annotations
@@ -71,9 +73,38 @@ RULES = (
     ("Proprietary", ("all-rights",)),
 )
 
+# Sentences of the official texts as they stand there; "*" is one or more words.
+_NAMES = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"
+OFFICIAL = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    f"{_TERMS} 3 of the license or at your option any later version": "gpl-3-notice",
+    f"{_TERMS} 2 of the license or at your option any later version": "gpl-2-notice",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-no-implied",
+    "see the gnu general public license for more details": "gpl-see",
+    "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
+    f"neither the name of * {_NAMES}": "bsd-name",
+    _NAMES: "bsd-name",
+}
+
+# Tried before RULES.
+OFFICIAL_RULES = (
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-3-notice")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-2-notice")),
+    ("GPL-3.0-or-later", ("gpl-3-notice",)),
+    ("GPL-2.0-or-later", ("gpl-2-notice",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+)
+
 COPYRIGHT, UNKNOWN = "copyright", "unknown"
-# Sentences end at a line feed, or at . ! ? ; : before a blank.
-BREAK = r"\n|[.!?;:]+[ \t\r]+"
+# Sentences end at . ! ? ; : before a blank or the end of the line, or at a line without letters and digits.
+BREAK = r"(?<![.!?;:])[.!?;:]++(?:[ \t\r]++|[^a-z0-9\n]*+\n)|\n[^a-z0-9]*\n"
+# Where a sentence goes on in the next line, with its indent or comment mark.
+WRAP = r"[^a-z0-9\n]*\n[^a-z0-9]*"
+# For the SQL, in which a sentence also ends at every line feed.
+LINE_BREAK = r"\n|[.!?;:]+[ \t\r]+"
 
 
 def normalised(sentence: Column) -> Column:
@@ -81,9 +112,30 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def _parts(sentence: Column, sentences: Mapping[str, str]) -> Column:
+    """Identifiers of a lower-case sentence of several lines that is not known as a whole.
+
+    Known sentences that fill whole lines are taken out first, the longest
+    first, then lines that start as a copyright notice; the lines between two
+    of these are one sentence.
+    """
+    lines = F.trim(F.regexp_replace(F.regexp_replace(sentence, WRAP, "\n"), "[^a-z0-9\n]+", " "))
+    for words in sorted(sentences, key=len, reverse=True):
+        pattern = "[ \n]".join(words.split()).replace("*", "[a-z0-9 \n]+?")
+        lines = F.regexp_replace(lines, f"(?m)^{pattern}$", f"={sentences[words]}")
+    rest = F.split(F.regexp_replace(lines, "(?m)^(=.*|copyright (?:c |[0-9]).*)$", "|$1|"), r"\|")
+    critical = F.filter(
+        F.transform(rest, lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" ")))), lambda x: x.startswith("=") | x.rlike(CRITICAL)
+    )
+    return F.transform(
+        critical,
+        lambda x: F.when(x.startswith("="), F.substring(x, 2, 1000)).when(x.startswith("copyright"), F.lit(COPYRIGHT)).otherwise(F.lit(UNKNOWN)),
+    )
+
+
 def scan_licenses(
     docs: DataFrame, identity: str = "doc_id", text: str = "text",
-    sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES,
+    sentences: Mapping[str, str] = {**SENTENCES, **OFFICIAL}, rules: Sequence[tuple[str, Sequence[str]]] = (*OFFICIAL_RULES, *RULES),
 ) -> DataFrame:
     """Per row: (doc_id, n_sentences, n_unknown, sentence_ids, licenses).
 
@@ -96,14 +148,23 @@ def scan_licenses(
     Rows are judged one by one: ties, repeated rows and null ids stay as they
     are, an empty table gives no rows, other columns are ignored.
     """
-    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), BREAK)
-    named = F.transform(
-        F.filter(parts, lambda s: F.lower(s).rlike(CRITICAL)),
-        lambda s: F.coalesce(
-            F.element_at(known, normalised(s)), F.when(normalised(s).startswith("copyright"), F.lit(COPYRIGHT)), F.lit(UNKNOWN)
-        ),
-    )
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() if "*" not in pair[0] for x in pair])
+    wide = [(s.replace("*", ".+"), i) for s, i in sentences.items() if "*" in s]
+    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BREAK)
+
+    def identified(s: Column) -> Column:
+        whole = F.element_at(known, normalised(s))
+        for pattern, name in wide:
+            # A sentence over several lines may hold a known one of its own, so it is left to _parts.
+            whole = F.coalesce(whole, F.when(~F.contains(s, F.lit("\n")) & normalised(s).rlike(f"^{pattern}$"), F.lit(name)))
+        alone = F.when(normalised(s).startswith("copyright"), F.lit(COPYRIGHT)).otherwise(F.lit(UNKNOWN))
+        return (
+            F.when(whole.isNotNull(), F.array(whole))
+            .when(F.contains(s, F.lit("\n")), _parts(s, sentences)).otherwise(F.array(alone))
+        )
+
+    critical = CRITICAL.replace(" ", f"(?: |{WRAP})")
+    named = F.flatten(F.transform(F.filter(parts, lambda s: s.rlike(critical)), identified))
     out = docs.select(F.col(identity).alias("doc_id"), named.alias("ids")).withColumns({
         "_rest": F.concat(F.lit(","), F.array_join(F.filter("ids", lambda x: ~x.isin(COPYRIGHT, UNKNOWN)), ",,"), F.lit(",")),
         "_found": F.array().cast("array<string>"),
@@ -137,7 +198,7 @@ def _oracle() -> str:
     return rf"""
 WITH known(sentence, id) AS (VALUES {pairs}),
 parts AS (SELECT doc_id, s, pos FROM (
-  SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{BREAK}') AS p FROM documents))
+  SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{LINE_BREAK}') AS p FROM documents))
   WHERE regexp_matches(lower(s), '{CRITICAL}')),
 ids AS (SELECT doc_id, pos, coalesce(id, CASE WHEN starts_with(n, 'copyright') THEN '{COPYRIGHT}' ELSE '{UNKNOWN}' END) AS id
   FROM (SELECT doc_id, pos, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM parts) LEFT JOIN known ON n = sentence),

@@ -65,6 +65,87 @@ def test_licenses(spark, odd, nothing):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(nothing).isEmpty()
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD = """Copyright (c) 2020, Some Body
+
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+NAMES = """3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_official_licenses(spark):
+    unwrapped = lambda text: "\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+    packed = lambda text: "\n".join(line for line in text.split("\n") if line.strip())
+    marked = lambda text: "\r\n".join(f" * {line}" for line in text.split("\n"))
+    mit, gpl = "copyright,mit-grant,mit-notice,as-is,mit-liability", "gpl-free,gpl-3-notice,gpl-no-warranty,gpl-no-implied,gpl-see,gpl-copy,unknown"
+    bsd = "copyright,all-rights,bsd-grant,bsd-source,bsd-binary"
+    three = BSD + NAMES.format("the copyright holder")
+    named = [BSD + NAMES.format("Some Body Inc."), BSD + NAMES.format("the\n   Some Body")]
+    shapes = [lambda text: text, unwrapped, packed, marked]
+    texts = [(f(MIT), mit, "MIT") for f in shapes] + [(f(GPL), gpl, "GPL-3.0-or-later") for f in shapes]
+    texts += [(f(x), bsd + ",bsd-name", "BSD-3-Clause,Proprietary") for f in shapes for x in (three, *named)] + [(f(BSD), bsd, "BSD-2-Clause,Proprietary") for f in shapes]
+    texts += [
+        ("Notes\nReleased under the\nMIT License\nmore words\nAll rights\nreserved", "mit-ref,all-rights", "MIT,Proprietary"),
+        ("words on the\nZebra licence that\nwarrant nothing\n\nwarranty", "unknown,unknown", ""),
+        ("dedicated to the public\n// domain by its author", "unknown", ""),
+    ]
+    docs = spark.createDataFrame([(i, x[0]) for i, x in enumerate(texts)], "doc_id long, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        _, ids, found = texts[r["doc_id"]]
+        got = [x for x in r["sentence_ids"].split(",") if x != "unknown"], set(r["licenses"].split(","))
+        assert got == ([x for x in ids.split(",") if x != "unknown"], set(found.split(","))), texts[r["doc_id"]][0]
+        if r["doc_id"] >= len(texts) - 3:
+            assert r["sentence_ids"] == ids and r["n_unknown"] == ids.count("unknown")
+
+
 def test_token_counts(spark, data, odd, nothing):
     tokenizer = Tokenizer.from_file(MODEL)
     extra = spark.createDataFrame([(100, "a<|endoftext|>b  <|endoftext|>"), (101, "it's  \n\n 12ab ß　x"), (102, "x" * 50_000)], "doc_id long, text string")
