@@ -293,6 +293,19 @@ def linked_sets(met: DataFrame, sets: Sets, radii: Sequence[int] = RADII) -> Dat
     return roots
 
 
+def _rooted(docs: DataFrame, words: int, similarity: int, radii: Sequence[int], identity: str, text: str) -> DataFrame:
+    """Per row: (doc_id, row_key, n_shingles, root); a text without shingles has no root."""
+    keyed = docs.select(F.col(identity).alias("doc_id"), row_key(identity, text).alias("row_key"), F.col(text).alias("text"))
+    rows, level = document_sets(keyed, words)
+    met = materialize(_meetings(keyed, level, words, similarity), "met")
+    known = materialize(
+        rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node", "n")
+        .agg(F.min(F.struct("row_key", "classes")).alias("r")).select("node", "n", "r.row_key", "r.classes"), "known_sets",
+    )
+    roots = linked_sets(met, Sets(keyed, known, words, similarity), radii)
+    return rows.join(roots, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, radii: Sequence[int] = RADII,
     identity: str = "doc_id", text: str = "text",
@@ -307,23 +320,43 @@ def near_duplicates(
     id is never the smallest unless all are.  An empty table gives no rows;
     other columns are ignored.  Sets are told apart by 64-bit hashes.
     """
-    keyed = docs.select(F.col(identity).alias("doc_id"), row_key(identity, text).alias("row_key"), F.col(text).alias("text"))
-    rows, level = document_sets(keyed, words)
-    met = materialize(_meetings(keyed, level, words, similarity), "met")
-    known = materialize(
-        rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node", "n")
-        .agg(F.min(F.struct("row_key", "classes")).alias("r")).select("node", "n", "r.row_key", "r.classes"), "known_sets",
-    )
-    roots = linked_sets(met, Sets(keyed, known, words, similarity), radii)
-    placed = rows.join(roots, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+    placed = _rooted(docs, words, similarity, radii, identity, text)
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component"))
     return placed.join(smallest, "root", "left").select(
         "doc_id", "n_shingles", F.when(F.col("root").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "row_key"
     )
 
 
-def one_of_each(docs: DataFrame, identity: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that carry the smallest id of their component."""
-    found = near_duplicates(docs, identity=identity, text=text, **options)
-    gone = found.filter("component_id < doc_id").select(F.col("row_key").alias("_row")).distinct()
-    return docs.withColumn("_row", row_key(identity, text)).join(gone, "_row", "left_anti").select(*docs.columns)
+def one_of_each(
+    docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, radii: Sequence[int] = RADII,
+    identity: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """One row of ``docs``, all columns, of each component: that with the smallest id, null ids last.
+
+    Among different texts under that id the smallest ``row_key`` decides.  Rows
+    equal in id and text are one document, also without shingles; the one
+    with the smallest other columns stays.
+    """
+    placed = _rooted(docs, words, similarity, radii, identity, text)
+    # A text without shingles is a component of its own.
+    lone = F.when(F.col("root").isNull(), F.col("row_key"))
+    keys = materialize(
+        placed.groupBy("root", lone.alias("lone"), "row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "keys"
+    )
+    kept = keys.groupBy("root", "lone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"].alias("row_key"))
+    kept = kept.select("row_key").withColumn("kept", F.lit(True))
+    # Documents that go as a whole, and those of which one row of several stays.
+    odd = materialize(
+        keys.join(kept, "row_key", "left").filter(F.col("kept").isNull() | (F.col("n") > 1))
+        .select(F.col("row_key").alias("_row"), F.col("kept").isNotNull().alias("kept")), "odd_keys",
+    )
+    keyed = docs.withColumn("_row", row_key(identity, text))
+    single = keyed.join(odd.select("_row"), "_row", "left_anti").select(*docs.columns)
+    repeated = odd.filter("kept").select("_row")
+    if repeated.isEmpty():
+        return single
+    orderable = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    first = keyed.join(broadcast_if_small(repeated), "_row", "left_semi").groupBy("_row").agg(
+        F.min_by(F.struct(*docs.columns), F.struct(*orderable)).alias("_first")
+    )
+    return single.unionByName(first.select("_first.*"))

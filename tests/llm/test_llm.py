@@ -294,6 +294,22 @@ def test_jaccard_odd(odd, nothing):
     assert jaccard.near_duplicates(nothing).isEmpty()
 
 
+def test_one_row_of_each_group(spark):
+    words = [f"c{i}" for i in range(60)]
+    near = [" ".join(words[:i] + ["x"] + words[i + 1 :]) for i in (0, 30, 59)]
+    rows = [(1, near[0], "b")] + [(1, near[0], "a")] * 50 + [(1, near[1], "a"), (None, near[2], "a"), (None, near[0], "a")]
+    rows += [(None, "alone " * 3, s) for s in ("d", "c", "c")] + [(None, "Alone " * 3, "a"), (5, "single text", None)]
+    rows += [(6, "", "a"), (6, "", "a"), (7, "", "a"), (None, None, "a"), (None, None, "a"), (8, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    kept = [tuple(r) for r in jaccard.one_of_each(docs).collect()]
+    groups = {"c": [r for r in kept if r[1] in near], "alone": [r for r in kept if (r[1] or "").lower().startswith("alone")]}
+    assert len(groups["c"]) == len(groups["alone"]) == 1 and groups["c"][0][0] == 1 and groups["c"][0][2] == "a"
+    rest = [r for r in kept if r not in groups["c"] + groups["alone"]]
+    assert sorted(rest, key=repr) == sorted([(5, "single text", None), (6, "", "a"), (7, "", "a"), (None, None, "a"), (8, " ", None)], key=repr)
+    again = jaccard.one_of_each(docs.unionByName(docs).repartition(3)).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(kept, key=repr)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16))
