@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import WORD, row_key, word_list
+from tabaudit.llm.common import WORD, broadcast_if_small, row_key, word_list
 from tabaudit.operators.scale import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -118,24 +118,54 @@ def mix(
     )
 
 
+def _source_key(key: Column, source: Column) -> Column:
+    """Tells equal rows of different sources apart."""
+    return F.xxhash64(key, F.lit(3), source)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_place``, 1, 2, ... among those of one ``_row``, counted per partition first."""
+    dealt = materialize(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "equal_rows")
+    earlier = Window.partitionBy("_row").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_row", "_part").agg(F.count("*").alias("_rows")).select(
+        "_row", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy("_row", "_part").orderBy("_at")
+    return (
+        dealt.join(offsets, ["_row", "_part"]).withColumn("_place", F.col("_offset") + F.row_number().over(inside))
+        .drop("_part", "_at", "_offset")
+    )
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every taken document once per epoch, with ``epoch`` and ``words_taken``.
 
     Copies of whole epochs keep their text; where a budget ends inside a
     document, its text is cut to the first words, joined by one blank.
-    Columns of ``docs`` are kept; rows equal in id and text are all taken as
-    the most taken one of them.
+    Columns of ``docs`` are kept.  Of rows equal in id, text and source as
+    many are taken, and as far, as ``mix`` says; which of them is open.
     """
-    identity, text = options.get("identity", "doc_id"), options.get("text", "text")
-    takes = (
-        mix(docs, **options).filter("taken > 0").groupBy("row_key")
-        .agg(F.max("taken").alias("_taken"), F.first("size").alias("_size"))
+    identity, text, source = (options.get(x, d) for x, d in (("identity", "doc_id"), ("text", "text"), ("source", "source")))
+    keyed = docs.withColumn("_row", _source_key(row_key(identity, text), F.col(source)))
+    # At most one row of a source is cut: of equal rows some take an epoch more than the others, one a part of it.
+    base = F.first(F.col("epochs") * F.col("size"))
+    takes = materialize(
+        mix(docs, **options).groupBy(_source_key(F.col("row_key"), F.col("source")).alias("_row"))
+        .agg(F.first("size").alias("_size"), base.alias("_base"), F.sum("taken").alias("_taken"), F.count("*").alias("_n"))
+        .filter("_taken > 0").withColumn("_extra", F.col("_taken") - F.col("_n") * F.col("_base")).drop("_taken"), "takes",
     )
+    # Only rows among which a budget ends are numbered.
+    uneven = (F.col("_extra") > 0) & (F.col("_extra") < F.col("_n") * F.col("_size")) & (F.col("_n") > 1)
+    rows = keyed.join(takes.filter(~uneven), "_row").withColumn("_place", F.lit(1).cast("long"))
+    split = takes.filter(uneven)
+    if not split.isEmpty():
+        rows = rows.unionByName(_numbered(keyed.join(broadcast_if_small(split), "_row")))
+    taken = F.col("_base") + F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_extra") - (F.col("_place") - 1) * F.col("_size")))
     copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("epoch") - 1) * F.col("_size"))
     cut = F.array_join(F.slice(word_list(F.col(text)), F.lit(1), F.col("words_taken").cast("int")), " ")
     return (
-        docs.withColumn("row_key", row_key(identity, text)).join(takes, "row_key")
+        rows.withColumn("_taken", taken).filter("_taken > 0")
         .select(*docs.columns, "_taken", "_size", F.explode(copies).alias("epoch"))
         .withColumn("words_taken", words)
         .withColumn(text, F.when(F.col("words_taken") < F.col("_size"), cut).otherwise(F.col(text)))

@@ -44,6 +44,30 @@ def test_mix_of_odd_rows(odd, nothing):
     assert mixing.mix(nothing).isEmpty() and mixing.mixed_documents(nothing).isEmpty()
 
 
+def test_mixed_words_meet_the_budget_with_repeated_rows(spark):
+    rows = [(1, "a b c d e f g", "a", i) for i in range(40)] + [(2, "one two three", "b", 0)] * 9 + [(1, "a b c d e f g", "b", 1), (3, "x y", "b", 2)]
+    rows += [(1, "a b c d e f g", None, i) for i in range(30)] + [(None, "n m", None, 0)] * 3 + [(4, None, None, 1), (4, "", "a", 1)]
+    rows += [(i, f"d{i} e f g h", "d", 0) for i in range(100, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(5)
+    for options in ({}, {"weights": (1, 3, 2, 5), "share": 0.4}, {"weights": (1,), "share": 0.13, "seed": 3}):
+        targets = {r["source"]: (int(r["target"]), r["t"]) for r in mixing.mix(docs, **options).groupBy("source", "target").agg(F.sum("taken").alias("t")).collect()}
+        out = mixing.mixed_documents(docs, **options).collect()
+        for source, (target, taken) in targets.items():
+            own = [r for r in out if r["source"] == source]
+            assert sum(r["words_taken"] for r in own) == target == taken
+            assert all(len(r["text"].split()) == r["words_taken"] > 0 for r in own)
+        # Of every row the words that mix takes, and no row without them.
+        want = sorted((r["doc_id"] or 0, r["source"] or "", r["taken"]) for r in mixing.mix(docs, **options).filter("taken > 0").collect())
+        whole = {}
+        for r in out:
+            at = (r["doc_id"] or 0, r["source"] or "")
+            whole.setdefault(at, []).append(r["words_taken"])
+        sums = {}
+        for d, s, taken in want:
+            sums[d, s] = sums.get((d, s), 0) + taken
+        assert {at: sum(x) for at, x in whole.items()} == sums
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.net/en/x"), (2, "https://b.net/x?y"), (3, None), (4, "no scheme"), (5, "http://example.com/de"), (6, "http://x.example.com/de/1"),
             (7, "http://net"), (8, "http://notnet/"), (9, "http://o.org/fr/"), (9, "http://o.org/fr/"), (10, "")]
