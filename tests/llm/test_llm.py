@@ -1,6 +1,8 @@
 """The operators against SQL, brute force and hand-made cases."""
 
+import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -418,3 +420,78 @@ def test_pipeline(spark, data):
             assert 0 < out.count() <= docs.count()
             docs = out
     assert {"epoch", "words_taken"} <= set(out.columns) and out.count() > 0
+
+
+def _mixed_by_force(rows, weights=(5, 2, 1), share=1.5, most=2.0):
+    words = lambda r: re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+    sizes = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(words(r))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes))}
+    targets, left = {}, share * sum(sizes.values())
+    for s in sorted(sizes, key=lambda s: (most * sizes[s] / weight[s], s)):
+        rest = sum(weight[x] for x in sizes if x not in targets)
+        targets[s] = min(most * sizes[s], weight[s] * (left / rest))
+        left -= targets[s]
+    out = []
+    for s, size in sizes.items():
+        budget = int(targets[s] + 1e-6)
+        for epoch in range(1, budget // max(size, 1) + 2):
+            room = budget - (epoch - 1) * size
+            own = [r for r in rows if r["source"] == s]
+            for r in sorted(own, key=lambda r: (hashlib.md5(f"0#{r['doc_id']}".encode()).hexdigest(), r["doc_id"], len(words(r)))):
+                taken = min(room, len(words(r)))
+                room -= taken
+                if taken > 0:
+                    text = r["text"] if taken == len(words(r)) else " ".join(words(r)[:taken])
+                    out.append((r["doc_id"], text, s, epoch, taken))
+    return out
+
+
+def test_pipeline_matches_plain_stages(spark, data, tmp_path):
+    docs, labels, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = quality.fit(docs, labels)
+    rows = [r.asDict() for r in docs.orderBy("doc_id").limit(60).collect()]
+    scores = quality.score_texts(model, [r["text"] for r in rows])
+    item = next(r["text"] for r in items.orderBy("item_id").collect() if len(r["text"].split()) >= 10)
+    good = [r for r, s in zip(rows, scores) if s >= 0.5 and "\n" in r["text"].strip() and len(r["text"].split()) > 60]
+    plant = lambda d, text, like: rows.append({**like, "doc_id": d, "text": text, "n_chars": len(text)})
+    plant(1001, " ".join(good[0]["text"].split()), good[0])  # a near copy whose lines are not
+    plant(1002, good[1]["text"], good[1])  # all lines repeat earlier ones
+    plant(1003, " ".join((good[2]["text"] + "\n" + item).split()[20:]), good[2])  # a benchmark item
+    rows += [dict(good[3])] * 3  # repeated rows
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    key = lambda r: (r["doc_id"], r["text"], r["source"], r["n_chars"])
+    plain = {}
+    # The classifier learns from the documents of the same table.
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scores = quality.score_texts(quality.fit(table, labels), [r["text"] for r in rows])
+    plain["quality classifier"] = now = [r for r, s in zip(rows, scores) if s >= 0.5]
+    texts = _lines_by_force({(r["doc_id"], r["text"]) for r in now})
+    now = [{**r, "text": texts[r["doc_id"]], "n_chars": len(texts[r["doc_id"]])} for r in now if texts[r["doc_id"]] == r["text"] or texts[r["doc_id"]].split()]
+    plain["line dedup"] = now
+    roots = _components_by_force({(r["doc_id"], r["text"]) for r in now})
+    plain["n-gram Jaccard join"] = now = list({r["doc_id"]: r for r in now if roots[r["doc_id"]][1] == r["doc_id"]}.values())
+    split = lambda text: re.findall(decontaminate.ITEM_WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    windows = set()
+    for r in items.collect():
+        w = split(r["text"])
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9)) if w}
+    lengths = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[i : i + n]) in windows for n in lengths for i in range(len(w) - n + 1))
+    plain["benchmark decontamination"] = now = [r for r in now if not hit(split(r["text"]))]
+    mixed = sorted(_mixed_by_force(now))
+    # Every stage has something to do.
+    sizes = [len(rows), *map(len, plain.values())]
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > sizes[4] > 0, sizes
+
+    found, out = table, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = corpus_pipeline.materialize(stage(spark, found, str(tmp_path)), "stage")
+        assert sorted(map(key, found.collect())) == sorted(map(key, plain[name])), name
+    ends = lambda df: sorted((r["doc_id"], r["text"], r["source"], r["epoch"], r["words_taken"]) for r in df.collect())
+    assert ends(corpus_pipeline.STAGES[-1][1](spark, found, str(tmp_path))) == mixed
+    assert ends(corpus_pipeline.run(spark, str(tmp_path))) == mixed
