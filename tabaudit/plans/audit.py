@@ -132,6 +132,8 @@ def audit(
     tables["scored"] = scored
     tables["leakage"] = spark.createDataFrame(removed, "column string, reason string, measure double")
     reason = f"AUC {auc:.3f}" if auc is not None else "AUC undefined"
+    if profile.outlier_contamination is not None and rows_in <= profile.outlier_min_rows:
+        reason += f"; outlier step skipped, {rows_in} rows (more than {profile.outlier_min_rows} needed)"
     report = _report(
         spark, name, "SUCCESS", reason, auc=auc, rows_removed=rows_in - rows, predictors=len(kept),
         calibration=fitted.calibration, ece=ece, **common,

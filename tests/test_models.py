@@ -147,6 +147,15 @@ def test_fold_calibration_when_held_out_rows_lack_a_class(spark):
     assert fitted.scored.select(F.max(F.col("prob")[1])).first()[0] <= 1.0
 
 
+def test_skipped_outlier_step_is_recorded(spark):
+    small = audit(_signal(spark, 400), "small", keys=["key"])
+    said = "outlier step skipped, 400 rows (more than 500 needed)"
+    r, logged = small.report.first(), small.log.collect()
+    assert r["rows_removed"] == 0 and r["reason"].endswith(said) and [x["reason"] for x in logged] == [r["reason"]]
+    large = audit(_signal(spark, 600), "large", keys=["key"]).report.first()
+    assert large["rows_removed"] > 0 and "skipped" not in large["reason"]
+
+
 def test_early_exits(spark):
     empty = spark.createDataFrame([], "a int, target int")
     assert audit(empty).report.first()["reason"] == "The table has no rows"
