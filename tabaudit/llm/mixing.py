@@ -123,7 +123,7 @@ def _source_key(key: Column, source: Column) -> Column:
     return F.xxhash64(key, F.lit(3), source)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
     """``rows`` with ``_place``, 1, 2, ... among those of one ``_row``, counted per partition first."""
     dealt = materialize(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "equal_rows")
     earlier = Window.partitionBy("_row").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +159,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = keyed.join(takes.filter(~uneven), "_row").withColumn("_place", F.lit(1).cast("long"))
     split = takes.filter(uneven)
     if not split.isEmpty():
-        rows = rows.unionByName(_numbered(keyed.join(broadcast_if_small(split), "_row")))
+        rows = rows.unionByName(numbered(keyed.join(broadcast_if_small(split), "_row")))
     taken = F.col("_base") + F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_extra") - (F.col("_place") - 1) * F.col("_size")))
     copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("epoch") - 1) * F.col("_size"))

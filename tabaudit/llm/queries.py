@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabaudit.llm import decontaminate, jaccard, licenses, linedup, mixing, quality, repeats, tokens, urls, vectors
+from tabaudit.llm import (
+    decontaminate, importance, jaccard, licenses, linedup, mixing, packing, quality, repeats, runs, tokens, urls, vectors,
+)
 from tabaudit.llm.common import table
 
 
@@ -58,6 +60,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    # Packing looks at lengths only, so the ids are reduced to their digest first.
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.collapse_runs(runs.with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -69,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -78,4 +98,6 @@ ORACLE: dict[str, str] = {
     "op6_source_mixing": mixing.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
     "op10_substring_dedup": repeats.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
+    "op13_periodic_runs": runs.ORACLE,
 }
