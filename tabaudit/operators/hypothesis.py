@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col, number, numeric_columns, significance, string_columns
-from tabaudit.functions.special import chi2_pvalue, f_pvalue, shapiro_wilk, t_pvalue
-from tabaudit.operators.scale import materialize, running_totals, smallest_by_hash, unpivot_numeric
+from tabaudit.functions.special import chi2_pvalue, f_pvalue, francia_pvalue, normal_quantile, shapiro_wilk, t_pvalue
+from tabaudit.operators.scale import BROADCAST_ROWS, materialize, running_totals, smallest_by_hash, unpivot_numeric
 
 
 def first_labels(df: DataFrame, target: str, n: int = 2) -> list[str]:
@@ -205,6 +205,36 @@ def normality_sample(
     return picked.select("column", "value")
 
 
+def normal_score_fit(df: DataFrame, cols: Sequence[str], small: bool | None = None) -> DataFrame:
+    """(column, n, w): Shapiro-Francia W of all present values of each column.
+
+    W is the squared correlation of the values with their normal scores, the
+    normal quantiles of (rank - 3/8) / (n + 1/4); equal values share their
+    average rank.  Values are counted first and ranks are running totals over
+    the counts, so neither a column nor a hot value is one task's work.  A
+    column of one value has W = 1, a column with infinite values has none.
+    """
+    cells = materialize(
+        unpivot_numeric(df.select(*[number(c).alias(c) for c in cols]), list(cols))
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")), "values",
+    )
+    # Deviations from the mean keep digits when the mean is far from zero; one row per column.
+    means = cells.groupBy("column").agg((F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("_mean"))
+    ranked = running_totals(cells, "value", ["cnt"], ["column"], small=small)
+    rank = F.col("cnt_before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)
+    share = (rank - F.lit(0.375)) / (F.col("cnt_total") + F.lit(0.25))
+    x, m, c = F.col("value") - F.col("_mean"), F.col("_m"), F.col("cnt")
+    sums = ranked.withColumn("_p", share).withColumn("_m", normal_quantile("_p")).join(F.broadcast(means) if len(cols) <= BROADCAST_ROWS else means, "column").groupBy("column").agg(
+        F.max("cnt_total").alias("n"), F.count(F.lit(1)).alias("_values"), F.sum(c * x * m).alias("_xm"),
+        F.sum(c * x * x).alias("_xx"), F.sum(c * m * m).alias("_mm"), F.sum(c * m).alias("_sm"), F.sum(c * x).alias("_sx"),
+    )
+    n = F.col("n")
+    xm = F.col("_xm") - F.col("_sx") * F.col("_sm") / n
+    xx, mm = F.col("_xx") - F.col("_sx") * F.col("_sx") / n, F.col("_mm") - F.col("_sm") * F.col("_sm") / n
+    w = F.when(F.col("_values") == 1, F.lit(1.0)).otherwise(F.try_divide(xm * xm, xx * mm))
+    return sums.select("column", "n", F.when(~F.isnan(w), F.least(w, F.lit(1.0))).alias("w"))
+
+
 def normality(
     df: DataFrame,
     cols: Sequence[str] | None = None,
@@ -212,41 +242,55 @@ def normality(
     rows: int = 500,
     alpha: float = 0.05,
     seed: int = 42,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Shapiro-Wilk on a hash sample of each numeric column.
+    """Is a column normal?  (column, position, n, w, p_value, test, sampled, sample_w, sample_p).
 
-    (column, position, sampled, w, p_value, test).  The sample is ``rows``
-    values per column, so each group handed to Python is bounded.
+    ``w``, ``p_value`` and the named ``test`` come from all present values
+    (Shapiro-Francia).  Shapiro-Wilk on a hash sample of ``rows`` values is
+    reported beside it; it decides only where all values are three or four,
+    for which the other has no p-value.  Fewer values, or none, name no test.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    schema = "column string, position int, sampled bigint, w double, p_value double, test string"
+    schema = (
+        "column string, position int, n bigint, w double, p_value double, test string, sampled bigint, sample_w double, sample_p double"
+    )
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
-    place = {c: i for i, c in enumerate(cols)}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["column"].iloc[0]
         w, p = shapiro_wilk(pdf["value"].to_numpy())
-        if len(pdf) < 3:
-            label = "not enough data"
-        else:
-            label = "ANOVA" if p > alpha else "Kruskal-Wallis"
-        return pd.DataFrame(
-            {"column": [name], "position": [place[name]], "sampled": [len(pdf)], "w": [w], "p_value": [p], "test": [label]}
-        )
+        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "sampled": [len(pdf)], "sample_w": [w], "sample_p": [p]})
 
-    return normality_sample(df, cols, keys, rows, seed).groupBy("column").applyInPandas(one, schema)
+    # One row per column on either side.
+    sampled = (
+        normality_sample(df, cols, keys, rows, seed).groupBy("column")
+        .applyInPandas(one, "column string, sampled bigint, sample_w double, sample_p double")
+    )
+    present = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("sample_w", "sample_p")]
+    fit = normal_score_fit(df, cols, small).join(sampled.select("column", "sampled", *present), "column", "left")
+    few = F.col("n") < 5
+    p = F.when(few, F.col("sample_p")).when(F.col("w") >= 1.0, F.lit(1.0)).otherwise(francia_pvalue(F.col("w"), F.col("n")))
+    name = F.when((F.col("n") < 3) | F.col("p_value").isNull(), "not enough data").when(F.col("p_value") > alpha, "ANOVA")
+    place = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)]), F.col("column"))
+    return fit.withColumn("p_value", p).select(
+        "column", place.alias("position"), "n", "w", "p_value", name.otherwise("Kruskal-Wallis").alias("test"),
+        "sampled", "sample_w", "sample_p",
+    )
 
 
 def recommended_tests(df: DataFrame, target: str, norm: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Run the test that the normality check names for each column."""
-    f = with_f_pvalue(anova(df, target, cols)).select("column", F.col("f").alias("f_stat"), F.col("p_value").alias("f_p"))
-    h = with_h_pvalue(kruskal(df, target, cols)).select("column", F.col("h").alias("h_stat"), F.col("p_value").alias("h_p"))
-    use_f = F.col("test") == "ANOVA"
-    return (
-        norm.select("column", "test").where("test <> 'not enough data'").join(f, "column").join(h, "column")
-        .select(
-            "column", "test", F.when(use_f, F.col("f_stat")).otherwise(F.col("h_stat")).alias("statistic"),
-            F.when(use_f, F.col("f_p")).otherwise(F.col("h_p")).alias("p_value"),
-        )
-    )
+    """Run for each column the test that the normality check names, and no other.
+
+    (column, test, statistic, p_value); a column without a named test has no row.
+    """
+    # One row per column.
+    named = {r["column"]: r["test"] for r in norm.select("column", "test").collect()}
+    runs = []
+    if by_f := [c for c in cols if named.get(c) == "ANOVA"]:
+        runs.append(with_f_pvalue(anova(df, target, by_f)).select("column", F.lit("ANOVA").alias("test"), F.col("f").alias("statistic"), "p_value"))
+    if by_rank := [c for c in cols if named.get(c) == "Kruskal-Wallis"]:
+        runs.append(with_h_pvalue(kruskal(df, target, by_rank)).select("column", F.lit("Kruskal-Wallis").alias("test"), F.col("h").alias("statistic"), "p_value"))
+    if not runs:
+        return df.sparkSession.createDataFrame([], "column string, test string, statistic double, p_value double")
+    return runs[0] if len(runs) == 1 else runs[0].unionByName(runs[1])

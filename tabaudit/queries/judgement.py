@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabaudit.config import QualityRules
+from tabaudit.functions.special import normal_quantile_sql
 from tabaudit.operators import evidence, hypothesis, leakage, quality
 from tabaudit.plans.critique import critique
 from tabaudit.queries.common import (
@@ -238,21 +239,54 @@ ORACLE["normality_sample"] = union(
     for c in MEASURES
 )
 
-# Shapiro-Wilk needs normal quantiles: no SQL.
-QUERIES["normality"] = lambda s, d: hypothesis.normality(
-    table(s, d, "lineitem"), MEASURES, keys=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+# A column drawn from the normal distribution by the digest of the row key (Box and Muller), rounded so that values tie.
+def _with_bell(s, d):
+    key = F.md5(F.concat_ws("|", *_ROW_KEY))
+    unit = lambda at: (F.conv(F.substring(key, at, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    bell = F.round(F.sqrt(F.lit(-2.0) * F.log(unit(1))) * F.cos(F.lit(6.283185307179586) * unit(9)), 3)
+    return lineitem_gaps(s, d).withColumn("bell", bell)
+
+
+_UNIT = "(CAST('0x' || substr(md5(concat_ws('|', {keys})), {at}, 8) AS BIGINT) + 5e-1) / 4294967296e0"
+_BELL = f"""(SELECT *, round(sqrt(-2e0 * ln({_UNIT.format(keys=", ".join(_ROW_KEY), at=1)})) * cos(6.283185307179586 * {_UNIT.format(keys=", ".join(_ROW_KEY), at=9)}), 3) AS bell
+  FROM {GAPS}) AS belled"""
+_SHAPES = [*MEASURES, "bell"]
+
+# Tail of the normal distribution beyond z by its series around zero, which is long enough for |z| < 8.
+_TAIL = """CASE WHEN z > 8 THEN 0e0 WHEN z < -8 THEN 1e0 ELSE 5e-1 - sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120),
+  lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 15e-1) + ln(pi()) / 2))) END"""
+
+
+def _normality_sql(source: str, cols: list[str]) -> str:
+    # Average ranks by window functions over single rows.
+    fits = union(f"""SELECT '{c}' AS "column", {i} AS position, count(*) AS n, pow(corr(x, m), 2) AS w FROM (
+  SELECT x, {normal_quantile_sql("p")} AS m FROM (
+    SELECT {c} AS x, (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0 - 375e-3) / (count(*) OVER () + 25e-2) AS p
+    FROM {source} WHERE {c} IS NOT NULL) AS r) AS s""" for i, c in enumerate(cols))
+    return f"""SELECT *, CASE WHEN p_value > 0.05 THEN 'ANOVA' ELSE 'Kruskal-Wallis' END AS test FROM (SELECT "column", position, n, w, {_TAIL} AS p_value FROM (
+  SELECT *, (ln(1 - w) + 1.2725 - 1.0521 * (ln(ln(n)) - ln(n))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS z FROM ({fits}) AS f) AS g) AS h"""
+
+
+# Shapiro-Wilk on the sample has no SQL.
+QUERIES["normality"] = lambda s, d: hypothesis.normality(_with_bell(s, d), _SHAPES, keys=_ROW_KEY)
+for _name, _small in (("normality_all_rows", None), ("normality_distributed", False)):
+    QUERIES[_name] = lambda s, d, small=_small: rounded(
+        hypothesis.normality(_with_bell(s, d), _SHAPES, keys=_ROW_KEY, small=small).select("column", "position", "n", "w", "p_value", "test"), 6)
+    ORACLE[_name] = f"""SELECT "column", position, n, {rnd("w", 6)} AS w, {rnd("p_value", 6)} AS p_value, test FROM ({_normality_sql(_BELL, _SHAPES)}) AS q"""
 
 
 def _recommended(s, d):
-    df = table(s, d, "lineitem")
-    norm = hypothesis.normality(df, MEASURES, keys=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return rounded(hypothesis.recommended_tests(df, "l_returnflag", norm, MEASURES), 6)
+    df = _with_bell(s, d).withColumn("l_returnflag", F.coalesce("l_returnflag", F.lit("N")))
+    return rounded(hypothesis.recommended_tests(df, "l_returnflag", hypothesis.normality(df, _SHAPES, keys=_ROW_KEY), _SHAPES), 6)
 
 
-# No measure of this data passes the normality check, so every column gets the rank test.
+# Three classes: the tails of F and of chi-square have closed forms.
+_THREE = f"(SELECT * REPLACE (coalesce(l_returnflag, 'N') AS l_returnflag) FROM {_BELL}) AS three"
 QUERIES["recommended_tests"] = _recommended
-ORACLE["recommended_tests"] = f"""SELECT "column", 'Kruskal-Wallis' AS test, {rnd("h", 6)} AS statistic, {rnd("exp(-h / 2)", 6)} AS p_value
-FROM ({_kruskal_sql("lineitem", "l_returnflag", MEASURES)}) AS q"""
+ORACLE["recommended_tests"] = f"""SELECT r."column", r.test, {rnd("CASE WHEN r.test = 'ANOVA' THEN f ELSE h END", 6)} AS statistic,
+  {rnd("CASE WHEN r.test = 'ANOVA' THEN pow(1 + 2 * f / df_within, -df_within / 2e0) ELSE exp(-h / 2) END", 6)} AS p_value
+FROM ({_normality_sql(_THREE, _SHAPES)}) AS r JOIN ({_anova_sql(_THREE, "l_returnflag", _SHAPES)}) AS a USING ("column")
+JOIN ({_kruskal_sql(_THREE, "l_returnflag", _SHAPES)}) AS k USING ("column")"""
 
 
 # --- leakage by correlation with the class code -----------------------------

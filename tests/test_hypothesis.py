@@ -1,3 +1,5 @@
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -98,7 +100,66 @@ def test_normality_per_column(spark):
     two = {r["column"]: r for r in hypothesis.normality(df.repartition(11), ["bell", "tail", "few"], ["id"]).collect()}
     assert one["tail"]["test"] == "Kruskal-Wallis" and one["bell"]["sampled"] == 500
     assert one["few"]["test"] == "not enough data"
-    assert one["bell"]["w"] == two["bell"]["w"]
+    assert one["bell"]["sample_w"] == two["bell"]["sample_w"]
+    assert one["bell"]["w"] == pytest.approx(two["bell"]["w"], rel=1e-9)
+
+
+def _francia(x):
+    rank = pd.Series(x).rank()
+    m = np.array([NormalDist().inv_cdf((r - 0.375) / (len(x) + 0.25)) for r in rank])
+    return np.corrcoef(x, m)[0, 1] ** 2
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_normality_of_all_rows(spark, small):
+    rng = np.random.default_rng(8)
+    n = 6000
+    bell = rng.normal(size=n)
+    # One value in forty lies apart: five hundred values often hide it, all rows do not.
+    pdf = pd.DataFrame({
+        "id": range(n), "bell": bell, "far": np.where(np.arange(n) % 40 == 0, bell * 2.2, bell), "ties": np.round(bell) + 1e9,
+        "same": 7.0, "hot": np.where(np.arange(n) % 3 == 0, 0.5, bell), "none": np.nan, "four": [1.0, 2.0, 3.0, 9.0] + [np.nan] * (n - 4), "endless": [np.inf] + [1.0] * (n - 1),
+    })
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = {r["column"]: r for r in hypothesis.normality(df, [c for c in pdf if c != "id"], ["id"], small=small).collect()}
+    for c in ("bell", "far", "ties", "hot", "four"):
+        x = pdf[c].dropna().to_numpy()
+        assert got[c]["n"] == len(x) and got[c]["w"] == pytest.approx(_francia(x), rel=1e-7)
+    # A normal column that is only rounded stays normal: equal values share their score.
+    assert {c: r["test"] for c, r in got.items()} == {
+        "bell": "ANOVA", "far": "Kruskal-Wallis", "ties": "ANOVA", "same": "ANOVA", "hot": "Kruskal-Wallis", "four": "ANOVA", "endless": "not enough data",
+    }
+    assert got["four"]["p_value"] == got["four"]["sample_p"] and got["same"]["p_value"] == 1.0 and got["far"]["sampled"] == 500
+
+
+def test_francia_keeps_its_size():
+    rng = np.random.default_rng(9)
+    for n, times in ((5, 400), (50, 400), (20_000, 60)):
+        m = np.array([NormalDist().inv_cdf((i + 0.625) / (n + 0.25)) for i in range(n)])
+        p = [special.francia_sf(np.corrcoef(np.sort(rng.normal(size=n)), m)[0, 1] ** 2, n) for _ in range(times)]
+        assert np.mean(np.array(p) < 0.1) < 0.1 + 3 * np.sqrt(0.09 / times)
+    assert np.isnan(special.francia_sf(0.9, 4)) and special.francia_sf(1.0, 10) == 1.0
+
+
+def test_normal_quantile(spark):
+    p = [1e-300, 1e-20, 1e-9, 0.001, 0.0749, 0.075, 0.3, 0.5, 0.6, 0.925, 0.9251, 0.999999, 1 - 1e-15]
+    df = spark.createDataFrame([(x,) for x in p], "p double")
+    for r in df.withColumn("q", special.normal_quantile("p")).collect():
+        assert r["q"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-12, abs=1e-15)
+
+
+def test_only_the_named_test_runs(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3, float(i), float(i * i)) for i in range(60)], "g int, a double, b double")
+    norm = spark.createDataFrame([("a", "ANOVA"), ("b", "Kruskal-Wallis")], "column string, test string")
+    ran = {}
+    for name in ("anova", "kruskal"):
+        run = getattr(hypothesis, name)
+        monkeypatch.setattr(hypothesis, name, lambda d, t, cols, run=run, name=name: ran.setdefault(name, cols) and run(d, t, cols))
+    got = {r["column"]: r["test"] for r in hypothesis.recommended_tests(df, "g", norm, ["a", "b"]).collect()}
+    assert got == {"a": "ANOVA", "b": "Kruskal-Wallis"} and ran == {"anova": ["a"], "kruskal": ["b"]}
+    ran.clear()
+    assert hypothesis.recommended_tests(df, "g", norm.where("column = 'a'"), ["a", "b"]).count() == 1 and ran == {"anova": ["a"]}
+    assert hypothesis.recommended_tests(df, "g", norm.limit(0), ["a", "b"]).isEmpty()
 
 
 def test_large_counts(spark):
