@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabaudit.config import SOURCE_TEXT_RULES, TextRule
 from tabaudit.functions.columns import safe_name
 from tabaudit.operators import fusion, profiling, textscan
-from tabaudit.operators.scale import scratch_path
+from tabaudit.operators.scale import materialize, scratch_path
 from tabaudit.plans.profile import metadata, profile
 from tabaudit.queries.common import COLUMNS, rnd, rounded, table, union
 from tabaudit.sources import csv, files, headerless, sinks
@@ -154,6 +154,25 @@ ORACLE["csv_ragged_lines"] = """SELECT s_suppkey, s_name, CAST(CASE WHEN s_natio
   CASE WHEN s_nationkey <> 1 THEN s_acctbal END AS s_acctbal FROM supplier WHERE s_nationkey <> 2"""
 
 
+# Texts with line breaks and quotes, read in splits far smaller than many of them.
+def _quoted_csv(s, d):
+    path = scratch_path(s, "quoted")
+    docs = table(s, d, "documents").select("doc_id", "text", "lang", F.concat(F.lit('say "'), "source", F.lit('"\n')).alias("source"))
+    docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    known = {k: s.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        s.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        s.conf.set("spark.sql.files.openCostInBytes", "0")
+        return materialize(csv.load(s, path, encoding="UTF-8"), "loaded")
+    finally:
+        for k, v in known.items():
+            s.conf.set(k, v)
+
+
+QUERIES["csv_quoted_line_breaks"] = _quoted_csv
+ORACLE["csv_quoted_line_breaks"] = """SELECT doc_id, nullif(text, '') AS text, lang, 'say "' || source || '"' || chr(10) AS source FROM documents"""
+
+
 def _strict_csv(s, d):
     path = scratch_path(s, "strict")
     sinks.write_csv(table(s, d, "part"), path)

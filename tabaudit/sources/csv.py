@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tabaudit.config import NA_TOKENS
 from tabaudit.functions.columns import col
+from tabaudit.sources.records import records, splittable
 
 LATIN1 = "ISO-8859-1"
 _WHOLE = r"^\s*[+-]?[0-9]+\s*$"
@@ -53,7 +54,7 @@ def sniff_separator(line: str) -> str:
 
 def header_names(line: str, sep: str) -> list[str]:
     """Column names; empty ones are ``Unnamed: i``, repeats get ``.1``, ``.2``."""
-    raw = next(pycsv.reader([line], delimiter=sep), [])
+    raw = next(pycsv.reader(line.splitlines(keepends=True), delimiter=sep), [])
     out: list[str] = []
     seen: dict[str, int] = {}
     for i, name in enumerate(raw):
@@ -87,7 +88,9 @@ def read_texts(
 
     The schema has one column more than the header: a line that fills it has
     too many fields.  ``multiline=None`` looks for line breaks inside quotes
-    first, because files read that way cannot be split.
+    first; such files are read by their records, in splits.  ``True`` reads
+    every file in one task, for encodings that are not based on ASCII and for
+    files whose lines end in carriage returns alone.
     """
     groups = header_groups(spark, path, encoding)
     if len(groups) > 1:
@@ -95,21 +98,31 @@ def read_texts(
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     line = first_line(spark, path, encoding)
     sep = sep or sniff_separator(line)
+    quoted = None
+    if multiline is None and has_open_quotes(spark, path, encoding):
+        multiline = not splittable(encoding)
+        if not multiline:
+            quoted = records(spark, path, sep, encoding)
+            head = quoted.where("first").select("record").first()
+            line = re.sub("^(\ufeff|ï»¿)", "", head["record"].rstrip("\r")) if head else line
     names = header_names(line, sep)
     if not names:
         raise ValueError(f"no header in {path}")
-    if multiline is None:
-        multiline = has_open_quotes(spark, path, encoding)
     inner = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*inner, "_extra", "_line"]])
     # Without pruning every line is parsed whole, so whether it fits does not
     # depend on the columns a query happens to use.
-    raw = (
-        spark.read.schema(schema).option("columnPruning", False).option("header", True).option("sep", sep).option("encoding", encoding)
-        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True)
-        .option("columnNameOfCorruptRecord", "_line").option("multiLine", multiline).option("nullValue", "")
-        .csv(path)
-    )
+    options = {
+        "columnPruning": "false", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line", "nullValue": "",
+    }
+    if quoted is not None:
+        fields = F.from_csv(F.regexp_replace("record", "\r$", ""), ", ".join(f"{f.name} string" for f in schema), options)
+        raw = quoted.where(~F.col("first")).select(fields.alias("r")).select("r.*")
+    else:
+        raw = (
+            spark.read.schema(schema).options(**options).option("header", True).option("encoding", encoding)
+            .option("enforceSchema", True).option("multiLine", bool(multiline)).csv(path)
+        )
     # A line with as many fields as the header is one short of the schema.
     # Separators outside quotes tell a longer line whose first surplus field is empty.
     bare = F.regexp_replace("_line", '"[^"]*"', "")
