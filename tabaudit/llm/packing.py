@@ -32,7 +32,7 @@ END = 1
 # A text is tokenised in parts of about so many bytes, cut at white space.
 PART = 1 << 20
 # A worker remembers the ids of so many stretches between white space of at most so many bytes.
-KNOWN = 150_000
+KNOWN = 300_000
 KNOWN_BYTES = 48
 # So many bytes of ids are handed on at once.
 HANDED = 1 << 23
