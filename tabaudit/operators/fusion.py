@@ -2,13 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Collection, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col, scalar_columns
-from tabaudit.operators.scale import materialize, split_hot_keys
+from tabaudit.operators.scale import materialize, small_table, split_hot_keys
+
+
+# Of each column about so many distinct values are looked at before any is compared exactly.
+SKETCH = 4096
+# A pair is ruled out when its sampled overlap lies so many standard deviations below the threshold.
+DEVIATIONS = 6.0
+
+_PAIRS = (
+    "table1 string, column1 string, table2 string, column2 string, distinct1 bigint, distinct2 bigint, "
+    "common bigint, ratio double, position bigint"
+)
+
+
+def _cells(df: DataFrame, numbers: Mapping[str, int]) -> DataFrame:
+    """(id, value): the present values of the numbered columns as text."""
+    long = df.select(*[col(c).cast("string").alias(str(i)) for c, i in numbers.items()]).unpivot(
+        [], [col(str(i)) for i in numbers.values()], "id", "value"
+    )
+    return long.where("value is not null").select(F.col("id").cast("int").alias("id"), "value")
+
+
+def _cells_of(tables: Sequence[DataFrame], columns: Sequence[tuple[int, str]], ids: Collection[int]) -> DataFrame | None:
+    """The cells of some columns of all tables; each table reads only those."""
+    out = None
+    for t, df in enumerate(tables):
+        own = {columns[i][1]: i for i in sorted(ids) if columns[i][0] == t}
+        if own:
+            out = _cells(df, own) if out is None else out.unionByName(_cells(df, own))
+    return out
+
+
+# 62 bits of hash; a value is in the sample of level L if its last L bits are zero.
+def _hash() -> Column:
+    return F.shiftrightunsigned(F.xxhash64("value"), 2).alias("h")
+
+
+def _overlaps(held: DataFrame, key: str) -> DataFrame:
+    """(a, b, common): for each two ids the keys that both hold; ids that occur together are counted first."""
+    together = (
+        held.groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+        .groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
+    )
+    pair = together.select("n", F.explode("ids").alias("a"), "ids").select("n", "a", F.explode("ids").alias("b"))
+    return pair.where("a < b").groupBy("a", "b").agg(F.sum("n").alias("common"))
+
+
+def _sketches(tables, columns, kept: int) -> tuple[DataFrame, list[int], list[float]]:
+    """Samples (id, h) of about ``kept`` distinct values of each column, with levels and estimated distinct counts."""
+    every = _cells_of(tables, columns, range(len(columns)))
+    found = {r["id"]: r["n"] for r in every.groupBy("id").agg(F.approx_count_distinct("value", 0.02).alias("n")).collect()}
+    counts = [float(found.get(i, 0)) for i in range(len(columns))]
+    levels = [max(0, math.ceil(math.log2(n / kept))) if n else 0 for n in counts]
+    mask = F.array(*[F.lit((1 << level) - 1).cast("bigint") for level in levels])[F.col("id")]
+    # Most cells of a large column go before anything is shuffled.
+    return materialize(every.select("id", _hash()).where(F.col("h").bitwiseAND(mask) == 0).distinct(), "sketch"), levels, counts
+
+
+def _possible_pairs(sketch: DataFrame, columns, levels, threshold: float, min_distinct: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Pairs of columns that may exceed the threshold, and exact distinct counts of columns sampled whole."""
+    h = F.col("h")
+    zeros = F.when(h == 0, F.lit(62)).otherwise(F.bit_count(h.bitwiseAND(-h) - 1)).cast("int")
+    # At most 63 rows per column and one per pair of columns.
+    at: dict[int, dict[int, int]] = {}
+    for r in sketch.groupBy("id", zeros.alias("z")).agg(F.count(F.lit(1)).alias("n")).collect():
+        at.setdefault(r["id"], {})[r["z"]] = r["n"]
+    met = {(r["a"], r["b"]): r["common"] for r in _overlaps(sketch, "h").collect()}
+    sizes = {i: sum(z.values()) for i, z in at.items() if not levels[i]}
+    usable = [i for i in sorted(at) if sizes.get(i, min_distinct) >= min_distinct]
+
+    def implausible(common: int, sampled: int) -> bool:
+        return common < threshold * sampled - DEVIATIONS * math.sqrt(max(threshold * (1 - threshold), 0.0) * sampled)
+
+    pairs = []
+    for k, a in enumerate(usable):
+        for b in usable[k + 1 :]:
+            if columns[a][0] == columns[b][0]:
+                continue
+            level = max(levels[a], levels[b])
+            sampled = [sum(n for z, n in at[i].items() if z >= level) for i in (a, b)]
+            if not all(implausible(met.get((a, b), 0), n) for n in sampled):
+                pairs.append((a, b))
+    return pairs, sizes
 
 
 def key_candidates(
@@ -16,67 +99,63 @@ def key_candidates(
     threshold: float = 0.6,
     min_distinct: int = 5,
     heads: int | None = None,
+    kept: int = SKETCH,
 ) -> DataFrame:
     """Column pairs of different tables whose values contain each other.
 
     (table1, column1, table2, column2, distinct1, distinct2, common, ratio,
     position); ``ratio`` is the share of the smaller value set found in the
     larger.  ``heads`` looks at the first rows of each table only.
+
+    Hash samples of the distinct values rule out most pairs.  The others are
+    compared exactly, value by value: columns of up to about ``kept`` values
+    whole, larger ones whole only against each other, and by the values of
+    the small ones otherwise.  Only their cells are shuffled.
     """
     names = list(tables)
-    parts, order = None, {}
-    for t, name in enumerate(names):
-        df = tables[name] if heads is None else tables[name].limit(heads)
-        cols = scalar_columns(df)
-        for i, c in enumerate(cols):
-            order[(t, c)] = i
-        long = df.select(*[col(c).cast("string").alias(c) for c in cols]).unpivot([], [col(c) for c in cols], "column", "value")
-        long = long.where("value is not null").select(F.lit(t).alias("t"), "column", "value")
-        parts = long if parts is None else parts.unionByName(long)
-    # Copies of a value collapse before the shuffle; the tables are read once.
-    values = materialize(parts.distinct(), "values")
-    sizes = {(r["t"], r["column"]): r["n"] for r in values.groupBy("t", "column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    usable = sorted(k for k, n in sizes.items() if n >= min_distinct)
-    schema = (
-        "table1 string, column1 string, table2 string, column2 string, distinct1 bigint, distinct2 bigint, "
-        "common bigint, ratio double, position bigint"
-    )
     spark = next(iter(tables.values())).sparkSession
-    if len({t for t, _ in usable}) < 2:
-        return spark.createDataFrame([], schema)
-    ids = {k: i for i, k in enumerate(usable)}
-    # Number the usable columns; a value then holds at most one id per column.
-    number = F.lit(None).cast("int")
-    for (t, c), i in ids.items():
-        number = F.when((F.col("t") == t) & (F.col("column") == c), F.lit(i)).otherwise(number)
-    held = (
-        values.withColumn("id", number).where("id is not null")
-        .groupBy("value").agg(F.collect_set("id").alias("ids"))
-        .where(F.size("ids") > 1)
-        .groupBy(F.array_sort("ids").alias("ids")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    table_of = F.array(*[F.lit(t) for t, _ in usable])
-    pair = held.select("n", F.explode("ids").alias("a"), "ids").select("n", "a", F.explode("ids").alias("b"))
-    common = (
-        pair.where((F.col("a") < F.col("b")) & (table_of[F.col("a")] != table_of[F.col("b")]))
-        .groupBy("a", "b").agg(F.sum("n").alias("common"))
-    )
-
-    def pick(of, i):
-        return F.array(*[F.lit(of(k)) for k in usable])[F.col(i)]
-
-    width = max(order.values()) + 1
-    n1, n2 = pick(lambda k: int(sizes[k]), "a").cast("bigint"), pick(lambda k: int(sizes[k]), "b").cast("bigint")
-    place = (
-        (pick(lambda k: k[0], "a") * len(names) + pick(lambda k: k[0], "b")).cast("bigint") * width * width
-        + pick(lambda k: order[k], "a").cast("bigint") * width + pick(lambda k: order[k], "b")
-    )
-    return common.select(
-        pick(lambda k: names[k[0]], "a").alias("table1"), pick(lambda k: k[1], "a").alias("column1"),
-        pick(lambda k: names[k[0]], "b").alias("table2"), pick(lambda k: k[1], "b").alias("column2"),
-        n1.alias("distinct1"), n2.alias("distinct2"), "common",
-        (F.col("common") / F.least(n1, n2)).alias("ratio"), place.alias("position"),
-    ).where(F.col("ratio") > threshold)
+    frames = [tables[n] if heads is None else materialize(tables[n].limit(heads), "heads") for n in names]
+    columns = [(t, c) for t, df in enumerate(frames) for c in scalar_columns(df)]
+    order = [i - min(j for j, (u, _) in enumerate(columns) if u == t) for i, (t, _) in enumerate(columns)]
+    if len({t for t, _ in columns}) < 2:
+        return spark.createDataFrame([], _PAIRS)
+    sketch, levels, guess = _sketches(frames, columns, kept)
+    pairs, sizes = _possible_pairs(sketch, columns, levels, threshold, min_distinct)
+    if not pairs:
+        return spark.createDataFrame([], _PAIRS)
+
+    partners: dict[int, set[int]] = {}
+    for a, b in pairs:
+        partners.setdefault(a, set()).add(b)
+        partners.setdefault(b, set()).add(a)
+    # A large column that meets only small ones is asked for their values.
+    asked = {i for i, others in partners.items() if levels[i] and not any(levels[o] for o in others)}
+    whole = set(partners) - asked
+    values = _cells_of(frames, columns, whole)
+    if asked:
+        wanted = sketch.where(F.col("id").isin(*{o for i in asked for o in partners[i]})).select("h").distinct()
+        side, rows = small_table(wanted)
+        picked = _cells_of(frames, columns, asked).withColumn("h", _hash()).join(F.broadcast(side) if rows is not None else side, "h", "left_semi").drop("h")
+        values = picked if values is None else values.unionByName(picked)
+    # Copies of a value collapse before the shuffle; the cells are read once.
+    values = materialize(values.distinct(), "values")
+    known = {r["id"]: r["n"] for r in values.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect() if r["id"] in whole}
+    found = {(r["a"], r["b"]): r["common"] for r in _overlaps(values, "value").collect()}
+    # One row per pair of columns.  Exact counts of the columns that were only asked, where a pair may pass.
+    open_pairs = [(a, b) for a, b in pairs if found.get((a, b), 0) > threshold * min(known.get(i, guess[i] * 0.8) for i in (a, b))]
+    missing = {i for p in open_pairs for i in p if i not in known}
+    if missing:
+        counted = _cells_of(frames, columns, missing).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        known.update({r["id"]: r["n"] for r in counted.collect()})
+    width = max(order) + 1
+    out = []
+    for a, b in open_pairs:
+        (t1, c1), (t2, c2) = columns[a], columns[b]
+        ratio = found[a, b] / min(known[a], known[b])
+        if ratio > threshold and min(known[a], known[b]) >= min_distinct:
+            place = (t1 * len(names) + t2) * width * width + order[a] * width + order[b]
+            out.append((names[t1], c1, names[t2], c2, known[a], known[b], found[a, b], ratio, place))
+    return spark.createDataFrame(out, _PAIRS)
 
 
 def is_unique(df: DataFrame, column: str) -> bool:

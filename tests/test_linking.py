@@ -1,8 +1,10 @@
+import random
 import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tabaudit.config import SOURCE_TEXT_RULES, TextRule
 from tabaudit.operators import fusion, textscan
@@ -59,6 +61,61 @@ def test_heads_look_at_first_rows_only(spark):
     assert fusion.key_candidates({"l": left, "r": right}, threshold=0.4, heads=10).count() == 0
 
 
+def _pairs_by_force(tables, threshold):
+    out = set()
+    for i, (t1, (cols1, rows1)) in enumerate(tables):
+        for t2, (cols2, rows2) in tables[i + 1 :]:
+            for j, a in enumerate(cols1):
+                for k, b in enumerate(cols2):
+                    x, y = ({r[n] for r in rows if r[n] is not None} for n, rows in ((j, rows1), (k, rows2)))
+                    if min(len(x), len(y)) >= 5 and len(x & y) > threshold * min(len(x), len(y)):
+                        out.add((t1, a, t2, b, len(x), len(y), len(x & y)))
+    return out
+
+
+@pytest.mark.parametrize("kept, side_rows", [(4096, 100_000), (64, 100_000), (64, 3), (8, 100_000)])
+def test_sketched_pairs_equal_all_pairs(spark, monkeypatch, kept, side_rows):
+    table = fusion.small_table
+    monkeypatch.setattr(fusion, "small_table", lambda df: table(df, side_rows))
+    rng = random.Random(kept)
+    key = lambda i: f"k{i}"
+    sizes = [3, 6, 40, 300, 2000]
+    tables = []
+    for t in range(3):
+        rows = 2500
+        cols = []
+        for c in range(4):
+            size, base, step = rng.choice(sizes), rng.choice([0, 0, 100, 5000]), rng.choice([1, 1, 2])
+            values = [key(base + step * rng.randrange(size)) for _ in range(rows)]
+            cols.append([v if rng.random() > 0.05 else rng.choice([None, "", v]) for v in values])
+        tables.append((f"t{t}", ([f"c{t}{i}" for i in range(4)], list(zip(*cols)))))
+    frames = {n: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols)).repartition(3) for n, (cols, rows) in tables}
+    got = {tuple(r)[:7] for r in fusion.key_candidates(frames, kept=kept).collect()}
+    assert got == _pairs_by_force(tables, 0.6) and got
+
+
+def test_only_cells_of_possible_pairs_are_compared(spark, monkeypatch):
+    written = {}
+    write = fusion.materialize
+
+    def spy(df, name):
+        out = write(df, name)
+        written[name] = out
+        return out
+
+    monkeypatch.setattr(fusion, "materialize", spy)
+    big = spark.range(40_000).select((F.col("id") * 3).alias("a"), F.concat(F.lit("text "), "id").alias("b"))
+    small = spark.range(50).select((F.col("id") * 6).alias("k"), F.concat(F.lit("other "), "id").alias("w"))
+    got = fusion.key_candidates({"big": big, "small": small}, kept=256).collect()
+    assert [tuple(r)[:7] for r in got] == [("big", "a", "small", "k", 40_000, 50, 50)]
+    # Of the large column only the fifty values that were asked for.
+    assert written["values"].count() == 150
+    assert written["sketch"].count() < 3_000
+    other = spark.range(40_000).select((F.col("id") * 3 + 1).alias("z"))
+    assert fusion.key_candidates({"big": big.select("a"), "other": other}, kept=256).isEmpty()
+    assert fusion.key_candidates({"none": big.limit(0), "small": small}).isEmpty() and fusion.key_candidates({"small": small}).isEmpty()
+
+
 # --- text scan against Python's regular expressions -------------------------
 
 _RULES = SOURCE_TEXT_RULES + (TextRule("gap", r"\n\s*\n", "LOW"),)
