@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tabaudit.functions.columns import (
     col, missing, number, numeric_columns, pearson, percent, rows_of, scalar_columns, string_columns,
 )
+from tabaudit.operators import frequent
 from tabaudit.operators.scale import exact_quantiles, is_small, materialize
 
 # Pairwise correlation as plain aggregates up to this many columns; beyond it
@@ -114,7 +115,7 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else scalar_columns(df)
     kinds = {f.name: f.dataType for f in df.schema}
     text = lambda c: (F.nanvl(col(c), F.lit(None).cast("double")) + F.lit(0.0) if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else col(c)).cast("string")
-    long = df.select(*[text(c).alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    long = df.select(*[text(c).alias(c) for c in cols]).unpivot([], [col(c) for c in cols], "column", "value")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,14 +123,24 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approximat
     """(column, distinct_count) without NULLs.
 
     The exact form groups (column, value) pairs; `count(distinct)` of many
-    columns at once would multiply every row instead.
+    columns at once would multiply every row instead.  Values of large tables
+    are told apart by 128-bit digests.
     """
     cols = list(cols) if cols is not None else scalar_columns(df)
     if approximate:
         wide = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
         items = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_count")) for i, c in enumerate(cols)]
         return wide.select(rows_of(items))
-    return value_counts(df, cols).groupBy("column").agg(F.count("value").alias("distinct_count"))
+    if is_small(df.select(*[col(c) for c in cols])):
+        return value_counts(df, cols).groupBy("column").agg(F.count("value").alias("distinct_count"))
+    return digest_counts(df, cols).select("column", "distinct_count")
+
+
+def digest_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, distinct_count, rows) by 128-bit digests: no value is shuffled."""
+    name = F.array(*[F.lit(c) for c in cols])[F.col("id")]
+    counts = frequent.value_digests(df, cols).groupBy("id").agg(F.count("h").alias("distinct_count"), F.sum("n").alias("rows"))
+    return counts.select(name.alias("column"), "distinct_count", "rows")
 
 
 def small_distinct_counts(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, int]:
@@ -150,12 +161,17 @@ def small_distinct_counts(df: DataFrame, cols: Sequence[str], limit: int) -> dic
     return found
 
 
-def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
     """Distinct values, most common value and missing cells per string column.
 
-    Ties for most common go to the smallest value.
+    Ties for most common go to the smallest value.  ``'direct'`` groups the
+    values themselves, ``'digested'`` (large tables) their digests.
     """
     cols = list(cols) if cols is not None else string_columns(df)
+    if method == "auto":
+        method = "direct" if is_small(df.select(*[col(c) for c in cols])) else "digested"
+    if method == "digested" and cols:
+        return frequent.categorical_profile(df, cols)
     counts = value_counts(df, cols)
     # Largest count first, then smallest value: min of (-n, value).
     best = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.operators import profiling, scale
+from tabaudit.operators import frequent, profiling, scale
 from tabaudit.plans.profile import metadata, profile
 from tabaudit.queries.common import (
     COLUMNS, GAPS, MEASURES, NUMERIC, TEXT, lineitem_gaps, rnd, rounded, table, union,
@@ -130,6 +133,21 @@ FROM (SELECT {c} AS v, count(*) AS n FROM {source} GROUP BY {c}) AS g"""
     )
 
 
+def _top_sql(source: str, cols: list[str], k: int) -> str:
+    return union(f"""SELECT * FROM (SELECT '{c}' AS "column", v AS value, n, CAST(row_number() OVER (ORDER BY n DESC, v) AS INTEGER) AS place FROM (
+  SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY {c}) AS g) AS p WHERE place <= {k}""" for c in cols)
+
+
+# Frequent values, all-different texts, and documents with exact copies; eight counters a task make the summaries work.
+_TOPS = (("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey"], 3, 8), ("documents", ["text", "lang", "source", "doc_id"], 4, 4096))
+QUERIES["top_values"] = lambda s, d: reduce(DataFrame.unionByName, [
+    frequent.top_values(table(s, d, t), cols, k, kept) for t, cols, k, kept in _TOPS])
+ORACLE["top_values"] = union(_top_sql(t, cols, k) for t, cols, k, _ in _TOPS)
+
+QUERIES["categorical_profile_digested"] = lambda s, d: profiling.categorical_profile(
+    lineitem_gaps(s, d), TEXT["lineitem"], "digested").unionByName(profiling.categorical_profile(table(s, d, "documents"), TEXT["documents"], "digested"))
+ORACLE["categorical_profile_digested"] = union([_categories_sql(GAPS, TEXT["lineitem"]), _categories_sql("documents", TEXT["documents"])])
+
 QUERIES["categorical_profile"] = lambda s, d: profiling.categorical_profile(lineitem_gaps(s, d)).unionByName(
     profiling.categorical_profile(table(s, d, "part"))
 )
