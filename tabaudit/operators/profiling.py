@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from tabaudit.functions.columns import (
     col, missing, number, numeric_columns, pearson, percent, rows_of, scalar_columns, string_columns,
 )
-from tabaudit.operators import frequent
-from tabaudit.operators.scale import exact_quantiles, is_small, materialize
+from tabaudit.operators import frequent, states
+from tabaudit.operators.scale import DIRECT_BYTES, exact_quantiles, is_small, materialize
 
 # Pairwise correlation as plain aggregates up to this many columns; beyond it
 # per-partition Gram matrices are summed.
@@ -99,8 +99,16 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
-    """Numeric summary with exact quartiles; columns without values are left out."""
+    """Numeric summary with exact quartiles; columns without values are left out.
+
+    ``'direct'`` is for small tables; ``'distributed'`` scans the table twice.
+    """
     cols = list(cols) if cols is not None else numeric_columns(df)
+    if method == "auto":
+        method = "direct" if is_small(df.select(*[col(c) for c in cols]), DIRECT_BYTES) else "distributed"
+    if method == "distributed" and cols:
+        # Two scans: all states with sketches, then the values inside the brackets.
+        return states.described(df, cols, materialize(states.column_states(df, cols), "states"))
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], method=method).select(
         "column", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75")
     )

@@ -191,22 +191,24 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     method: str = "auto",
-    accuracy: int = 10_000,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles: rows (by..., column, n, q), q an array.
 
     ``method='direct'`` uses the built-in ``percentile``, which keeps every
-    distinct value in one buffer.  ``'distributed'`` brackets each quantile
-    from a row sample, keeps only the values inside a bracket and finds the
-    exact rank among those; a bracket that missed is settled over all values.
-    ``'auto'`` takes the first only for tables of about a megabyte.
+    distinct value in one buffer.  ``'distributed'`` scans twice: quantile
+    sketches bracket each quantile, then only the values inside a bracket are
+    kept and the exact rank is found among those; a bracket that missed is
+    settled over all values.  ``'auto'`` takes the first only for tables of
+    about a megabyte.  ``sketches``, rows as of ``quantile_sketches``, save
+    the first scan.
     """
     cols, probs, by = list(cols), [float(p) for p in probs], list(by)
     if method == "auto":
         method = "direct" if is_small(df.select(*by, *cols), DIRECT_BYTES) else "distributed"
     if method == "direct":
         return _quantiles_direct(df, cols, probs, by)
-    return _quantiles_distributed(df, cols, probs, by, accuracy)
+    return _quantiles_distributed(df, cols, probs, by, sketches)
 
 
 def _quantiles_direct(df, cols, probs, by):
@@ -223,69 +225,45 @@ def _quantiles_direct(df, cols, probs, by):
     return df.groupBy(*by).agg(*aggs).select(*by, F.inline(items)).where("n > 0")
 
 
-# A group is bracketed with a margin that fits its share of the sample: at
-# least 1/8, 1/64 or 1/512 of it.
-_SHARES = (8, 64, 512)
+# Values kept by a quantile sketch, and how far ranks taken from it are off at most in 99 of 100 cases (published bound).
+SKETCH_VALUES = 4096
 
 
-def _sample_rows(n: int) -> int:
-    """2% of the rows, between 100 thousand and 4 million."""
-    return min(max(100_000, n // 50), 4_000_000)
+def _rank_error(k: int) -> float:
+    return 2.296 / k**0.9021
 
 
-def _margin(sampled: float, accuracy: int) -> float:
-    """Rank error of a sample quantile: 4.5 standard deviations and the sketch."""
-    return 2.25 / math.sqrt(sampled) + 1.0 / accuracy
-
-
-def _brackets(df, cols, probs, by, n, m, accuracy):
-    """Value range of every quantile from a sample of about ``m`` of ``n`` rows.
-
-    (by..., column, lo*, hi*); a group with too few sampled values gets no row
-    and all its values are counted.
-    """
-    k = len(probs)
-    levels = [(m / share, _margin(m / share, accuracy)) for share in _SHARES]
-    levels = [(need, margin) for need, margin in levels if margin < 0.08]
-    ends = [p + sign * margin for _, margin in levels for sign in (-1, 1) for p in probs]
-    sketch = (
-        unpivot_numeric(df.sample(m / n, seed=7), cols, by)
-        .groupBy(*by, "column")
-        .agg(
-            F.count(F.lit(1)).alias("_m"),
-            F.percentile_approx("value", [min(1.0, max(0.0, e)) for e in ends], accuracy).alias("_s"),
-        )
-        .where(F.col("_m") >= levels[-1][0])
+def quantile_sketches(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, n, sketch): mergeable quantile sketches of bounded size in one scan."""
+    return unpivot_numeric(df, cols, by).groupBy(*by, "column").agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("value", F.lit(SKETCH_VALUES)).alias("sketch")
     )
 
-    def end(j: int, high: int) -> str:
-        cases = []
-        for i, (need, _) in enumerate(levels):
-            at = i * 2 * k + high * k + j
-            value = f"_s[{at}]"
-            if ends[at] <= 0.0 or ends[at] >= 1.0:
-                value = f"double('{'inf' if high else '-inf'}')"
-            cases.append(f"WHEN _m >= {need!r} THEN {value}")
-        return f"CASE {' '.join(cases)} END"
-
-    return sketch.select(
-        *by, "column",
-        *[F.expr(end(j, high)).alias(f"_{name}{j}") for j in range(k) for high, name in enumerate(("lo", "hi"))],
-    )
+
+def _brackets(sketches: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Value range of every quantile, three error bounds to either side: (by..., column, n, _lo*, _hi*)."""
+    margin = 3 * _rank_error(SKETCH_VALUES)
+    ranks = F.array(*[F.lit(min(1.0, max(0.0, p + sign * margin))) for p in probs for sign in (-1, 1)])
+    found = sketches.where("n > 0").withColumn("_s", F.kll_sketch_get_quantile_double("sketch", ranks))
+    ends = []
+    for j, p in enumerate(probs):
+        ends.append((F.lit(float("-inf")) if p <= margin else F.col("_s")[2 * j]).alias(f"_lo{j}"))
+        ends.append((F.lit(float("inf")) if p >= 1 - margin else F.col("_s")[2 * j + 1]).alias(f"_hi{j}"))
+    return found.select(*by, "column", "n", *ends)
 
 
-def _quantiles_distributed(df, cols, probs, by, accuracy, whole=False):
+def _quantiles_distributed(df, cols, probs, by, sketches=None, whole=False):
     k = len(probs)
     keys = [*by, "column"]
-    n = df.count()
-    m = _sample_rows(n)  # small tables need no brackets
-    whole = whole or n <= 2 * m
     long = unpivot_numeric(df, cols, by)
+    small = None
     if whole:
         tagged = long.select(*keys, "value", F.lit(0).alias("_gap"), F.col("value").alias("_v"))
     else:
-        side, rows = small_table(_brackets(df, cols, probs, by, n, m, accuracy))
-        side = side.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(keys)})
+        side, rows = small_table(_brackets(sketches if sketches is not None else quantile_sketches(df, cols, by), probs, by))
+        # Few values lie inside the brackets.
+        small = rows is not None and sum(r["n"] for r in rows) * 6 * k * _rank_error(SKETCH_VALUES) < 4_000_000
+        side = side.drop("n").withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(keys)})
         # Brackets begun minus brackets passed: positive inside, and the number
         # passed tells the gaps apart.  Groups without brackets keep everything.
         begun = " + ".join(f"int(_lo{j} <= value)" for j in range(k))
@@ -300,7 +278,7 @@ def _quantiles_distributed(df, cols, probs, by, accuracy, whole=False):
         )
     # Inside a bracket every value counts; outside, one row per gap is enough.
     counted = tagged.groupBy(*keys, "_gap", "_v").agg(F.count(F.lit(1)).alias("cnt"), F.min("value").alias("_ord"))
-    ranked = running_totals(counted, "_ord", ["cnt"], keys, small=n < 4_000_000)
+    ranked = running_totals(counted, "_ord", ["cnt"], keys, small=small)
     picks, q = [], []
     for i, p in enumerate(probs):
         for tag, step in (("a", "floor"), ("b", "ceil")):
@@ -319,13 +297,13 @@ def _quantiles_distributed(df, cols, probs, by, accuracy, whole=False):
         # Very many groups: the answer is itself a large table, check it in place.
         if not table.where(F.exists("q", lambda x: x.isNull())).limit(1).count():
             return table
-        return _quantiles_distributed(df, cols, probs, by, accuracy, whole=True)
+        return _quantiles_distributed(df, cols, probs, by, whole=True)
     missed = sorted({r["column"] for r in rows if any(x is None for x in r["q"])})
     if not missed:
         return table
     # A bracket missed its rank: settle those columns over the full value range.
     good = table.where(~F.col("column").isin(missed))
-    return good.unionByName(_quantiles_distributed(df, missed, probs, by, accuracy, whole=True))
+    return good.unionByName(_quantiles_distributed(df, missed, probs, by, whole=True))
 
 
 def counted_quantiles(counts: DataFrame, value: str, cnt: str, probs: Sequence[float], small: bool | None = None) -> list[float]:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.operators import frequent, profiling, scale
+from tabaudit.operators import frequent, profiling, scale, states
 from tabaudit.plans.profile import metadata, profile
 from tabaudit.queries.common import (
     COLUMNS, GAPS, MEASURES, NUMERIC, TEXT, lineitem_gaps, rnd, rounded, table, union,
@@ -74,6 +74,32 @@ QUERIES["numeric_describe_distributed"] = lambda s, d: rounded(
 )
 ORACLE["numeric_describe_distributed"] = _describe_sql("orders", NUMERIC["orders"])
 
+# --- states of files, merged
+def _lineitem_files(s, d):
+    path = scale.scratch_path(s, "files")
+    lineitem_gaps(s, d).repartition(6, "l_suppkey").write.parquet(path)
+    return path
+
+
+def _states(s, path):
+    return states.merged_states(states.file_states(s, path, scale.scratch_path(s, "store")))
+
+
+def _described_files(s, d):
+    path = _lineitem_files(s, d)
+    return rounded(states.described(s.read.parquet(path), NUMERIC["lineitem"], scale.materialize(_states(s, path), "states")))
+
+
+QUERIES["file_states_describe"] = _described_files
+ORACLE["file_states_describe"] = _describe_sql(GAPS, NUMERIC["lineitem"])
+
+QUERIES["file_states_sizes"] = lambda s, d: states.merged_states(
+    states.file_states(s, _lineitem_files(s, d), scale.scratch_path(s, "store"))
+).select("column", "rows", "present", "n", (F.round("mean", 4) + F.lit(0.0)).alias("mean"))
+ORACLE["file_states_sizes"] = union(
+    f"""SELECT '{c}' AS "column", count(*) AS "rows", count({c}) AS present, {f"count({c})" if c in NUMERIC["lineitem"] else "CAST(0 AS BIGINT)"} AS n,
+  {rnd(f"avg({c})") if c in NUMERIC["lineitem"] else "CAST(NULL AS DOUBLE)"} AS mean FROM {GAPS}""" for c in COLUMNS["lineitem"])
+
 QUERIES["column_moments"] = lambda s, d: rounded(profiling.moments(table(s, d, "events"), NUMERIC["events"]))
 ORACLE["column_moments"] = _describe_sql("events", NUMERIC["events"], quartiles=False)
 

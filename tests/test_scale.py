@@ -47,10 +47,9 @@ def test_quantiles_match_numpy(skewed, by, method, parts):
 
 @pytest.mark.parametrize("by", [None, "g"])
 def test_quantiles_with_brackets(skewed, by, monkeypatch):
-    """Small sample sizes force the bracketed second pass."""
+    """Small sketches make brackets that hold a part of the values only."""
     pdf, df = skewed
-    monkeypatch.setattr(scale, "_sample_rows", lambda n: 2000)
-    monkeypatch.setattr(scale, "_margin", lambda sampled, accuracy: 0.05)
+    monkeypatch.setattr(scale, "SKETCH_VALUES", 64)
     got = scale.exact_quantiles(df, ["x", "y"], PROBS, by=[by] if by else [], method="distributed").collect()
     want = _expected(pdf, by)
     for r in got:
@@ -60,13 +59,12 @@ def test_quantiles_with_brackets(skewed, by, monkeypatch):
 def test_missed_bracket_is_settled_over_all_values(skewed, spark, monkeypatch):
     pdf, df = skewed
 
-    def wrong(df, cols, probs, by, n, m, accuracy):
-        rows = [(c, *[1e9, 1e9] * len(probs)) for c in cols]
+    def wrong(sketches, probs, by):
+        rows = [(c, 100, *[1e9, 1e9] * len(probs)) for c in ("x", "y")]
         names = [f"_{e}{j} double" for j in range(len(probs)) for e in ("lo", "hi")]
-        return spark.createDataFrame(rows, "column string, " + ", ".join(names))
+        return spark.createDataFrame(rows, "column string, n long, " + ", ".join(names))
 
     monkeypatch.setattr(scale, "_brackets", wrong)
-    monkeypatch.setattr(scale, "_sample_rows", lambda n: 100)
     got = {r["column"]: r["q"] for r in scale.exact_quantiles(df, ["x", "y"], [0.5], method="distributed").collect()}
     assert got["x"][0] == pytest.approx(np.median(pdf.x))
     assert got["y"][0] == pytest.approx(np.nanmedian(pdf.y))
