@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col, scalar_columns
-from tabaudit.operators.scale import materialize, small_table, split_hot_keys
+from tabaudit.operators.scale import is_small, materialize, small_table, split_hot_keys
 
 
 # Of each column about so many distinct values are looked at before any is compared exactly.
@@ -67,8 +67,8 @@ def _sketches(tables, columns, kept: int) -> tuple[DataFrame, list[int], list[fl
     return materialize(every.select("id", _hash()).where(F.col("h").bitwiseAND(mask) == 0).distinct(), "sketch"), levels, counts
 
 
-def _possible_pairs(sketch: DataFrame, columns, levels, threshold: float, min_distinct: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Pairs of columns that may exceed the threshold, and exact distinct counts of columns sampled whole."""
+def _possible_pairs(sketch: DataFrame, columns, levels, threshold: float, min_distinct: int) -> list[tuple[int, int]]:
+    """Pairs of columns that may exceed the threshold."""
     h = F.col("h")
     zeros = F.when(h == 0, F.lit(62)).otherwise(F.bit_count(h.bitwiseAND(-h) - 1)).cast("int")
     # At most 63 rows per column and one per pair of columns.
@@ -76,8 +76,7 @@ def _possible_pairs(sketch: DataFrame, columns, levels, threshold: float, min_di
     for r in sketch.groupBy("id", zeros.alias("z")).agg(F.count(F.lit(1)).alias("n")).collect():
         at.setdefault(r["id"], {})[r["z"]] = r["n"]
     met = {(r["a"], r["b"]): r["common"] for r in _overlaps(sketch, "h").collect()}
-    sizes = {i: sum(z.values()) for i, z in at.items() if not levels[i]}
-    usable = [i for i in sorted(at) if sizes.get(i, min_distinct) >= min_distinct]
+    usable = [i for i in sorted(at) if levels[i] or sum(at[i].values()) >= min_distinct]
 
     def implausible(common: int, sampled: int) -> bool:
         return common < threshold * sampled - DEVIATIONS * math.sqrt(max(threshold * (1 - threshold), 0.0) * sampled)
@@ -91,7 +90,7 @@ def _possible_pairs(sketch: DataFrame, columns, levels, threshold: float, min_di
             sampled = [sum(n for z, n in at[i].items() if z >= level) for i in (a, b)]
             if not all(implausible(met.get((a, b), 0), n) for n in sampled):
                 pairs.append((a, b))
-    return pairs, sizes
+    return pairs
 
 
 def key_candidates(
@@ -100,6 +99,7 @@ def key_candidates(
     min_distinct: int = 5,
     heads: int | None = None,
     kept: int = SKETCH,
+    method: str = "auto",
 ) -> DataFrame:
     """Column pairs of different tables whose values contain each other.
 
@@ -110,7 +110,8 @@ def key_candidates(
     Hash samples of the distinct values rule out most pairs.  The others are
     compared exactly, value by value: columns of up to about ``kept`` values
     whole, larger ones whole only against each other, and by the values of
-    the small ones otherwise.  Only their cells are shuffled.
+    the small ones otherwise.  Only their cells are shuffled.  ``'direct'``
+    (small tables) compares all columns whole, ``'sketched'`` rules out first.
     """
     names = list(tables)
     spark = next(iter(tables.values())).sparkSession
@@ -119,8 +120,14 @@ def key_candidates(
     order = [i - min(j for j, (u, _) in enumerate(columns) if u == t) for i, (t, _) in enumerate(columns)]
     if len({t for t, _ in columns}) < 2:
         return spark.createDataFrame([], _PAIRS)
-    sketch, levels, guess = _sketches(frames, columns, kept)
-    pairs, sizes = _possible_pairs(sketch, columns, levels, threshold, min_distinct)
+    if method == "auto":
+        method = "direct" if all(is_small(df) for df in frames) else "sketched"
+    if method == "direct":
+        levels, guess = [0] * len(columns), [0.0] * len(columns)
+        pairs = [(a, b) for b in range(len(columns)) for a in range(b) if columns[a][0] != columns[b][0]]
+    else:
+        sketch, levels, guess = _sketches(frames, columns, kept)
+        pairs = _possible_pairs(sketch, columns, levels, threshold, min_distinct)
     if not pairs:
         return spark.createDataFrame([], _PAIRS)
 

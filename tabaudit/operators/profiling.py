@@ -139,13 +139,13 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approximat
         wide = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
         items = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_count")) for i, c in enumerate(cols)]
         return wide.select(rows_of(items))
-    if is_small(df.select(*[col(c) for c in cols])):
-        return value_counts(df, cols).groupBy("column").agg(F.count("value").alias("distinct_count"))
-    return digest_counts(df, cols).select("column", "distinct_count")
+    return distinct_and_rows(df, cols).select("column", "distinct_count")
 
 
-def digest_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, distinct_count, rows) by 128-bit digests: no value is shuffled."""
+def distinct_and_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, distinct_count, rows); values of large tables are told apart by 128-bit digests, so none is shuffled."""
+    if is_small(df.select(*[col(c) for c in cols])):
+        return value_counts(df, cols).groupBy("column").agg(F.count("value").alias("distinct_count"), F.sum("n").alias("rows"))
     name = F.array(*[F.lit(c) for c in cols])[F.col("id")]
     counts = frequent.value_digests(df, cols).groupBy("id").agg(F.count("h").alias("distinct_count"), F.sum("n").alias("rows"))
     return counts.select(name.alias("column"), "distinct_count", "rows")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.config import QualityRules
 from tabaudit.functions.columns import col, number, numeric_columns, pearson, string_columns
-from tabaudit.operators.profiling import digest_counts, duplicate_rows, iqr_outliers, null_counts
+from tabaudit.operators.profiling import distinct_and_rows, duplicate_rows, iqr_outliers, null_counts
 
 ISSUE, WARNING = "issue", "warning"
 
@@ -103,7 +103,7 @@ def type_findings(df: DataFrame, name: str, rules: QualityRules = QualityRules()
     cols = string_columns(df)
     if not cols:
         return None
-    return digest_counts(df, cols).where(F.col("distinct_count") > F.col("rows") * rules.distinct_share).select(
+    return distinct_and_rows(df, cols).where(F.col("distinct_count") > F.col("rows") * rules.distinct_share).select(
         *_finding(name, "types", F.col("column"), F.lit(WARNING), "distinct_count", F.col("distinct_count"),
                   F.format_string("%s: text with %d different values, over half as many as rows", "column", "distinct_count"))
     )

@@ -172,8 +172,12 @@ def all_of(conds: Sequence[Column]) -> Column:
 # ------------------------------------------------------------------- quantiles
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _number(name: str) -> Column:
-    x = F.col("`" + name.replace("`", "``") + "`").cast("double")
+    x = _quoted(name).cast("double")
     return F.when(~F.isnan(x), x)
 
 
@@ -235,7 +239,7 @@ def _rank_error(k: int) -> float:
 
 def quantile_sketches(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, n, sketch): mergeable quantile sketches of bounded size in one scan."""
-    return unpivot_numeric(df, cols, by).groupBy(*by, "column").agg(
+    return unpivot_numeric(spread(df.select(*by, *[_quoted(c) for c in cols])), cols, by).groupBy(*by, "column").agg(
         F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("value", F.lit(SKETCH_VALUES)).alias("sketch")
     )
 
@@ -255,7 +259,7 @@ def _brackets(sketches: DataFrame, probs: Sequence[float], by: Sequence[str]) ->
 def _quantiles_distributed(df, cols, probs, by, sketches=None, whole=False):
     k = len(probs)
     keys = [*by, "column"]
-    long = unpivot_numeric(df, cols, by)
+    long = unpivot_numeric(spread(df.select(*by, *[_quoted(c) for c in cols])), cols, by)
     small = None
     if whole:
         tagged = long.select(*keys, "value", F.lit(0).alias("_gap"), F.col("value").alias("_v"))

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabaudit.functions.columns import col, missing, number
-from tabaudit.operators.scale import SKETCH_VALUES, exact_quantiles
+from tabaudit.operators.scale import SKETCH_VALUES, exact_quantiles, spread
 
 # Registers of the distinct sketch are 2 to this power (0.8 % standard error).
 HLL_BITS = 14
 
 
-def _cells(df: DataFrame, cols: Sequence[str], by: Sequence[Column]) -> DataFrame:
+def _cells(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """(by..., column, x, h): every cell with its number, if it is one, and a digest, if it is present."""
     kinds = {f.name: f.dataType for f in df.schema}
 
@@ -33,7 +33,8 @@ def _cells(df: DataFrame, cols: Sequence[str], by: Sequence[Column]) -> DataFram
         x = number(c) if isinstance(kinds[c], T.NumericType) else F.lit(None).cast("double")
         return F.struct(F.lit(c).alias("column"), x.alias("x"), value.alias("h"))
 
-    return df.select(*by, F.inline(F.array(*[cell(c) for c in cols])))
+    used = df.select(*[col(c) for c in dict.fromkeys([*by, *cols])])
+    return spread(used).select(*[col(b) for b in by], F.inline(F.array(*[cell(c) for c in cols])))
 
 
 def _aggregates() -> list[Column]:
@@ -56,7 +57,7 @@ def column_states(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence
     ``m2`` to ``m4`` are sums of powers of deviations from the mean.
     """
     cols = list(cols) if cols is not None else list(df.columns)
-    return _cells(df, cols, [F.col(b) for b in by]).groupBy(*by, "column").agg(*_aggregates())
+    return _cells(df, cols, by).groupBy(*by, "column").agg(*_aggregates())
 
 
 def merged_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -39,6 +39,10 @@ FROM ({union(parts)}) AS p WHERE distinct1 >= 5 AND distinct2 >= 5 AND common *
 QUERIES["join_key_candidates"] = lambda s, d: rounded(fusion.key_candidates(_tables(s, d)).drop("position"), 6)
 ORACLE["join_key_candidates"] = _candidate_sql()
 
+QUERIES["join_key_candidates_sketched"] = lambda s, d: rounded(
+    fusion.key_candidates(_tables(s, d), kept=128, method="sketched").drop("position"), 6)
+ORACLE["join_key_candidates_sketched"] = _candidate_sql()
+
 QUERIES["fuse_inner"] = lambda s, d: fusion.fuse(table(s, d, "orders"), table(s, d, "customer"), "o_custkey", "c_custkey")
 ORACLE["fuse_inner"] = "SELECT o.*, c.* FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey"
 

@@ -90,8 +90,10 @@ def test_sketched_pairs_equal_all_pairs(spark, monkeypatch, kept, side_rows):
             cols.append([v if rng.random() > 0.05 else rng.choice([None, "", v]) for v in values])
         tables.append((f"t{t}", ([f"c{t}{i}" for i in range(4)], list(zip(*cols)))))
     frames = {n: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols)).repartition(3) for n, (cols, rows) in tables}
-    got = {tuple(r)[:7] for r in fusion.key_candidates(frames, kept=kept).collect()}
+    got = {tuple(r)[:7] for r in fusion.key_candidates(frames, kept=kept, method="sketched").collect()}
     assert got == _pairs_by_force(tables, 0.6) and got
+    if kept == 8:
+        assert {tuple(r)[:7] for r in fusion.key_candidates(frames, method="direct").collect()} == got
 
 
 def test_only_cells_of_possible_pairs_are_compared(spark, monkeypatch):
@@ -106,14 +108,14 @@ def test_only_cells_of_possible_pairs_are_compared(spark, monkeypatch):
     monkeypatch.setattr(fusion, "materialize", spy)
     big = spark.range(40_000).select((F.col("id") * 3).alias("a"), F.concat(F.lit("text "), "id").alias("b"))
     small = spark.range(50).select((F.col("id") * 6).alias("k"), F.concat(F.lit("other "), "id").alias("w"))
-    got = fusion.key_candidates({"big": big, "small": small}, kept=256).collect()
+    got = fusion.key_candidates({"big": big, "small": small}, kept=256, method="sketched").collect()
     assert [tuple(r)[:7] for r in got] == [("big", "a", "small", "k", 40_000, 50, 50)]
     # Of the large column only the fifty values that were asked for.
     assert written["values"].count() == 150
     assert written["sketch"].count() < 3_000
     other = spark.range(40_000).select((F.col("id") * 3 + 1).alias("z"))
-    assert fusion.key_candidates({"big": big.select("a"), "other": other}, kept=256).isEmpty()
-    assert fusion.key_candidates({"none": big.limit(0), "small": small}).isEmpty() and fusion.key_candidates({"small": small}).isEmpty()
+    assert fusion.key_candidates({"big": big.select("a"), "other": other}, kept=256, method="sketched").isEmpty()
+    assert fusion.key_candidates({"none": big.limit(0), "small": small}, method="sketched").isEmpty() and fusion.key_candidates({"small": small}).isEmpty()
 
 
 # --- text scan against Python's regular expressions -------------------------
