@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabaudit.llm.common import broadcast_if_small, row_key
-from tabaudit.llm.mixing import numbered
+from tabaudit.llm.mixing import _numbered as numbered
 from tabaudit.operators.scale import materialize
 
 BUCKETS = 10_000
