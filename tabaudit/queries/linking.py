@@ -235,6 +235,19 @@ ORACLE["audit_log_lines"] = f"""SELECT '[' || strftime(o_orderdate, '%Y-%m-%d %H
 QUERIES["status_counts"] = lambda s, d: sinks.status_counts(_log(s, d))
 ORACLE["status_counts"] = f"SELECT {_STATUS} AS status, count(*) AS files FROM orders GROUP BY 1"
 
+# One run per priority; the first is committed again after rows that failed.
+def _committed(s, d):
+    path, log = scratch_path(s, "runs"), _log(s, d)
+    runs = sorted(r["reason"] for r in log.select("reason").distinct().collect())
+    sinks.commit_log(log.limit(7), path, runs[0])
+    for run in [*runs, runs[0]]:
+        sinks.commit_log(log.where(F.col("reason") == run), path, run)
+    return sinks.read_log(s, path).groupBy("run", "status").agg(F.count(F.lit(1)).alias("files"))
+
+
+QUERIES["log_commits"] = _committed
+ORACLE["log_commits"] = f"SELECT o_orderpriority AS run, {_STATUS} AS status, count(*) AS files FROM orders GROUP BY ALL"
+
 QUERIES["run_manifest"] = lambda s, d: sinks.manifest(_log(s, d))
 ORACLE["run_manifest"] = """SELECT count(*) AS inputs, count(*) FILTER (o_orderstatus = 'F') AS succeeded,
   count(*) FILTER (o_orderstatus <> 'F') AS failed, CASE WHEN count(*) FILTER (o_orderstatus <> 'F') = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status FROM orders"""

@@ -45,6 +45,23 @@ def append_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 
 
+def commit_log(log: DataFrame, path: str, run: str) -> None:
+    """Write the rows of one run; a repeated run replaces its own rows and no others.
+
+    The run is a partition of the log folder and is overwritten as a whole,
+    so a batch that failed and starts again leaves one set of rows.  A run
+    without rows writes nothing.
+    """
+    rows = log.select("ts", "file", "status", "reason", F.lit(run).alias("run"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """(ts, file, status, reason, run) of all committed runs, or of one."""
+    log = spark.read.schema(f"{LOG_SCHEMA}, run string").parquet(path)
+    return log if run is None else log.where(F.col("run") == F.lit(run))
+
+
 def log_lines(log: DataFrame) -> DataFrame:
     return log.select(log_line(F.col("ts"), F.col("file"), F.col("status"), F.col("reason")).alias("line"))
 

@@ -125,6 +125,19 @@ def test_log_and_manifest(spark, tmp_path):
     assert lines == ["a.csv".ljust(30) + " | SUCCESS    | AUC 0.9", "b" * 30 + " | FAILED     | empty"]
 
 
+def test_a_repeated_run_replaces_its_own_rows(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = lambda *names: sinks.log_rows(spark, [(n, "SUCCESS", "x") for n in names])
+    sinks.commit_log(rows("a", "b", "c"), path, "2024-01-01 09:00/é=1")
+    sinks.commit_log(rows("d"), path, "second")
+    for _ in range(2):
+        sinks.commit_log(rows("a", "e"), path, "2024-01-01 09:00/é=1")
+    read = lambda run=None: sorted((r["run"], r["file"]) for r in sinks.read_log(spark, path, run).collect())
+    assert read() == [("2024-01-01 09:00/é=1", "a"), ("2024-01-01 09:00/é=1", "e"), ("second", "d")] and read("second") == [("second", "d")]
+    sinks.commit_log(rows("z").limit(0), path, "second")
+    assert len(read()) == 3 and sinks.manifest(sinks.read_log(spark, path)).first()["inputs"] == 3
+
+
 def test_profile_metadata_and_tables(spark, data, tmp_path):
     df = spark.read.parquet(f"{data}/customer.parquet")
     tables = profile(df)
