@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +19,10 @@ from tabaudit.operators import frequent, states
 from tabaudit.operators.scale import DIRECT_BYTES, exact_quantiles, is_small, materialize
 
 # Pairwise correlation as plain aggregates up to this many columns; beyond it
-# per-partition Gram matrices are summed.
+# tiles of Gram matrices are summed: so many columns to a side, so many bytes in a task.
 PAIRWISE_COLUMNS = 3
+BLOCK_COLUMNS = 256
+HELD_BYTES = 64 * 1024 * 1024
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -200,14 +204,19 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, method
 # ----------------------------------------------------------------- correlation
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, tasks: int = 2000) -> DataFrame:
-    """(var1, var2, n, r) for var1 before var2, over rows where both are present."""
+def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, block: int = BLOCK_COLUMNS, held: int = HELD_BYTES) -> DataFrame:
+    """(var1, var2, n, r) for var1 before var2, over rows where both are present.
+
+    Wide tables are summed in tiles of ``block`` by ``block`` columns; a task
+    holds tiles of at most about ``held`` bytes, and more tiles take further
+    scans of their columns alone.
+    """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, n bigint, r double")
     if len(cols) <= PAIRWISE_COLUMNS:
         return _pairs_as_aggregates(df, cols)
-    return _pairs_by_gram(df, cols, tasks)
+    return _pairs_by_tiles(df, cols, block, held)
 
 
 def _pairs_as_aggregates(df, cols):
@@ -225,39 +234,95 @@ def _pairs_as_aggregates(df, cols):
     return df.agg(*aggs).select(rows_of(items))
 
 
-def _pairs_by_gram(df, cols, tasks):
-    """Wide tables: one scan, one matrix product per Arrow batch."""
-    names = list(cols)
-    means = df.agg(*[F.avg(number(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    shift = np.array([m if m is not None else 0.0 for m in means], dtype="float64")
-    k = len(names)
-    upper = np.triu_indices(k, 1)
-
-    def grams(batches):
-        acc = np.zeros((6, k, k))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64", na_value=np.nan)
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _tiles(k: int, block: int, held: int) -> list[list[tuple[range, range]]]:
+    """The upper triangle of column pairs as tiles, in groups that fit into ``held`` bytes; one group is one scan."""
+    blocks = [range(at, min(at + block, k)) for at in range(0, k, block)]
+    groups: list[list[tuple[range, range]]] = []
+    size = held
+    for i, rows in enumerate(blocks):
+        for cols in blocks[i:]:
+            need = 8 * len(_SUMS) * len(rows) * len(cols)
+            if size + need > held:
+                groups.append([])
+                size = 0
+            groups[-1].append((rows, cols))
+            size += need
+    return groups
+
+
+def _tile_sums(df: DataFrame, names: Sequence[str], tiles: Sequence[tuple[range, range]], shift: np.ndarray) -> DataFrame:
+    """(row, col, salt, sums): the sums of each tile in each task, one row per tile."""
+    used = sorted({i for rows, cols in tiles for i in (*rows, *cols)})
+    at = {i: j for j, i in enumerate(used)}
+    parts = [(slice(at[r[0]], at[r[-1]] + 1), slice(at[c[0]], at[c[-1]] + 1)) for r, c in tiles]
+    middle = shift[used]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((len(_SUMS), len(r), len(c))) for r, c in tiles]
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float64")
             here = (~np.isnan(x)).astype("float64")
-            x = np.where(here > 0, x - shift, 0.0)
+            x = np.where(here > 0, x - middle, 0.0)
             x2 = x * x
-            acc[0] += here.T @ here
-            acc[1] += x.T @ here
-            acc[2] += here.T @ x
-            acc[3] += x2.T @ here
-            acc[4] += here.T @ x2
-            acc[5] += x.T @ x
-        parts = [a[upper] for a in acc]
-        yield pd.DataFrame(
-            {"i": upper[0], "j": upper[1], "n": parts[0], "sx": parts[1], "sy": parts[2],
-             "sxx": parts[3], "syy": parts[4], "sxy": parts[5]}
-        )
+            for total, (r, c) in zip(sums, parts):
+                for k, (left, right) in enumerate(((here, here), (x, here), (here, x), (x2, here), (here, x2), (x, x))):
+                    total[k] += left[:, r].T @ right[:, c]
+        salt = TaskContext.get().partitionId() % 256
+        yield pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r, _ in tiles], pa.int32()), pa.array([c[0] for _, c in tiles], pa.int32()),
+            pa.array([salt] * len(tiles), pa.int32()), pa.array([t.tobytes() for t in sums], pa.binary()),
+        ], ["row", "col", "salt", "sums"])
+
+    wide = df.select(*[number(names[i]).alias(f"c{i}") for i in used])
+    return wide.mapInArrow(summed, _TILE_ROWS)
+
+
+_TILE_ROWS = "row int, col int, salt int, sums binary"
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Sums of neighbouring rows of one tile: one tile is held at a time."""
+    at, total = None, None
+    for batch in batches:
+        for row, col_, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+            part = np.frombuffer(sums.as_buffer(), "float64")
+            if at == (row, col_):
+                total += part
+            else:
+                if at is not None:
+                    yield *at, total
+                at, total = (row, col_), part.copy()
+    if at is not None:
+        yield *at, total
+
+
+def _pairs_by_tiles(df, cols, block, held):
+    """Wide tables: matrix products per Arrow batch, added up in two steps so that no task takes all partial sums."""
+    names, k = list(cols), len(cols)
+    means = df.agg(*[F.avg(number(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means], dtype="float64")
+    parts = reduce(DataFrame.unionByName, [_tile_sums(df, names, tiles, shift) for tiles in _tiles(k, block, held)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, col_, total in _added(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row], pa.int32()), pa.array([col_], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                ["row", "col", "salt", "sums"],
+            )
 
-    wide = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(names)])
-    # Each task emits one matrix, so the number of tasks is bounded.
-    part = wide.coalesce(tasks).mapInPandas(
-        grams, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    )
-    s = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, col_, total in _added(batches):
+            sums = total.reshape(len(_SUMS), min(block, k - row), min(block, k - col_))
+            i, j = np.nonzero(np.arange(row, row + sums.shape[1])[:, None] < np.arange(col_, col_ + sums.shape[2])[None, :])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((row + i).astype("int32")), pa.array((col_ + j).astype("int32")), *[pa.array(s[i, j]) for s in sums]], ["i", "j", *_SUMS]
+            )
+
+    some = parts.repartition("row", "col", "salt").sortWithinPartitions("row", "col").mapInArrow(add, _TILE_ROWS)
+    s = some.repartition("row", "col").sortWithinPartitions("row", "col").mapInArrow(pairs, "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
     cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
     vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
     vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))

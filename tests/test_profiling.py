@@ -44,7 +44,7 @@ def test_correlation_forms_agree(frame):
     pdf, df = frame
     cols = ["a", "b", "c", "d"]
     want = pdf[cols].corr()
-    for pairs in (profiling._pairs_as_aggregates(df, cols), profiling._pairs_by_gram(df.repartition(3), cols, 10)):
+    for pairs in (profiling._pairs_as_aggregates(df, cols), profiling._pairs_by_tiles(df.repartition(3), cols, 256, 1 << 26)):
         rows = pairs.collect()
         assert len(rows) == 6
         for r in rows:
@@ -178,3 +178,31 @@ def test_box_whiskers(spark):
     df = spark.createDataFrame([("k", float(v)) for v in [1, 2, 3, 4, 5, 100]], "t string, x double")
     r = chartdata.box_stats(df, ["x"], "t").first()
     assert (r["whisker_low"], r["whisker_high"], r["outliers"], r["median"]) == (1.0, 5.0, 1, 3.5)
+
+
+@pytest.mark.parametrize("block, held", [(256, 1 << 26), (7, 1 << 26), (7, 4000), (1, 1)])
+def test_correlation_in_tiles(spark, block, held):
+    rng = np.random.default_rng(block)
+    n, k = 400, 17
+    x = rng.normal(size=(n, k)).cumsum(1) + 1e5
+    x[rng.random((n, k)) < 0.2] = np.nan
+    x[:, 3] = 4.0
+    x[:, 5] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i:02d}" for i in range(k)])
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = {(r["var1"], r["var2"]): (r["n"], r["r"]) for r in profiling.correlation_pairs(df, block=block, held=held).collect()}
+    assert len(got) == k * (k - 1) // 2
+    want = pdf.corr()
+    for (a, b), (m, r) in got.items():
+        assert a < b and m == int((pdf[a].notna() & pdf[b].notna()).sum())
+        if "c03" in (a, b) or "c05" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_tiles_bound_a_task():
+    groups = profiling._tiles(5000, 256, 64 * 1024 * 1024)
+    pairs = [(i, j) for g in profiling._tiles(23, 4, 2000) for rows, cols in g for i in rows for j in cols if i < j]
+    assert sorted(pairs) == [(i, j) for i in range(23) for j in range(i + 1, 23)]
+    assert all(sum(48 * len(r) * len(c) for r, c in g) <= 64 * 1024 * 1024 for g in groups) and len(groups) < 20
