@@ -35,14 +35,23 @@ def scan(df: DataFrame, key: str, text: str, rules: Sequence[TextRule] = SOURCE_
     any_rule = F.lit(False)
     for r in rules:
         any_rule = any_rule | body.rlike(r.pattern)
-    # Lines before each match, counted inside the text: no grouping, whatever the key.
+    per_rule = spread(df.select(key, text)).where(any_rule).select(col(key).alias(key), F.inline(F.array(*found))).where(F.size("hits") > 0)
+    # Lines before each match, counted inside the text: no grouping, whatever the key.  Steps are added up by blocks
+    # of about the root of their number and blocks among themselves, so many matches in one text do not cost their square.
     step = lambda pair: _newlines(pair["between"]) + _newlines(F.coalesce(pair["hits"], F.lit("")))
+    added = lambda steps: F.aggregate(steps, F.lit(0), lambda n, x: n + x)
+    size = F.col("_size")
+    blocks = per_rule.select(
+        "*", F.transform(F.slice(F.arrays_zip("hits", "between"), F.lit(1), F.size("hits")), step).alias("_steps"),
+        F.ceil(F.sqrt(F.size("hits"))).cast("int").alias("_size"),
+    ).withColumn("_blocks", F.transform(F.sequence(F.lit(1), F.size("_steps"), size), lambda i: added(F.slice("_steps", i, size))))
+    counted = blocks.withColumn("_starts", F.transform(F.sequence(F.lit(0), F.size("_blocks") - 1), lambda i: added(F.slice("_blocks", F.lit(1), i))))
+    block = lambda i: (i / size).cast("int")
     before = F.transform(
         F.sequence(F.lit(0), F.size("hits") - 1),
-        lambda i: F.aggregate(F.slice(F.arrays_zip("hits", "between"), F.lit(1), i), F.lit(0), lambda n, p: n + step(p)) + _newlines(F.get("between", i)) + F.lit(1),
+        lambda i: F.get("_starts", block(i)) + added(F.slice("_steps", block(i) * size + 1, i % size)) + _newlines(F.get("between", i)) + F.lit(1),
     )
-    per_rule = spread(df.select(key, text)).where(any_rule).select(col(key).alias(key), F.inline(F.array(*found))).where(F.size("hits") > 0)
-    matches = per_rule.select(
+    matches = counted.select(
         key, "rule", "severity", F.posexplode(F.arrays_zip("hits", before.alias("line"))).alias("match_no", "m")
     )
     return matches.select(

@@ -139,6 +139,13 @@ def _scan(spark, texts):
     return got
 
 
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(2)
+    parts = ["except:", "\n", "x", " ", "'/usr/lib/a'", "\n\n", "if x > 12", "except\n :"]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (1, 2, 3, 5, 17, 400, 20_000)]
+    assert _scan(spark, texts) == [_expected(t) for t in texts]
+
+
 def test_scan_of_source_text(spark):
     text = (
         "p = '/usr/lib/x.y'\ntry:\n    print('a')\nexcept:\n    pass\n\n\n"
