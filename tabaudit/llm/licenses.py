@@ -10,6 +10,7 @@ sentence that fills whole lines is found even if its neighbours have no end.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -98,15 +99,95 @@ OFFICIAL_RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
 )
 
+# Further notices as they stand in the official texts and in common use: fixed values.
+_FSF = "you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation"
+OFFICIAL |= {
+    "this library is free software": "lgpl-free",
+    _FSF.format("lesser"): "lgpl-terms",
+    "either version 2 1 of the license or at your option any later version": "lgpl-2-1-later",
+    f"{_FSF.format('lesser')} either version 3 of the license or at your option any later version": "lgpl-3-notice",
+    f"{_FSF.format('affero')} either version 3 of the license or at your option any later version": "agpl-3-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    # The stop of "v. 2.0" ends the sentence.
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-2-notice",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4-ref",
+    "this work is licensed under the creative commons attribution sharealike 4 0 international license": "cc-by-sa-4-ref",
+    "licensed under cc by sa 4 0": "cc-by-sa-4-ref",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-as-is",
+}
+REFERENCES = {
+    "mit license": "mit-ref", "apache license version 2 0": "apache-2-ref", "apache license 2 0": "apache-2-ref", "isc license": "isc-ref",
+    "mozilla public license 2 0": "mpl-2-ref", "gnu general public license version 3": "gpl-3-ref", "bsd 3 clause license": "bsd-3-ref",
+}
+for _name, _id in REFERENCES.items():
+    for _end in ("", " *"):
+        OFFICIAL |= {f"this * is licensed under the {_name}{_end}": _id, f"licensed under the {_name}{_end}": _id}
+OFFICIAL_RULES += (
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-terms", "lgpl-2-1-later")),
+    ("LGPL-3.0-or-later", ("lgpl-3-notice",)),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-3-notice")),
+    ("AGPL-3.0-or-later", ("agpl-3-notice",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-ref",)),
+    ("Unlicense", ("unlicense",)),
+    ("MPL-2.0", ("mpl-2-notice",)),
+    ("MPL-2.0", ("mpl-2-ref",)),
+    ("BSD-3-Clause", ("bsd-3-ref",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-ref",)),
+)
+
+# Names in SPDX tags beside the three of SENTENCES: fixed values.
+SPDX = (
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+# Older names and what they mean today; an exception is no licence of its own.
+SPDX_OLD = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+SPDX_EXCEPTIONS = ("Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Bison-exception-2.2", "Linux-syscall-note")
+
+
+def _tag(name: str) -> str:
+    return "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower())
+
+
+def _tag_id(name: str) -> str:
+    return "spdx-" + re.sub("[^a-z0-9]+", "-", name.lower())
+
+
+TAGS = {
+    **{_tag(n): _tag_id(n) for n in SPDX}, **{_tag(old): _tag_id(now) for old, now in SPDX_OLD.items()},
+    **{_tag(n): "spdx-exception" for n in SPDX_EXCEPTIONS},
+}
+TAG_RULES = tuple((n, (_tag_id(n),)) for n in (*SPDX, "GPL-3.0-only"))
+
 COPYRIGHT, UNKNOWN = "copyright", "unknown"
 # Sentences end at . ! ? ; : before a blank or the end of the line, or at a line without letters and digits.
-BREAK = r"(?<![.!?;:])[.!?;:]++(?:[ \t\r]++|[^a-z0-9\n]*+\n)|\n[^a-z0-9]*\n"
+# The colon of an SPDX tag ends none.
+BREAK = r"(?<![.!?;:])(?<!spdx-license-identifier)[.!?;:]++(?:[ \t\r]++|[^a-z0-9\n]*+\n)|\n[^a-z0-9]*\n"
 # Where a sentence goes on in the next line, with its indent or comment mark.
 WRAP = r"[^a-z0-9\n]*\n[^a-z0-9]*"
 # For the SQL, in which a sentence also ends at every line feed.
 LINE_BREAK = r"\n|[.!?;:]+[ \t\r]+"
 
 
+# An SPDX expression of up to so many names is read name by name.
+NAMES = 8
+_EXPRESSION = r"(spdx-license-identifier:[^\n]*?[a-z0-9.)])[ \t]+(?:or|and|with)[ \t]+"
+_OR_LATER = r"(spdx-license-identifier:[^\n]*?[0-9])\+"
+
+
+def single_tags(text: Column) -> Column:
+    """A lower-case text in which each name of an SPDX expression has a tag of its own."""
+    out = text
+    for _ in range(NAMES):
+        out = F.regexp_replace(out, _OR_LATER, "$1-or-later")
+    for _ in range(NAMES - 1):
+        out = F.regexp_replace(out, _EXPRESSION, "$1. spdx-license-identifier: ")
+    return F.when(F.contains(text, F.lit("spdx-license-identifier:")), out).otherwise(text)
+
+
 def normalised(sentence: Column) -> Column:
     """Lower case, runs of anything but a-z and 0-9 to one blank, trimmed."""
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
@@ -135,7 +216,7 @@ def _parts(sentence: Column, sentences: Mapping[str, str]) -> Column:
 
 def scan_licenses(
     docs: DataFrame, identity: str = "doc_id", text: str = "text",
-    sentences: Mapping[str, str] = {**SENTENCES, **OFFICIAL}, rules: Sequence[tuple[str, Sequence[str]]] = (*OFFICIAL_RULES, *RULES),
+    sentences: Mapping[str, str] = {**SENTENCES, **OFFICIAL, **TAGS}, rules: Sequence[tuple[str, Sequence[str]]] = (*OFFICIAL_RULES, *RULES, *TAG_RULES),
 ) -> DataFrame:
     """Per row: (doc_id, n_sentences, n_unknown, sentence_ids, licenses).
 
@@ -145,12 +226,13 @@ def scan_licenses(
     licences whose rules matched, in rule order, comma-joined.  A null or
     empty text, or one without licence sentences, gives zeros and empty
     strings.  A licence sentence repeated in one text is listed each time.
+    Every name of an SPDX expression (``OR``, ``AND``, ``WITH``) is a sentence.
     Rows are judged one by one: ties, repeated rows and null ids stay as they
     are, an empty table gives no rows, other columns are ignored.
     """
     known = F.create_map(*[F.lit(x) for pair in sentences.items() if "*" not in pair[0] for x in pair])
     wide = [(s.replace("*", ".+"), i) for s, i in sentences.items() if "*" in s]
-    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BREAK)
+    parts = F.split(single_tags(F.lower(F.coalesce(F.col(text), F.lit("")))), BREAK)
 
     def identified(s: Column) -> Column:
         whole = F.element_at(known, normalised(s))
@@ -186,9 +268,9 @@ def scan_licenses(
 
 
 def _oracle() -> str:
-    pairs = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    pairs = ", ".join(f"('{s}', '{i}')" for s, i in {**SENTENCES, **TAGS}.items())
     steps, last = [], "seq"
-    for n, (name, sequence) in enumerate(RULES):
+    for n, (name, sequence) in enumerate((*RULES, *TAG_RULES)):
         wanted = "," + ",,".join(sequence) + ","
         steps.append(
             f"r{n} AS (SELECT doc_id, ids, replace(rest, '{wanted}', '|') AS rest, "
@@ -197,8 +279,13 @@ def _oracle() -> str:
         last = f"r{n}"
     return rf"""
 WITH known(sentence, id) AS (VALUES {pairs}),
+lines AS (SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS l FROM documents),
+-- A line with an SPDX tag is as many sentences as its expression has names.
+tagged AS (SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN contains(x, 'spdx-license-identifier:') THEN
+    regexp_replace(regexp_replace(regexp_replace(x, '([0-9])\+', '\1-or-later', 'g'), '[ \t]+(or|and|with)[ \t]+', chr(10) || 'spdx-license-identifier ', 'g'),
+      'spdx-license-identifier:', 'spdx-license-identifier', 'g') ELSE x END), chr(10)) AS text FROM lines),
 parts AS (SELECT doc_id, s, pos FROM (
-  SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{LINE_BREAK}') AS p FROM documents))
+  SELECT doc_id, unnest(p) AS s, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split_regex(text, '{LINE_BREAK}') AS p FROM tagged))
   WHERE regexp_matches(lower(s), '{CRITICAL}')),
 ids AS (SELECT doc_id, pos, coalesce(id, CASE WHEN starts_with(n, 'copyright') THEN '{COPYRIGHT}' ELSE '{UNKNOWN}' END) AS id
   FROM (SELECT doc_id, pos, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM parts) LEFT JOIN known ON n = sentence),
