@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +21,24 @@ from pyspark.sql import functions as F
 
 from tabaudit.llm.common import BROADCAST_ROWS, WordHashes, broadcast_if_small, mixed, nullable, row_key
 from tabaudit.llm.rarity import BITS, Counts, levels
-from tabaudit.operators.scale import materialize
+from tabaudit.operators.scale import materialize, split_hot_keys
 
 THRESHOLD = 80  # per cent
 CHUNK = 1 << 19
 # Buckets of up to so many postings are searched for possible pairs at once; larger ones go on whole.
-BUCKET = 512
+BUCKET = 1 << 14
+# So many pairs for each posting are handed on; buckets with more (groups of near copies) go on whole.
+PAIRS = 4
 HELD = 1 << 16
 # Wide hash classes tell long sets apart: 64 for each of these columns.
 WIDE = ["w0", "w1", "w2", "w3"]
 # Tokens seen 2^14 times or more may have large buckets: their postings are spread over tasks and go on whole.
 HOT_LEVEL = 14
 SPREAD = 64
+# Postings of a bucket that are compared by one task at most with as many others.
+BLOCK = 1 << 13
+# Sets with more than one in so many of all lines are joined by broadcast: there can be no more than so many.
+COMMON = 1000
 
 
 def _chunks(values: Iterator[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -67,15 +74,14 @@ def token_sets(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray,
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """One scan of the texts: all worded lines, their token sets, and the rarity levels.
 
-    Lines are (doc_id, row_key, line, n, digest) and the columns ``WIDE``;
-    sets are (digest, n, bits, tokens) with tokens as 32-bit hashes, each set
-    at least once.  ``bits`` are the 64 hash classes that the tokens fall
-    into, ``WIDE`` 256 others.
+    Lines are (doc_id, row_key, line, digest); sets are (digest, n, bits,
+    tokens) with tokens as 32-bit hashes, each set at least once.  ``bits``
+    are the 64 hash classes that the tokens fall into.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes, seen, kind = Counts(), WordHashes(), set(), None
-        names = ["doc_id", "row_key", "line", "n", "digest", *WIDE, "bits", "tokens", "chunk", "counts"]
+        names = ["doc_id", "row_key", "line", "n", "digest", "bits", "tokens", "chunk", "counts"]
         for batch in batches:
             kind = batch.column(0).type
             for at, texts in _chunks(v.as_py() for v in batch.column(2)):
@@ -89,27 +95,25 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
                 small = (tokens >> np.uint64(32)).astype(np.uint32)
                 bit = np.uint64(1) << (tokens & np.uint64(63))
                 bits = np.bitwise_or.reduceat(bit, ends - size) if len(size) else bit
-                bit, word = np.uint64(1) << ((tokens >> np.uint64(6)) & np.uint64(63)), (tokens >> np.uint64(12)) % np.uint64(len(WIDE))
-                wide = [np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), ends - size) if len(size) else bit for w in range(len(WIDE))]
                 packed = [small[e - n : e].tobytes() if new else None for e, n, new in zip(ends.tolist(), size.tolist(), fresh)]
                 rows, none = pa.array(doc + at), len(doc)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number), pa.array(size), pa.array(digest),
-                    *(pa.array(w.view(np.int64)) for w in wide), pa.array(bits.view(np.int64)), pa.array(packed, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()),
+                    pa.array(bits.view(np.int64)), pa.array(packed, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()),
                 ], names)
         if kind is not None:
             parts = counts.packed()
             n = len(parts)
-            empty = [pa.nulls(n, t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int64()] * len(WIDE), pa.int64(), pa.binary())]
+            empty = [pa.nulls(n, t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names)
 
     schema = nullable(docs.select("doc_id"))
-    for name, kind in (("row_key", "long"), ("line", "integer"), ("n", "integer"), ("digest", "long"), *((w, "long") for w in WIDE), ("bits", "long"), ("tokens", "binary"), ("chunk", "integer"), ("counts", "binary")):
+    for name, kind in (("row_key", "long"), ("line", "integer"), ("n", "integer"), ("digest", "long"), ("bits", "long"), ("tokens", "binary"), ("chunk", "integer"), ("counts", "binary")):
         schema = schema.add(name, kind)
     found = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(read, schema), "lines")
     level = levels(found.filter("chunk IS NOT NULL").select("chunk", "counts"))
     return (
-        found.filter("chunk IS NULL").select("doc_id", "row_key", "line", "n", "digest", *WIDE),
+        found.filter("chunk IS NULL").select("doc_id", "row_key", "line", "digest"),
         found.filter("tokens IS NOT NULL").select("digest", "n", "bits", "tokens"), level,
     )
 
@@ -146,9 +150,16 @@ def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
     return sets.select("digest", "n", "bits", "tokens").mapInArrow(read, POSTING)
 
 
-def partnered(token: np.ndarray, digest: np.ndarray, n: np.ndarray, bits: np.ndarray, pos: np.ndarray, threshold: int) -> np.ndarray:
-    """Which postings, ordered by (token, n), have a possible partner of another digest within their token."""
-    good, left = np.zeros(len(token), bool), n - pos
+def possible_pairs(token: np.ndarray, digest: np.ndarray, n: np.ndarray, bits: np.ndarray, pos: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """Possible pairs of postings, ordered by (token, n), of one token and different digests: (one, two, crowded).
+
+    A bucket with more than ``PAIRS`` pairs for each of its postings is
+    crowded: it has no pairs in the answer, and ``crowded`` marks its postings.
+    """
+    bucket = np.cumsum(np.r_[False, token[1:] != token[:-1]])[: len(token)]
+    room = np.bincount(bucket) * PAIRS
+    found, left = np.zeros(len(room), np.int64), n - pos
+    ones, twos = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at, step = np.arange(len(token)), 1
     while True:
         at = at[at + step < len(token)]
@@ -157,36 +168,56 @@ def partnered(token: np.ndarray, digest: np.ndarray, n: np.ndarray, bits: np.nda
         on = (token[at] == token[to]) & (n[at] * 100 >= n[to] * threshold) & (left[at] * (100 + threshold) >= (n[at] + n[to]) * threshold)
         at, to = at[on], to[on]
         if not len(at):
-            return good
+            break
         one, two = bits[at], bits[to]
         most = np.minimum(left[to], np.minimum(n[at] - np.bitwise_count(one & ~two), n[to] - np.bitwise_count(two & ~one)))
-        fits = (most * (100 + threshold) >= (n[at] + n[to]) * threshold) & (digest[at] != digest[to])
-        good[at[fits]] = good[to[fits]] = True
+        fits = np.flatnonzero((most * (100 + threshold) >= (n[at] + n[to]) * threshold) & (digest[at] != digest[to]))
+        if len(fits):
+            ones.append(at[fits])
+            twos.append(to[fits])
+            np.add.at(found, bucket[at[fits]], 1)
+            at = at[found[bucket[at]] <= room[bucket[at]]]
         step += 1
+    one, two, full = np.concatenate(ones), np.concatenate(twos), found > room
+    stay = ~full[bucket[one]]
+    return one[stay], two[stay], full[bucket]
 
 
 def _met(postings: DataFrame, threshold: int) -> DataFrame:
-    """The postings that may have a partner, (token, digest, n, bits, pos), with one shuffle.
+    """What may match, with one shuffle: possible pairs, and postings where pairs would be too many.
 
-    Postings of hot tokens and of buckets above ``BUCKET`` all stay, so that
-    no task holds or compares more than that; the joins that follow decide.
+    Rows with ``other`` are pairs of the digests (digest, other).  The rest
+    are postings (token, digest, n, bits, pos) of hot tokens, of buckets above
+    ``BUCKET`` and of crowded buckets, so that no task holds or compares more
+    than that; the joins that follow decide.
     """
+    names = ["token", "digest", "n", "bits", "pos", "other"]
 
     def opened(table: pa.Table, keep: np.ndarray | None = None) -> list[pa.RecordBatch]:
         table = table if keep is None else table.filter(pa.array(keep))
         key = table.column(0).to_numpy()
-        columns = [key >> SIZE_BITS, table.column(2), (key & ((1 << SIZE_BITS) - 1)).astype(np.int32), table.column(3), table.column(4)]
-        return pa.table(columns, ["token", "digest", "n", "bits", "pos"]).to_batches()
-
-    def chosen(table: pa.Table) -> list[pa.RecordBatch]:
+        n = (key & ((1 << SIZE_BITS) - 1)).astype(np.int32)
+        columns = [key >> SIZE_BITS, table.column(2), n, table.column(3), table.column(4), pa.nulls(len(key), pa.int64())]
+        return pa.table(columns, names).to_batches()
+
+    def chosen(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        # A set that several tasks handed on counts once.
+        order = np.lexsort((table.column(2).to_numpy(), table.column(0).to_numpy()))
+        table = table.take(pa.array(order)).combine_chunks()
         key, salt, digest, bits, pos = (table.column(i).to_numpy() for i in range(5))
+        again = np.r_[False, (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])]
         token, n = key >> SIZE_BITS, key & ((1 << SIZE_BITS) - 1)
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[starts, len(token)])
-        keep = (salt > 0) | np.repeat(size > BUCKET, size)
-        ask = np.flatnonzero(~keep)
-        keep[ask] = partnered(token[ask], digest[ask], n[ask], bits[ask].view(np.uint64), pos[ask].astype(np.int64), threshold)
-        return opened(table, keep)
+        whole = (salt > 0) | np.repeat(size > BUCKET, size)
+        ask = np.flatnonzero(~whole & ~again)
+        one, two, crowded = possible_pairs(token[ask], digest[ask], n[ask], bits[ask].view(np.uint64), pos[ask].astype(np.int64), threshold)
+        whole[ask] = crowded
+        yield from opened(table, whole & ~again)
+        one, two = digest[ask[one]], digest[ask[two]]
+        none = [pa.nulls(len(one), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
+        columns = [none[0], np.minimum(one, two), *none[1:], np.maximum(one, two)]
+        yield from pa.table(columns, names).to_batches()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, large = [], 0, None
@@ -217,34 +248,56 @@ def _met(postings: DataFrame, threshold: int) -> DataFrame:
                 yield from chosen(table.slice(0, cut).combine_chunks())
 
     dealt = postings.repartition(F.shiftright("key", SIZE_BITS), "salt").sortWithinPartitions("key")
-    return dealt.mapInArrow(read, "token long, digest long, n int, bits long, pos int")
+    return dealt.mapInArrow(read, "token long, digest long, n int, bits long, pos int, other long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The written pairs (x, y) whose sets reach the threshold, by exact counts."""
+def _signed(sets: DataFrame) -> DataFrame:
+    """Sets (digest, n, tokens) with the 256 hash classes that their tokens fall into, see ``WIDE``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column(1).to_numpy().astype(np.int64)
+            kind = (np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+            bit, word, starts = np.uint64(1) << (kind & 63).astype(np.uint64), kind >> 6, np.cumsum(size) - size
+            wide = [np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), starts) for w in range(len(WIDE))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(w.view(np.int64)) for w in wide)], ["digest", "n", "tokens", *WIDE])
+
+    return sets.select("digest", "n", "tokens").mapInArrow(read, "digest long, n int, tokens binary, " + ", ".join(f"{w} long" for w in WIDE))
+
+
+def _late(pairs: DataFrame, near: DataFrame, threshold: int) -> DataFrame:
+    """The later digest of each pair (x, y) whose sets reach the threshold, by exact counts.
+
+    ``near`` holds (digest, n, tokens, first) and ``WIDE`` of every set in
+    question.  Hash classes bound a pair before its tokens are moved.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 x, y = set(np.frombuffer(s, np.uint32).tolist()), np.frombuffer(t, np.uint32).tolist()
                 both = len(x.intersection(y))
                 good.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield batch.select([0]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.col("x").alias("digest")).unionByName(pairs.select(F.col("y").alias("digest"))).distinct()
-    # The few sets in question are found where they lie; a large list of them is joined by shuffle.
-    near = sets.join(broadcast_if_small(wanted), "digest", "left_semi").select("digest", "tokens").dropDuplicates(["digest"])
-    left = near.select(F.col("digest").alias("x"), F.col("tokens").alias("_x"))
-    right = near.select(F.col("digest").alias("y"), F.col("tokens").alias("_y"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "_x", "_y").mapInArrow(check, "x long, y long")
+    named = lambda end, *columns: near.select(F.col("digest").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
+    # Dealt by x, repeated pairs meet and the join needs no second shuffle.
+    sized = pairs.repartition("x").dropDuplicates(["x", "y"]).join(named("x", "n", *WIDE), "x")
+    alone = lambda p, q: sum((F.bit_count(F.col(f"{w}_{p}").bitwiseAND(F.bitwise_not(F.col(f"{w}_{q}")))) for w in WIDE), F.lit(0))
+    most = F.least(F.col("n_x") - alone("x", "y"), F.col("n_y") - alone("y", "x"))
+    possible = sized.join(named("y", "n", "tokens", "first", *WIDE), "y").filter(most * (100 + threshold) >= (F.col("n_x") + F.col("n_y")) * threshold)
+    whole = possible.select("x", "y", "tokens_y", "first_y").join(named("x", "tokens", "first"), "x")
+    later = F.when(F.col("first_y") < F.col("first_x"), F.col("x")).otherwise(F.col("y"))
+    return whole.select(later.alias("digest"), "tokens_x", "tokens_y").mapInArrow(check, "digest long").distinct()
 
 
 def _possible(a: str, b: str, threshold: int) -> Column:
     """Length, positional and hash-class bounds of two postings of one token."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    lacks = lambda p, q, c: F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c))))
-    alone = lambda p, q: F.greatest(lacks(p, q, "bits"), sum((lacks(p, q, w) for w in WIDE), F.lit(0)))
+    alone = lambda p, q: F.bit_count(p("bits").bitwiseAND(F.bitwise_not(q("bits"))))
     # Tokens from this one on, and tokens less the classes the other set lacks, bound the intersection.
     most = F.least(x("n") - x("pos"), y("n") - y("pos"), x("n") - alone(x, y), y("n") - alone(y, x))
     return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * threshold) & (most * (100 + threshold) >= (x("n") + y("n")) * threshold)
@@ -254,22 +307,40 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Lines to remove, (row_key, lines), from (doc_id, row_key, text); see ``dedup_lines``."""
     lines, sets, level = line_classes(docs)
     place = F.struct("doc_id", "row_key", "line")
-    classes = materialize(lines.groupBy("digest").agg(F.min(place).alias("first"), *(F.max(w).alias(w) for w in WIDE)), "classes")
-    met = materialize(_met(_postings(sets, level, threshold), threshold), "met").dropDuplicates(["token", "digest"])
-    met = materialize(met.join(classes, "digest"), "met")
-    # First every set against the earliest of each of its buckets: hot groups of near copies end here.
-    earliest = met.groupBy("token").agg(F.min(F.struct("first", "digest", "n", "bits", "pos", *WIDE)).alias("e")).select("token", "e.*")
-    bound = lambda a, b: (F.col(f"{a}.token") == F.col(f"{b}.token")) & (F.col(f"{b}.first") < F.col(f"{a}.first")) & _possible(a, b, threshold)
+    classes = materialize(lines.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "classes")
+    met = materialize(_met(_postings(sets, level, threshold), threshold), "met")
+    pairs = met.filter("other IS NOT NULL").select(F.col("digest").alias("x"), F.col("other").alias("y"))
+    posted = met.filter("other IS NULL").drop("other")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("digest")).unionByName(posted.select("digest")).distinct()
+    # The few sets in question are found where they lie; a large list of them is joined by shuffle.
+    wanted = broadcast_if_small(materialize(wanted, "wanted"))
+    asked = sets.join(wanted, "digest", "left_semi").select("digest", "n", "tokens").dropDuplicates(["digest"])
+    near = materialize(_signed(asked).join(classes.join(wanted, "digest", "left_semi").select("digest", "first"), "digest"), "near")
+    # Where pairs would be too many, first every set against the earliest of each of its buckets: groups of near copies end here.
+    crowd = materialize(posted.dropDuplicates(["token", "digest"]).join(near.select("digest", "first"), "digest"), "crowd")
+    earliest = F.min(F.struct("first", "digest", "n", "bits", "pos"))
+    buckets = crowd.groupBy(F.col("token").alias("_token")).agg(earliest.alias("b"), F.count(F.lit(1)).alias("size"))
+    crowd = materialize(split_hot_keys(crowd, buckets, "token", "_token").drop("_token"), "crowd")
+    bound = (F.col("b.first") < F.col("a.first")) & _possible("a", "b", threshold)
     pair = [F.col("a.digest").alias("x"), F.col("b.digest").alias("y")]
-    near = materialize(met.alias("a").join(earliest.alias("b"), bound("a", "b")).select(*pair).distinct(), "line_pairs")
-    settled = materialize(_verified(near, sets, threshold).select(F.col("x").alias("digest")).distinct(), "settled")
-    # Then what is left against all other earlier sets.
-    rest = met.join(settled, "digest", "left_anti")
-    others = rest.alias("a").join(met.alias("b"), bound("a", "b")).select(*pair).distinct()
-    others = materialize(others.join(near, ["x", "y"], "left_anti"), "line_pairs")
-    late = settled.unionByName(_verified(others, sets, threshold).select(F.col("x").alias("digest")).distinct())
-    gone = classes.join(late.withColumn("_late", F.lit(True)), "digest", "left")
-    marked = lines.drop(*WIDE).join(gone.drop(*WIDE), "digest").filter(F.col("_late").isNotNull() | ~place.eqNullSafe(F.col("first")))
+    settled = materialize(_late(crowd.alias("a").filter(bound).select(*pair), near, threshold), "settled")
+    # Then what is left against all other earlier sets, large buckets in blocks.
+    crowd = crowd.drop("b").withColumn("ways", F.ceil(F.col("size") / BLOCK))
+    own, every = F.pmod(F.xxhash64("digest"), "ways"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1))
+    rest = crowd.join(settled, "digest", "left_anti").withColumn("p", own).withColumn("q", every)
+    met = crowd.withColumn("q", own).withColumn("p", every)
+    same = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "p", "q")))
+    others = rest.alias("a").join(met.alias("b"), same & bound).select(*pair).distinct()
+    late = settled.unionByName(_late(pairs.unionByName(others), near, threshold)).distinct().withColumn("_late", F.lit(True))
+    gone = materialize(classes.join(late, "digest", "left").filter("_late OR times > 1"), "gone_sets")
+    # At most COMMON sets hold more than one in COMMON lines each; the lines of these stay where they are.
+    total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    common = F.col("times") * COMMON > total
+    repeated = F.col("_late").isNotNull() | ~place.eqNullSafe(F.col("first"))
+    often = F.broadcast(gone.filter(common))
+    marked = lines.join(often, "digest").filter(repeated).select("row_key", "line").unionByName(
+        lines.join(often, "digest", "left_anti").join(gone.filter(~common), "digest").filter(repeated).select("row_key", "line")
+    )
     return marked.groupBy("row_key").agg(F.collect_set("line").alias("lines"))
 
 

@@ -233,7 +233,7 @@ def _lines_by_force(rows, threshold=80):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"BUCKET": 2, "HELD": 5}, {"BUCKET": 50, "HELD": 7, "HOT_LEVEL": 5}])
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 2, "HELD": 5}, {"BUCKET": 50, "HELD": 7, "HOT_LEVEL": 5}, {"PAIRS": 0, "COMMON": 20, "BLOCK": 3}, {"PAIRS": 1, "HELD": 9}])
 def test_line_dedup(spark, odd, nothing, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(linedup, name, value)
@@ -271,8 +271,12 @@ def test_possible_partners():
             near = min(n[i], n[j]) * 100 >= max(n[i], n[j]) * threshold
             return token[i] == token[j] and digest[i] != digest[j] and near and most * (100 + threshold) >= (n[i] + n[j]) * threshold
 
-        want = [any(possible(i, j) for j in range(400) if j != i) for i in range(400)]
-        assert linedup.partnered(token, digest, n, bits, pos, threshold).tolist() == want
+        want = {(i, j) for i in range(400) for j in range(i + 1, 400) if possible(i, j)}
+        one, two, crowded = linedup.possible_pairs(token, digest, n, bits, pos, threshold)
+        assert {(i, j) for i, j in want if not crowded[i]} == set(zip(one.tolist(), two.tolist()))
+        for t in set(token.tolist()):
+            own = sum(token[i] == t for i, _ in want)
+            assert (own > linedup.PAIRS * (token == t).sum()) == crowded[token == t].any() == crowded[token == t].all()
 
 
 def _components_by_force(rows):
