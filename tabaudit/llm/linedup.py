@@ -75,13 +75,13 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """One scan of the texts: all worded lines, their token sets, and the rarity levels.
 
     Lines are (doc_id, row_key, line, digest); sets are (digest, n, bits,
-    tokens) with tokens as 32-bit hashes, each set at least once.  ``bits``
-    are the 64 hash classes that the tokens fall into.
+    more, tokens) with tokens as 32-bit hashes, each set at least once.
+    ``bits`` and ``more`` are the 128 hash classes that the tokens fall into.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashes, seen, kind = Counts(), WordHashes(), set(), None
-        names = ["doc_id", "row_key", "line", "n", "digest", "bits", "tokens", "chunk", "counts"]
+        names = ["doc_id", "row_key", "line", "n", "digest", "bits", "more", "tokens", "chunk", "counts"]
         for batch in batches:
             kind = batch.column(0).type
             for at, texts in _chunks(v.as_py() for v in batch.column(2)):
@@ -94,32 +94,33 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
                 ends = np.cumsum(size)
                 small = (tokens >> np.uint64(32)).astype(np.uint32)
                 bit = np.uint64(1) << (tokens & np.uint64(63))
-                bits = np.bitwise_or.reduceat(bit, ends - size) if len(size) else bit
+                high = (tokens & np.uint64(64)) > 0
+                bits, more = (np.bitwise_or.reduceat(np.where(on, bit, np.uint64(0)), ends - size) if len(size) else bit for on in (~high, high))
                 packed = [small[e - n : e].tobytes() if new else None for e, n, new in zip(ends.tolist(), size.tolist(), fresh)]
                 rows, none = pa.array(doc + at), len(doc)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number), pa.array(size), pa.array(digest),
-                    pa.array(bits.view(np.int64)), pa.array(packed, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()),
+                    pa.array(bits.view(np.int64)), pa.array(more.view(np.int64)), pa.array(packed, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()),
                 ], names)
         if kind is not None:
             parts = counts.packed()
             n = len(parts)
-            empty = [pa.nulls(n, t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+            empty = [pa.nulls(n, t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array([c for c, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names)
 
     schema = nullable(docs.select("doc_id"))
-    for name, kind in (("row_key", "long"), ("line", "integer"), ("n", "integer"), ("digest", "long"), ("bits", "long"), ("tokens", "binary"), ("chunk", "integer"), ("counts", "binary")):
+    for name, kind in (("row_key", "long"), ("line", "integer"), ("n", "integer"), ("digest", "long"), ("bits", "long"), ("more", "long"), ("tokens", "binary"), ("chunk", "integer"), ("counts", "binary")):
         schema = schema.add(name, kind)
     found = materialize(docs.select("doc_id", "row_key", "text").mapInArrow(read, schema), "lines")
     level = levels(found.filter("chunk IS NOT NULL").select("chunk", "counts"))
     return (
         found.filter("chunk IS NULL").select("doc_id", "row_key", "line", "digest"),
-        found.filter("tokens IS NOT NULL").select("digest", "n", "bits", "tokens"), level,
+        found.filter("tokens IS NOT NULL").select("digest", "n", "bits", "more", "tokens"), level,
     )
 
 
 # One number holds token and set size, so that one column sorts by both.
-POSTING = "key long, salt int, digest long, bits long, pos int"
+POSTING = "key long, salt int, digest long, bits long, more long, pos int"
 SIZE_BITS = 31
 
 
@@ -132,7 +133,7 @@ def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             size = batch.column(1).to_numpy().astype(np.int64)
-            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32)
+            tokens = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32)
             line = np.repeat(np.arange(len(size)), size)
             rank = (shared.value[tokens >> (32 - BITS)].astype(np.uint64) << np.uint64(32)) | tokens
             order = np.lexsort((rank, line))
@@ -144,13 +145,13 @@ def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
             salt = np.where(shared.value[token >> (32 - BITS)] >= HOT_LEVEL, 1 + digest % SPREAD, 0)
             yield pa.RecordBatch.from_arrays([
                 pa.array((token.astype(np.int64) << SIZE_BITS) | size[line[keep]]), pa.array(salt.astype(np.int32)),
-                pa.array(digest), batch.column(2).take(own), pa.array(pos[keep].astype(np.int32)),
-            ], ["key", "salt", "digest", "bits", "pos"])
+                pa.array(digest), batch.column(2).take(own), batch.column(3).take(own), pa.array(pos[keep].astype(np.int32)),
+            ], ["key", "salt", "digest", "bits", "more", "pos"])
 
-    return sets.select("digest", "n", "bits", "tokens").mapInArrow(read, POSTING)
+    return sets.select("digest", "n", "bits", "more", "tokens").mapInArrow(read, POSTING)
 
 
-def possible_pairs(token: np.ndarray, digest: np.ndarray, n: np.ndarray, bits: np.ndarray, pos: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+def possible_pairs(token: np.ndarray, digest: np.ndarray, n: np.ndarray, bits: list[np.ndarray], pos: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
     """Possible pairs of postings, ordered by (token, n), of one token and different digests: (one, two, crowded).
 
     A bucket with more than ``PAIRS`` pairs for each of its postings is
@@ -169,8 +170,9 @@ def possible_pairs(token: np.ndarray, digest: np.ndarray, n: np.ndarray, bits: n
         at, to = at[on], to[on]
         if not len(at):
             break
-        one, two = bits[at], bits[to]
-        most = np.minimum(left[to], np.minimum(n[at] - np.bitwise_count(one & ~two), n[to] - np.bitwise_count(two & ~one)))
+        # Tokens less the classes that the other set lacks bound the intersection.
+        lacks = lambda p, q: sum(np.bitwise_count(b[p] & ~b[q]).astype(np.int64) for b in bits)
+        most = np.minimum(left[to], np.minimum(n[at] - lacks(at, to), n[to] - lacks(to, at)))
         fits = np.flatnonzero((most * (100 + threshold) >= (n[at] + n[to]) * threshold) & (digest[at] != digest[to]))
         if len(fits):
             ones.append(at[fits])
@@ -187,35 +189,36 @@ def _met(postings: DataFrame, threshold: int) -> DataFrame:
     """What may match, with one shuffle: possible pairs, and postings where pairs would be too many.
 
     Rows with ``other`` are pairs of the digests (digest, other).  The rest
-    are postings (token, digest, n, bits, pos) of hot tokens, of buckets above
+    are postings (token, digest, n, bits, more, pos) of hot tokens, of buckets above
     ``BUCKET`` and of crowded buckets, so that no task holds or compares more
     than that; the joins that follow decide.
     """
-    names = ["token", "digest", "n", "bits", "pos", "other"]
+    names = ["token", "digest", "n", "bits", "more", "pos", "other"]
 
     def opened(table: pa.Table, keep: np.ndarray | None = None) -> list[pa.RecordBatch]:
         table = table if keep is None else table.filter(pa.array(keep))
         key = table.column(0).to_numpy()
         n = (key & ((1 << SIZE_BITS) - 1)).astype(np.int32)
-        columns = [key >> SIZE_BITS, table.column(2), n, table.column(3), table.column(4), pa.nulls(len(key), pa.int64())]
+        columns = [key >> SIZE_BITS, table.column(2), n, table.column(3), table.column(4), table.column(5), pa.nulls(len(key), pa.int64())]
         return pa.table(columns, names).to_batches()
 
     def chosen(table: pa.Table) -> Iterator[pa.RecordBatch]:
         # A set that several tasks handed on counts once.
         order = np.lexsort((table.column(2).to_numpy(), table.column(0).to_numpy()))
         table = table.take(pa.array(order)).combine_chunks()
-        key, salt, digest, bits, pos = (table.column(i).to_numpy() for i in range(5))
+        key, salt, digest, bits, more, pos = (table.column(i).to_numpy() for i in range(6))
         again = np.r_[False, (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])]
         token, n = key >> SIZE_BITS, key & ((1 << SIZE_BITS) - 1)
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[starts, len(token)])
         whole = (salt > 0) | np.repeat(size > BUCKET, size)
         ask = np.flatnonzero(~whole & ~again)
-        one, two, crowded = possible_pairs(token[ask], digest[ask], n[ask], bits[ask].view(np.uint64), pos[ask].astype(np.int64), threshold)
+        both = [b[ask].view(np.uint64) for b in (bits, more)]
+        one, two, crowded = possible_pairs(token[ask], digest[ask], n[ask], both, pos[ask].astype(np.int64), threshold)
         whole[ask] = crowded
         yield from opened(table, whole & ~again)
         one, two = digest[ask[one]], digest[ask[two]]
-        none = [pa.nulls(len(one), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
+        none = [pa.nulls(len(one), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())]
         columns = [none[0], np.minimum(one, two), *none[1:], np.maximum(one, two)]
         yield from pa.table(columns, names).to_batches()
 
@@ -248,7 +251,7 @@ def _met(postings: DataFrame, threshold: int) -> DataFrame:
                 yield from chosen(table.slice(0, cut).combine_chunks())
 
     dealt = postings.repartition(F.shiftright("key", SIZE_BITS), "salt").sortWithinPartitions("key")
-    return dealt.mapInArrow(read, "token long, digest long, n int, bits long, pos int, other long")
+    return dealt.mapInArrow(read, "token long, digest long, n int, bits long, more long, pos int, other long")
 
 
 def _signed(sets: DataFrame) -> DataFrame:
@@ -297,7 +300,7 @@ def _late(pairs: DataFrame, near: DataFrame, threshold: int) -> DataFrame:
 def _possible(a: str, b: str, threshold: int) -> Column:
     """Length, positional and hash-class bounds of two postings of one token."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    alone = lambda p, q: F.bit_count(p("bits").bitwiseAND(F.bitwise_not(q("bits"))))
+    alone = lambda p, q: sum((F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c)))) for c in ("bits", "more")), F.lit(0))
     # Tokens from this one on, and tokens less the classes the other set lacks, bound the intersection.
     most = F.least(x("n") - x("pos"), y("n") - y("pos"), x("n") - alone(x, y), y("n") - alone(y, x))
     return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * threshold) & (most * (100 + threshold) >= (x("n") + y("n")) * threshold)
@@ -318,7 +321,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     near = materialize(_signed(asked).join(classes.join(wanted, "digest", "left_semi").select("digest", "first"), "digest"), "near")
     # Where pairs would be too many, first every set against the earliest of each of its buckets: groups of near copies end here.
     crowd = materialize(posted.dropDuplicates(["token", "digest"]).join(near.select("digest", "first"), "digest"), "crowd")
-    earliest = F.min(F.struct("first", "digest", "n", "bits", "pos"))
+    earliest = F.min(F.struct("first", "digest", "n", "bits", "more", "pos"))
     buckets = crowd.groupBy(F.col("token").alias("_token")).agg(earliest.alias("b"), F.count(F.lit(1)).alias("size"))
     crowd = materialize(split_hot_keys(crowd, buckets, "token", "_token").drop("_token"), "crowd")
     bound = (F.col("b.first") < F.col("a.first")) & _possible("a", "b", threshold)

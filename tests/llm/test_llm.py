@@ -272,7 +272,7 @@ def test_possible_partners():
             return token[i] == token[j] and digest[i] != digest[j] and near and most * (100 + threshold) >= (n[i] + n[j]) * threshold
 
         want = {(i, j) for i in range(400) for j in range(i + 1, 400) if possible(i, j)}
-        one, two, crowded = linedup.possible_pairs(token, digest, n, bits, pos, threshold)
+        one, two, crowded = linedup.possible_pairs(token, digest, n, [bits & np.uint64(0x3FF), bits & ~np.uint64(0x3FF)], pos, threshold)
         assert {(i, j) for i, j in want if not crowded[i]} == set(zip(one.tolist(), two.tolist()))
         for t in set(token.tolist()):
             own = sum(token[i] == t for i, _ in want)
