@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import col, number, numeric_columns, significance, string_columns
 from tabaudit.functions.special import chi2_pvalue, f_pvalue, francia_pvalue, normal_quantile, shapiro_wilk, t_pvalue
-from tabaudit.operators.scale import BROADCAST_ROWS, materialize, running_totals, smallest_by_hash, unpivot_numeric
+from tabaudit.operators.scale import BROADCAST_ROWS, materialize, running_totals, smallest_by_hash, unit_hash, unpivot_numeric
 
 
 def first_labels(df: DataFrame, target: str, n: int = 2) -> list[str]:
@@ -200,8 +200,9 @@ def normality_sample(
 ) -> DataFrame:
     """(column, value): up to ``rows`` present values of every column by key hash."""
     key = F.concat_ws("|", *[col(k).cast("string") for k in keys]) if keys else F.monotonically_increasing_id().cast("string")
-    base = df.select(key.alias("_key"), *[number(c).alias(c) for c in cols])
-    picked = smallest_by_hash(unpivot_numeric(base, cols, ["_key"]), rows, ["_key"], ["column"], salt=seed)
+    # One digest of a row serves all its columns.
+    base = df.select(key.alias("_key"), *[number(c).alias(c) for c in cols]).withColumn("_hash", unit_hash("_key", salt=seed))
+    picked = smallest_by_hash(unpivot_numeric(base, cols, ["_key", "_hash"]), rows, ["_key"], ["column"], hashed="_hash")
     return picked.select("column", "value")
 
 

@@ -345,28 +345,37 @@ def unit_hash(*cols: str, salt: int | str = "") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+# Hash levels to each power of two: the last one taken holds about 4 % of what lies below it.
+LEVELS = 16
+
+
+def hash_level(h: Column) -> Column:
+    """Level of a ``unit_hash``, larger for larger hashes: about 530 in all, finer the closer to zero."""
+    return F.floor(F.log2(h + F.lit(2.0**-33)) * LEVELS)
+
+
 def smallest_by_hash(
     df: DataFrame,
     n: int,
     keys: Sequence[str],
     by: Sequence[str] = (),
     salt: int | str = 42,
-    levels: int | None = None,
+    hashed: str | None = None,
 ) -> DataFrame:
     """The ``n`` rows (per group) with the smallest key hash.
 
     A count per hash level says how far to look, so only about ``n`` rows per
-    group are ever sorted.  Ties are broken on the key itself.
+    group are ever sorted, and a task counts a bounded number of levels
+    whatever its rows.  Ties are broken on the key itself.  ``hashed`` names a
+    column that holds the hash of the keys already.
     """
     keys, by = list(keys), list(by)
-    if levels is None:
-        levels = 1 << 12 if is_small(df) else 1 << 20
-    hashed = df.withColumn("_h", unit_hash(*keys, salt=salt))
-    level = F.floor(F.col("_h") * levels).alias("_lvl")
-    counts = hashed.groupBy(*by, level).agg(F.count(F.lit(1)).alias("_n"))
+    placed = df.withColumn("_h", F.col(hashed) if hashed else unit_hash(*keys, salt=salt))
+    level = hash_level(F.col("_h"))
+    counts = placed.groupBy(*by, level.alias("_lvl")).agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     run = group.orderBy("_lvl").rowsBetween(Window.unboundedPreceding, -1)
-    # Highest level that still holds one of the n smallest: `levels` rows per group.
+    # Highest level that still holds one of the n smallest.
     edge = (
         counts.withColumn("_b", F.coalesce(F.sum("_n").over(run), F.lit(0)))
         .where(F.col("_b") < n)
@@ -376,9 +385,12 @@ def smallest_by_hash(
     order = [F.col("_h"), *[F.col(k) for k in keys]]
     if not by:
         row = edge.first()
-        cut = ((row["_edge"] if row and row["_edge"] is not None else levels) + 1) / levels
-        return hashed.where(F.col("_h") < F.lit(cut)).orderBy(*order).limit(n).drop("_h")
-    near = join_small(hashed, edge, by).where(F.col("_h") < (F.col("_edge") + 1) / F.lit(float(levels)))
+        return placed.where(level <= F.lit(row["_edge"] if row else None)).orderBy(*order).limit(n).drop("_h")
+    side, rows = small_table(edge)
+    if rows:
+        # Rows above the highest edge go before anything else is computed of them.
+        placed = placed.where(level <= max(r["_edge"] for r in rows))
+    near = placed.join(F.broadcast(side) if rows is not None else side, by).where(level <= F.col("_edge"))
     w = Window.partitionBy(*by).orderBy(*order)
     return (
         near.withColumn("_rn", F.row_number().over(w))

@@ -104,6 +104,18 @@ def test_normality_per_column(spark):
     assert one["bell"]["w"] == pytest.approx(two["bell"]["w"], rel=1e-9)
 
 
+def test_one_digest_of_a_row_for_all_columns(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "id * 1.5 AS a", "id * 2.5 AS b")
+    asked = []
+    smallest = hypothesis.smallest_by_hash
+    monkeypatch.setattr(hypothesis, "smallest_by_hash", lambda d, *a, **k: asked.append(d) or smallest(d, *a, **k))
+    got = hypothesis.normality_sample(df, ["a", "b"], ["id"], rows=40)
+    assert {r["column"]: r["count"] for r in got.groupBy("column").count().collect()} == {"a": 40, "b": 40}
+    # Printed from the last step down: digests are made below the step that turns columns into rows.
+    plan = asked[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.index("Expand") < plan.index("md5(")
+
+
 def _francia(x):
     rank = pd.Series(x).rank()
     m = np.array([NormalDist().inv_cdf((r - 0.375) / (len(x) + 0.25)) for r in rank])

@@ -86,6 +86,28 @@ def test_running_totals(spark, small, buckets):
         assert (part.n_total == part.n.sum()).all()
 
 
+def test_hash_levels_are_few_and_ordered(spark):
+    rows = spark.range(200_000).select(scale.unit_hash("id").alias("h")).withColumn("lvl", scale.hash_level(F.col("h")))
+    span = rows.groupBy("lvl").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).orderBy("lvl").collect()
+    # A level per row or so would make every task of a large table count millions of groups.
+    assert len(span) < 400 and sum(r["n"] for r in span) == 200_000
+    assert all(a["high"] < b["low"] for a, b in zip(span, span[1:]))
+    ends = spark.createDataFrame([(0.0,), (1 - 2.0**-32,)], "h double").select(scale.hash_level(F.col("h"))).collect()
+    assert [r[0] for r in ends] == [-528, -1]
+
+
+@pytest.mark.parametrize("n", [1, 7, 250, 999])
+def test_smallest_by_hash_by_brute_force(spark, n):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 20, "few").otherwise(F.concat(F.lit("g"), F.col("id") % 2)).alias("g"))
+    rows = df.withColumn("h", scale.unit_hash("id", salt=42)).collect()
+    want = {r["id"] for r in sorted(rows, key=lambda r: (r["h"], r["id"]))[:n]}
+    assert {r["id"] for r in scale.smallest_by_hash(df, n, ["id"]).collect()} == want
+    want = {(g, r["id"]) for g in ("few", "g0", "g1") for r in sorted((r for r in rows if r["g"] == g), key=lambda r: (r["h"], r["id"]))[:n]}
+    given = df.withColumn("own", scale.unit_hash("id", salt=42))
+    for got in (scale.smallest_by_hash(df, n, ["id"], ["g"]), scale.smallest_by_hash(given, n, ["id"], ["g"], hashed="own")):
+        assert {(r["g"], r["id"]) for r in got.collect()} == want
+
+
 def test_smallest_by_hash_does_not_depend_on_partitions(spark):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
     first = {r["id"] for r in scale.smallest_by_hash(df.repartition(1), 100, ["id"]).collect()}
