@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -75,9 +76,14 @@ QUERIES["numeric_describe_distributed"] = lambda s, d: rounded(
 ORACLE["numeric_describe_distributed"] = _describe_sql("orders", NUMERIC["orders"])
 
 # --- states of files, merged
+# Six files, or as many as hold so many bytes of the table each.
+_FILE_BYTES = 32 * 1024 * 1024
+
+
 def _lineitem_files(s, d):
     path = scale.scratch_path(s, "files")
-    lineitem_gaps(s, d).repartition(6, "l_suppkey").write.parquet(path)
+    n = max(6, math.ceil(scale.plan_bytes(table(s, d, "lineitem")) / _FILE_BYTES))
+    lineitem_gaps(s, d).repartition(n, "l_suppkey", "l_orderkey").write.parquet(path)
     return path
 
 

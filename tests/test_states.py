@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabaudit.operators import evidence, profiling, states
+from tabaudit.queries import descriptive
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,19 @@ def test_new_files_alone_are_read(spark, table, tmp_path):
     assert sizes.count() == 3 and evidence.rollup(sizes).first()["file_count"] == 3
     want = evidence.table_sizes({"all": spark.read.parquet(path)}).first()
     assert sizes.agg(F.sum("missing")).first()[0] == want["missing"] and sizes.agg(F.sum("cells")).first()[0] == want["cells"]
+
+
+def test_files_grow_in_number_not_in_size(spark, data, monkeypatch):
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    six = spark.read.parquet(descriptive._lineitem_files(spark, data))
+    monkeypatch.setattr(descriptive, "_FILE_BYTES", descriptive.scale.plan_bytes(spark.read.parquet(f"{data}/lineitem.parquet")) // 20)
+    more = spark.read.parquet(descriptive._lineitem_files(spark, data))
+    assert len(six.inputFiles()) == 6 and len(more.inputFiles()) >= 20 and six.count() == more.count() == rows
+    # No file, and so no task that writes or reads it, holds much more than its share, whatever the suppliers.
+    most = more.groupBy("_metadata.file_path").count().agg(F.max("count")).first()[0]
+    assert most < 3 * rows / len(more.inputFiles())
+    columns = ["column", "rows", "present", "n"]
+    whole = lambda: sorted(tuple(r[c] for c in columns) for r in descriptive.QUERIES["file_states_sizes"](spark, data).collect())
+    found = whole()
+    monkeypatch.undo()
+    assert found == whole() and len(found) == 11
