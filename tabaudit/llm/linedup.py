@@ -37,6 +37,9 @@ HOT_LEVEL = 14
 SPREAD = 64
 # Postings of a bucket that are compared by one task at most with as many others.
 BLOCK = 1 << 13
+# Slices of a crowded bucket's sets, and where the first rounds of comparisons end; sets that found a match leave after each.
+SLICES = 32
+ROUNDS = (1, 8, SLICES)
 # Sets with more than one in so many of all lines are joined by broadcast: there can be no more than so many.
 COMMON = 1000
 
@@ -324,16 +327,22 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     earliest = F.min(F.struct("first", "digest", "n", "bits", "more", "pos"))
     buckets = crowd.groupBy(F.col("token").alias("_token")).agg(earliest.alias("b"), F.count(F.lit(1)).alias("size"))
     crowd = materialize(split_hot_keys(crowd, buckets, "token", "_token").drop("_token"), "crowd")
+    # Only these sets are asked for until the last round.
+    close = materialize(near.join(broadcast_if_small(crowd.select("digest").distinct()), "digest", "left_semi"), "close")
     bound = (F.col("b.first") < F.col("a.first")) & _possible("a", "b", threshold)
     pair = [F.col("a.digest").alias("x"), F.col("b.digest").alias("y")]
-    settled = materialize(_late(crowd.alias("a").filter(bound).select(*pair), near, threshold), "settled")
-    # Then what is left against all other earlier sets, large buckets in blocks.
-    crowd = crowd.drop("b").withColumn("ways", F.ceil(F.col("size") / BLOCK))
+    settled = materialize(_late(crowd.alias("a").filter(bound).select(*pair), close, threshold), "settled")
+    # Then what is left against the other earlier sets, large buckets in blocks.  A set with many matches finds one in a small
+    # slice of its bucket and is compared no further; one with few or none meets every slice in the end.
+    crowd = crowd.drop("b").withColumn("ways", F.ceil(F.col("size") / BLOCK)).withColumn("slice", F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(SLICES)))
     own, every = F.pmod(F.xxhash64("digest"), "ways"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1))
-    rest = crowd.join(settled, "digest", "left_anti").withColumn("p", own).withColumn("q", every)
-    met = crowd.withColumn("q", own).withColumn("p", every)
     same = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("token", "p", "q")))
-    others = rest.alias("a").join(met.alias("b"), same & bound).select(*pair).distinct()
+    for begun, ended in itertools.pairwise((0, *ROUNDS)):
+        rest = crowd.join(settled, "digest", "left_anti").withColumn("p", own).withColumn("q", every)
+        met = crowd.filter(F.col("slice").between(begun, ended - 1)).withColumn("q", own).withColumn("p", every)
+        others = rest.alias("a").join(met.alias("b"), same & bound).select(*pair).distinct()
+        if ended < SLICES:
+            settled = materialize(settled.unionByName(_late(others, close, threshold)), "settled")
     late = settled.unionByName(_late(pairs.unionByName(others), near, threshold)).distinct().withColumn("_late", F.lit(True))
     gone = materialize(classes.join(late, "digest", "left").filter("_late OR times > 1"), "gone_sets")
     # At most COMMON sets hold more than one in COMMON lines each; the lines of these stay where they are.

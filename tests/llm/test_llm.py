@@ -499,3 +499,18 @@ def test_pipeline_matches_plain_stages(spark, data, tmp_path):
     ends = lambda df: sorted((r["doc_id"], r["text"], r["source"], r["epoch"], r["words_taken"]) for r in df.collect())
     assert ends(corpus_pipeline.STAGES[-1][1](spark, found, str(tmp_path))) == mixed
     assert ends(corpus_pipeline.run(spark, str(tmp_path))) == mixed
+
+
+def test_lines_with_many_matches_are_compared_few_times(spark, monkeypatch):
+    # Windows of a ring of words, ten variants of each: every line has about 130 matches, and none matches all others.
+    rng = random.Random(8)
+    lines = [" ".join([f"w{(i + k) % 120}" for k in range(60)] + [f"v{i}x{v}"]) for i in range(120) for v in range(10)]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, "\n".join(lines[i : i + 4])) for i in range(0, len(lines), 4)], "doc_id long, text string")
+    asked, late = [], linedup._late
+    monkeypatch.setattr(linedup, "_late", lambda pairs, near, threshold: asked.append(pairs.distinct().count()) or late(pairs, near, threshold))
+    got = {r["doc_id"]: r["n_removed"] for r in linedup.dedup_lines(docs).collect()}
+    sets = [set(x.split()) for x in lines]
+    gone = [any(100 * len(s & t) >= 80 * len(s | t) for t in sets[:i]) for i, s in enumerate(sets)]
+    assert got == {i: sum(gone[i : i + 4]) for i in range(0, len(lines), 4)}
+    assert sum(asked) < 30_000
