@@ -514,3 +514,10 @@ def test_lines_with_many_matches_are_compared_few_times(spark, monkeypatch):
     gone = [any(100 * len(s & t) >= 80 * len(s | t) for t in sets[:i]) for i, s in enumerate(sets)]
     assert got == {i: sum(gone[i : i + 4]) for i in range(0, len(lines), 4)}
     assert sum(asked) < 30_000
+
+
+def test_word_count_holds_no_list_of_words(spark):
+    texts = ["", None, "a", "  a\tb\nc\x0bd\x0ce\rf ", "x\u0085y z\u00a0q", "w ww w", "\x00 \x1f \x1c", "\U0001f600 \U0001f600\u3000é\r\n\r\n", "\n\n \n", "-" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.word_count(F.col("text")).alias("n"))
+    assert {r["text"]: r["n"] for r in df.collect()} == {t: len((t or "").encode().split()) for t in texts}
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
