@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import BROADCAST_ROWS, WordHashes, broadcast_if_small, mixed, nullable, row_key
+from tabaudit.llm.common import BROADCAST_ROWS, broadcast_if_small, hashed_words, mixed, nullable, row_key
 from tabaudit.llm.rarity import BITS, Counts, levels
 from tabaudit.operators.scale import materialize, split_hot_keys
 
@@ -57,21 +57,32 @@ def _chunks(values: Iterator[str | None]) -> Iterator[tuple[int, list[str | None
         yield at, held
 
 
-def token_sets(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, ...]:
+# Lines of a chunk are numbered with so many bits when words are sorted; chunks with more take the slower sort.
+LINE_BITS = 17
+
+
+def token_sets(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """Sets of all worded lines: (text no, line no, set size, digest, tokens of all lines one after the other)."""
-    doc, number, count, words = [], [], [], []
-    for i, text in enumerate(texts):
-        for j, line in enumerate((text or "").encode("utf-8", "replace").lower().split(b"\n")):
-            own = set(line.split())
-            if own:
-                doc.append(i)
-                number.append(j)
-                count.append(len(own))
-                words += own
-    tokens, size = mixed(hashes.of(words)), np.array(count, np.int32)
-    starts = np.cumsum(size) - size
-    digest = mixed(np.add.reduceat(mixed(tokens), starts) + size.astype(np.uint64)) if len(size) else np.empty(0, np.uint64)
-    return np.array(doc, np.int64), np.array(number, np.int32), size, digest.view(np.int64), tokens
+    data = "\n".join([t or "" for t in texts]).encode("utf-8", "replace").lower()
+    feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    starts, tokens = hashed_words(data)
+    line = np.searchsorted(feeds, starts)
+    if len(feeds) >> LINE_BITS:
+        order = np.lexsort((tokens, line))
+    else:
+        # One number for both; words of a line that agree in all but the last bits are one word but for a chance of 2^-47.
+        order = np.argsort((line.astype(np.uint64) << np.uint64(64 - LINE_BITS)) | (tokens >> np.uint64(LINE_BITS)))
+    tokens, line = tokens[order], line[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])
+    tokens, line = tokens[new], line[new]
+    begins = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
+    size = np.diff(np.r_[begins, len(line)]).astype(np.int32)
+    digest = mixed(np.add.reduceat(mixed(tokens), begins) + size.astype(np.uint64)) if len(size) else np.empty(0, np.uint64)
+    # Texts are joined by one line feed, so each begins a line.
+    first = np.cumsum([0] + [1 + (t or "").count("\n") for t in texts[:-1]])
+    doc = np.searchsorted(first, line[begins], side="right") - 1
+    return doc, (line[begins] - first[doc]).astype(np.int32), size, digest.view(np.int64), tokens
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -83,12 +94,12 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes, seen, kind = Counts(), WordHashes(), set(), None
+        counts, seen, kind = Counts(), set(), None
         names = ["doc_id", "row_key", "line", "n", "digest", "bits", "more", "tokens", "chunk", "counts"]
         for batch in batches:
             kind = batch.column(0).type
             for at, texts in _chunks(v.as_py() for v in batch.column(2)):
-                doc, number, size, digest, tokens = token_sets(texts, hashes)
+                doc, number, size, digest, tokens = token_sets(texts)
                 counts.add(tokens)
                 # A set that this task has already handed on is not repeated; forgetting some only costs rows.
                 if len(seen) > 200_000:
@@ -125,6 +136,8 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
 # One number holds token and set size, so that one column sorts by both.
 POSTING = "key long, salt int, digest long, bits long, more long, pos int"
 SIZE_BITS = 31
+# A rarity level is the power of two of a count below 2^63.
+LEVEL_BITS = 6
 
 
 def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
@@ -138,12 +151,13 @@ def _postings(sets: DataFrame, level: np.ndarray, threshold: int) -> DataFrame:
             size = batch.column(1).to_numpy().astype(np.int64)
             tokens = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32)
             line = np.repeat(np.arange(len(size)), size)
-            rank = (shared.value[tokens >> (32 - BITS)].astype(np.uint64) << np.uint64(32)) | tokens
-            order = np.lexsort((rank, line))
+            # Line, rarity level and token in one number: sorted, it holds the tokens of each line in rarity order.
+            ranked = (line.astype(np.uint64) << np.uint64(32 + LEVEL_BITS)) | (shared.value[tokens >> (32 - BITS)].astype(np.uint64) << np.uint64(32)) | tokens
+            ranked.sort()
             pos = np.arange(len(tokens)) - (np.cumsum(size) - size)[line]
             # What a set must share with any similar one leaves this many tokens to look at.
             keep = pos < (size + size * threshold // -100 + 1)[line]
-            own, token = pa.array(line[keep]), tokens[order][keep]
+            own, token = pa.array(line[keep]), ranked[keep].astype(np.uint32)
             digest = batch.column(0).to_numpy()[line[keep]]
             salt = np.where(shared.value[token >> (32 - BITS)] >= HOT_LEVEL, 1 + digest % SPREAD, 0)
             yield pa.RecordBatch.from_arrays([
