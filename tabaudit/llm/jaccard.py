@@ -18,13 +18,14 @@ each set is its own region and every remaining pair is compared.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import WordHashes, broadcast_if_small, mixed, nullable, rolling, row_key, words_of
+from tabaudit.llm.common import broadcast_if_small, hashed_words, mixed, nullable, rolling, row_key
 from tabaudit.llm.graph import components
 from tabaudit.llm.rarity import Counts, buckets, levels
 from tabaudit.operators.scale import materialize
@@ -37,10 +38,31 @@ RADII = (25, 0)
 CLASSES = 512
 
 
-def shingle_set(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer words are one shingle, none give an empty set."""
-    tokens = hashes.of(words_of(text, True))
-    return np.unique(rolling(tokens, min(words, len(tokens)))) if len(tokens) else np.empty(0, np.uint64)
+# Texts are hashed in groups of about so many characters.
+GROUP = 1 << 18
+
+
+def shingle_sets(texts: Iterator[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct shingle hashes; fewer words are one shingle, none give an empty set."""
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "replace").lower())
+        size += len(held[-1]) + 1
+        if size >= GROUP:
+            yield from _grouped(held, words)
+            held, size = [], 0
+    yield from _grouped(held, words)
+
+
+def _grouped(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    starts, hashes = hashed_words(b"\n".join(texts))
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+    # Runs across texts are made, too, but belong to none.
+    runs = rolling(hashes, words)
+    for begin, end in zip([0, *ends], ends):
+        n = end - begin
+        own = np.sort(runs[begin : end - words + 1] if n >= words else rolling(hashes[begin:end], n) if n else hashes[:0])
+        yield own[np.r_[True, own[1:] != own[:-1]]] if n else own
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -57,12 +79,11 @@ def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, row_key, n, node, classes) of all rows, and the rarity levels of shingles; one scan of the texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes, kind = Counts(), WordHashes(), None
+        counts, kind = Counts(), None
         names = ["doc_id", "row_key", "n", "node", "classes", "chunk", "counts"]
         for batch in batches:
             kind, size, nodes, classes = batch.column(0).type, [], [], []
-            for value in batch.column(2):
-                own = shingle_set(value.as_py(), hashes, words)
+            for own in shingle_sets((v.as_py() for v in batch.column(2)), words):
                 size.append(len(own))
                 nodes.append(set_id(own) if len(own) else None)
                 classes.append(histogram(own) if len(own) else None)
@@ -89,19 +110,18 @@ def _meetings(docs: DataFrame, level: np.ndarray, words: int, similarity: int) -
     """Prefix tokens that at least two different sets have: (token, node, n, pos, c).
 
     ``pos`` is the token's place in the set's rarity order, ``c`` tells how shared the token is.
+    Only where a set may meet a similar one its token stays, see ``_partnered``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
-            tokens, nodes, sizes, places, held = [], [], [], [], 0
+            tokens, nodes, places, held = [], [], [], 0
             pack = lambda: pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)),
-                pa.array(np.concatenate(places)),
-            ], ["token", "node", "n", "pos"])
-            for value in batch.column(0):
-                own = shingle_set(value.as_py(), hashes, words)
+                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places)),
+            ], ["token", "node", "place"])
+            for own in shingle_sets((v.as_py() for v in batch.column(0)), words):
                 node = set_id(own) if len(own) else None
                 if node is None or node in seen:
                     continue
@@ -110,38 +130,70 @@ def _meetings(docs: DataFrame, level: np.ndarray, words: int, similarity: int) -
                     seen.clear()
                 seen.add(node)
                 keep = len(own) + (len(own) * similarity) // -100 + 1
-                tokens.append(own[np.lexsort((own, shared.value[buckets(own)]))[:keep]])
+                # Sorted hashes stay so within a level.
+                tokens.append(own[np.argsort(shared.value[buckets(own)], kind="stable")[:keep]])
                 nodes.append(np.full(keep, node, np.int64))
-                sizes.append(np.full(keep, len(own), np.int64))
-                places.append(np.arange(keep, dtype=np.int64))
+                # Size and place in one number: fewer bytes to shuffle, and an order by size.
+                places.append((len(own) << 32) + np.arange(keep, dtype=np.int64))
                 held += keep
                 if held > 100_000:
                     yield pack()
-                    tokens, nodes, sizes, places, held = [], [], [], [], 0
+                    tokens, nodes, places, held = [], [], [], 0
             if tokens:
                 yield pack()
 
     by_token = Window.partitionBy("token")
-    return (
-        docs.select("text").mapInArrow(read, "token long, node long, n long, pos long").repartition("token")
+    met = (
+        docs.select("text").mapInArrow(read, "token long, node long, place long").repartition("token")
         .withColumns({"_low": F.min("node").over(by_token), "_high": F.max("node").over(by_token), "c": F.count("*").over(by_token)})
-        .filter("_low < _high").dropDuplicates(["token", "node"]).select("token", "node", "n", "pos", "c")
+        .filter("_low < _high").dropDuplicates(["token", "node"])
     )
+    return _partnered(met, similarity).select("token", "node", *_opened("place"), "c")
+
+
+def _opened(place: str) -> list[Column]:
+    """``n`` and ``pos`` of a place."""
+    return [F.shiftright(place, 32).alias("n"), F.col(place).bitwiseAND(0xFFFFFFFF).alias("pos")]
+
+
+# Sets of nearly the same size that a set is compared with on each side, by size and place.
+NEIGHBOURS = 3
+
+
+def _partnered(met: DataFrame, similarity: int) -> DataFrame:
+    """Rows (token, node, place) without those that no similar set can meet first at this token.
+
+    Two similar sets are of similar size, and what follows their first common
+    token holds the rest of the intersection.  In order of size, a set is held
+    against the next ``NEIGHBOURS`` on each side; if one more is still of
+    similar size, the row stays.
+    """
+    by_size = Window.partitionBy("token").orderBy("place", "node")
+    steps = [s for k in range(1, NEIGHBOURS + 2) for s in (-k, k)]
+    other = met.withColumns({f"_o{i}": F.lag("place", step).over(by_size) for i, step in enumerate(steps)})
+    size, left = F.shiftright("place", 32), F.shiftright("place", 32) - F.col("place").bitwiseAND(0xFFFFFFFF)
+
+    def possible(i: int, step: int) -> Column:
+        m = F.shiftright(f"_o{i}", 32)
+        alike = F.least(size, m) * 100 >= F.greatest(size, m) * similarity
+        rest = F.least(left, m - F.col(f"_o{i}").bitwiseAND(0xFFFFFFFF))
+        # Least and greatest pass over nulls.
+        return m.isNotNull() & alike & ((rest * (100 + similarity) >= (size + m) * similarity) | F.lit(abs(step) > NEIGHBOURS))
+
+    return other.filter(reduce(Column.__or__, [possible(i, step) for i, step in enumerate(steps)])).select(*met.columns)
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of the wanted rows (row_key)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             nodes, sets, held = [], [], 0
-            for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                # Rows equal in id and text share a key and give one set per task.
-                if row in seen:
-                    continue
-                seen.add(row)
-                sets.append(shingle_set(value.as_py(), hashes, words))
+            # Rows equal in id and text share a key and give one set per task.
+            texts = (v.as_py() for row, v in zip(batch.column(0).to_pylist(), batch.column(1)) if not (row in seen or seen.add(row)))
+            for own in shingle_sets(texts, words):
+                sets.append(own)
                 nodes.append(set_id(sets[-1]))
                 held += len(sets[-1])
                 if held > 500_000:
@@ -289,7 +341,10 @@ def linked_sets(met: DataFrame, sets: Sets, radii: Sequence[int] = RADII) -> Dat
             return roots
         inner = window.groupBy(F.col("pivot").alias("region")).agg(F.min("distance").alias("closest"))
         members = homes.join(inner, "region").filter(F.col("distance") >= F.col("closest") - far - 1e-9).select("node")
-        met = materialize(met.join(window.select("node").unionByName(members).distinct(), "node", "left_semi"), "met")
+        # Few sets go on; a large list of them is joined by shuffle.
+        near = broadcast_if_small(materialize(window.select("node").unionByName(members).distinct(), "near"))
+        met = materialize(met.join(near, "node", "left_semi"), "met")
+        sets = Sets(sets.docs, materialize(sets.known.join(near, "node", "left_semi"), "known_sets"), sets.words, similarity)
     return roots
 
 
